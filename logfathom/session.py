@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the results depend on; all are changeable at run time.
 RUNTIME_CONF = {
@@ -44,3 +44,12 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         root = tempfile.mkdtemp(prefix="logfathom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/logfathom/{label}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame, label: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back: computed once, and
+    safe from the loss of an executor."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

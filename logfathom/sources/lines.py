@@ -23,16 +23,38 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.col("_metadata.file_path").alias("source"),
         F.col("_metadata.file_block_start").alias("block"),
     )
-    return break_lines(number_lines(scan))
+    return break_lines(number_lines(scan, alone=one_split_per_task(spark)))
 
 
-def number_lines(scan: DataFrame) -> DataFrame:
+def one_split_per_task(spark: SparkSession) -> bool:
+    """True where the session packs no two file splits into one task.
+
+    That is so when the cost put on opening a file is at least the largest
+    split; the row number inside a task then is the order inside the split.
+    """
+    size = "spark.sql.files.maxPartitionBytes"
+    cost = "spark.sql.files.openCostInBytes"
+    return _bytes(spark.conf.get(cost)) >= _bytes(spark.conf.get(size))
+
+
+def _bytes(text: str) -> int:
+    units = {"k": 10, "m": 20, "g": 30, "t": 40}
+    digits = text.lower().rstrip("b")
+    if digits and digits[-1] in units:
+        return int(digits[:-1]) << units[digits[-1]]
+    return int(digits)
+
+
+def number_lines(scan: DataFrame, alone: bool = False) -> DataFrame:
     """Add ``seq``, the order of a line within its (source, block).
 
     The row number inside a task depends on which small splits share that
-    task. It is made independent of this by subtracting the first row number
-    of each split, a table of one row per split.
+    task. Unless splits are known to be ``alone``, it is made independent of
+    this by subtracting the first row number of each split, a table of one
+    row per split.
     """
+    if alone:
+        return scan.withColumn("seq", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)))
     numbered = scan.withColumn("__row", F.monotonically_increasing_id())
     first = (
         numbered.groupBy("source", "block")
