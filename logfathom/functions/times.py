@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logfathom.functions.text import regex_groups, strip
+from logfathom.functions.text import regex_groups
 
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 _ISO = (
@@ -72,22 +72,60 @@ def _clf_text(g: Column) -> tuple[Column, Column]:
     return _valid(year, month, day, h, m, s), text
 
 
-def access_log_groups(raw: Column) -> Column:
-    """Groups of ``10/Oct/2024:13:55:36 +0530``, for :func:`access_log_time`."""
-    zone = r"\s+(?:([+-])(\d{2}):?([0-5]\d)|(Z))"
-    return regex_groups(strip(raw), _CLF + f"(?:{zone})?(.*)", 11)
+_ANY, _LONG, _MOST = (
+    "(?:" + "|".join(names) + ")"
+    for names in (
+        ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"),
+        ("Jan", "Mar", "May", "Jul", "Aug", "Oct", "Dec"),
+        ("Jan", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"),
+    )
+)
+# the usual layout with a date that exists in every year
+_USUAL_CLF = (
+    rf"^(?:(?:0[1-9]|1\d|2[0-8])/{_ANY}|(?:29|30)/{_MOST}|31/{_LONG})/[1-9]\d\d\d:"
+    r"(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d [+-](?:[01]\d|2[0-3])[0-5]\d$"
+)
+
+
+def access_log_stages(name: str, text: Column) -> list[dict[str, Column]]:
+    """``10/Oct/2024:13:55:36 +0530`` (trimmed) to ISO text with the offset kept;
+    without an offset 'Z'; else the raw text. Stages that end in column ``name``.
 
+    One regex proves the usual layout, which is then rearranged by position.
+    """
+    usual, full, short = (F.col(f"{name}_{n}") for n in ("usual", "full", "short"))
+
+    def at(start: int, n: int) -> Column:
+        return F.substring(text, start, n)
 
-def access_log_time(raw: Column, g: Column) -> Column:
-    """ISO text with the offset kept; without an offset 'Z'; else the raw text."""
-    text = strip(raw)
+    dash, colon = F.lit("-"), F.lit(":")
+    zone = F.when(at(23, 4) == "0000", F.lit("+00:00")).otherwise(
+        F.concat(at(22, 3), colon, at(25, 2))
+    )
+    iso = F.concat(
+        at(8, 4), dash, two(month_number(at(4, 3))), dash, at(1, 2), F.lit("T"), at(13, 8), zone
+    )
+    layout = r"\s+(?:([+-])(\d{2}):?([0-5]\d)|(Z))"
+    return [
+        {f"{name}_usual": F.when(text.rlike(_USUAL_CLF), iso)},
+        {
+            f"{name}_full": F.when(
+                usual.isNull(), regex_groups(text, _CLF + f"(?:{layout})?(.*)", 11)
+            ),
+            f"{name}_short": F.when(
+                usual.isNull(), regex_groups(F.substring(text, 1, 20), _CLF + "$", 6)
+            ),
+        },
+        {name: F.coalesce(usual, _unusual_clf(text, full, short))},
+    ]
+
+
+def _unusual_clf(text: Column, g: Column, short: Column) -> Column:
     ok, iso = _clf_text(g)
     sign, oh, om, zulu, rest = (g[i] for i in range(6, 11))
     zero = (zulu == "Z") | ((oh == "00") & (om == "00"))
     offset = F.when(zero, F.lit("+00:00")).otherwise(F.concat(sign, oh, F.lit(":"), om))
     has_zone = ((zulu == "Z") | ((sign != "") & (_int(oh) < 24))) & (rest == "")
-    head = F.substring(text, 1, 20)
-    short = regex_groups(head, _CLF + "$", 6)
     short_ok, short_iso = _clf_text(short)
     return (
         F.when(ok & has_zone, F.concat(iso, offset))

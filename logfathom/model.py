@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from logfathom.functions.ids import event_uuid
 from logfathom.functions.times import event_instant
@@ -52,9 +51,7 @@ ENRICHED_FIELDS: dict[str, str] = {
 }
 EVENT_FIELDS = BASE_FIELDS | ENRICHED_FIELDS
 
-EVENT_SCHEMA = T.StructType.fromDDL(
-    ", ".join(f"`{n}` {t}" for n, t in EVENT_FIELDS.items()) + ", event_ts timestamp"
-)
+EVENT_DDL = ", ".join(f"`{n}` {t}" for n, t in EVENT_FIELDS.items()) + ", event_ts timestamp"
 
 # Columns that say where a line came from; they make ids repeatable.
 POSITION = ("source", "block", "seq", "sub")

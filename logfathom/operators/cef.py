@@ -6,12 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logfathom.functions import severity as sev
-from logfathom.functions.text import filled, key_values, regex_groups, split_before_keys, to_int
+from logfathom.functions.text import (
+    filled,
+    key_values,
+    marked_map,
+    regex_stages,
+    spaced_marks,
+    split_before_keys,
+    strip,
+    to_int,
+)
 from logfathom.model import Shape, emit, guarded, stage, text_map
 from logfathom.sources.lines import clean_lines
 
 # The header and the extension keys with a column of their own.
-HEADER = r"(?iU)CEF:(\d+)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(\d+)\|?(.*)$"
+HEADER = r"(?U)(?i)CEF:(\d+)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(\d+)\|?(.*)$"
 KEY_COLUMNS: dict[str, str] = {
     "src": "source_ip",
     "spt": "source_port",
@@ -42,7 +51,7 @@ def shape(line: Column, when: Column | None = None) -> Shape:
     level = sev.normalize(head[6])
     fields: dict[str, Column] = {"source_format": F.lit("cef"), "raw": line}
     for key, column in KEY_COLUMNS.items():
-        value = F.try_element_at(pairs, F.lit(key))
+        value = F.col(f"__cef_{key}")
         if key in NUMBERS:
             value = to_int(value, NUMBERS[key])
         # of two keys for one column the later one wins
@@ -75,8 +84,15 @@ def shape(line: Column, when: Column | None = None) -> Shape:
         rest,
     )
     stages = [
-        {"__cef_head": F.when(on, regex_groups(body, HEADER, 8))},
-        {"__cef_kv": F.when(ok, key_values(split_before_keys(head[7])))},
+        {"__cef_body": body},
+        *regex_stages("__cef_head", F.col("__cef_body"), HEADER, 8, on),
+        {"__cef_ext": F.when(ok, strip(head[7]))},
+        {"__cef_marks": spaced_marks(F.col("__cef_ext"))},
+        {
+            "__cef_kv": F.when(F.col("__cef_marks").isNotNull(), marked_map(F.col("__cef_marks")))
+            .otherwise(key_values(split_before_keys(F.col("__cef_ext"))))
+        },
+        {f"__cef_{k}": F.try_element_at(pairs, F.lit(k)) for k in KEY_COLUMNS},
     ]
     return Shape(guarded(ok, fields, "cef", line), stages)
 

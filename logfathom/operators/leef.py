@@ -6,7 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logfathom.functions import severity as sev
-from logfathom.functions.text import filled, key_values, regex_groups, split_before_keys, to_int
+from logfathom.functions.text import (
+    JOINT,
+    cut_marks,
+    filled,
+    key_values,
+    marked_map,
+    regex_stages,
+    spaced_marks,
+    split_before_keys,
+    to_int,
+)
 from logfathom.model import Shape, emit, guarded, stage, text_map
 from logfathom.sources.lines import clean_lines
 
@@ -57,15 +67,23 @@ def delimiter(rest: Column) -> tuple[Column, Column]:
     return sign, F.substr(rest, cut)
 
 
-def attributes(text: Column, sign: Column) -> Column:
-    """Attribute map; TAB is split by a constant regex, other signs by a quoted one."""
+def attribute_marks(text: Column, sign: Column) -> Column:
+    """Marked attributes, NULL where they must be read part by part. Signs other
+    than TAB are replaced by one character, so that every regex is constant."""
+    return (
+        F.when(~F.contains(text, sign), spaced_marks(text))
+        .when(sign == TAB, cut_marks(text, TAB))
+        .when(~text.contains(JOINT), cut_marks(F.replace(text, sign, F.lit(JOINT)), JOINT))
+    )
+
+
+def attribute_parts(text: Column, sign: Column) -> Column:
     quoted = F.concat(F.lit("\\Q"), sign, F.lit("\\E"))
-    parts = (
+    return (
         F.when(~F.contains(text, sign), split_before_keys(text))
         .when(sign == TAB, F.split(text, TAB))
         .otherwise(F.split(text, quoted))
     )
-    return key_values(parts)
 
 
 def shape(line: Column, when: Column | None = None) -> Shape:
@@ -76,14 +94,14 @@ def shape(line: Column, when: Column | None = None) -> Shape:
     second = head[0] == "2.0"
     level = sev.normalize(
         F.coalesce(
-            F.try_element_at(pairs, F.lit("sev")),
+            F.col("__leef_sev"),
             F.try_element_at(pairs, F.lit("severity")),
             F.lit("5"),
         )
     )
     fields: dict[str, Column] = {"source_format": F.lit("leef"), "raw": line}
     for key, column in KEY_COLUMNS.items():
-        value = F.try_element_at(pairs, F.lit(key))
+        value = F.col(f"__leef_{key}")
         fields[column] = to_int(value, NUMBERS[key]) if key in NUMBERS else value
     said = F.concat_ws(
         " | ",
@@ -102,7 +120,8 @@ def shape(line: Column, when: Column | None = None) -> Shape:
     }
     rest = F.map_filter(
         pairs,
-        lambda k, v: ~k.isin(*[c for c in KEY_COLUMNS if c not in NUMBERS])
+        lambda k, v: v.isNotNull()
+        & ~k.isin(*[c for c in KEY_COLUMNS if c not in NUMBERS])
         & ~(k.isin("srcPort", "dstPort") & to_int(v, "int").isNotNull())
         & ~(k.isin("srcBytes", "dstBytes") & to_int(v, "bigint").isNotNull()),
     )
@@ -113,12 +132,17 @@ def shape(line: Column, when: Column | None = None) -> Shape:
         rest,
     )
     stages = [
-        {"__leef_head": F.when(on, regex_groups(line, HEADER, 6))},
+        *regex_stages("__leef_head", line, HEADER, 6, on),
         {
             "__leef_sign": F.when(second, own_sign).when(ok, F.lit(TAB)),
             "__leef_body": F.when(second, own_rest).otherwise(head[5]),
         },
-        {"__leef_kv": F.when(ok, attributes(body, sign))},
+        {"__leef_marks": F.when(ok, attribute_marks(body, sign))},
+        {
+            "__leef_kv": F.when(F.col("__leef_marks").isNotNull(), marked_map(F.col("__leef_marks")))
+            .when(ok, key_values(attribute_parts(body, sign)))
+        },
+        {f"__leef_{k}": F.try_element_at(pairs, F.lit(k)) for k in KEY_COLUMNS},
     ]
     return Shape(guarded(ok, fields, "leef", line), stages)
 

@@ -7,17 +7,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from logfathom.model import EVENT_SCHEMA, align
+from logfathom.model import EVENT_DDL, align
 from logfathom.operators.lookup import fits_broadcast
 from logfathom.session import cut_lineage
 
-STORE_SCHEMA = T.StructType(
-    [*EVENT_SCHEMA.fields, T.StructField("created_at", T.TimestampType()),
-     T.StructField("session_id", T.StringType())]
-)
-SESSION_SCHEMA = T.StructType.fromDDL(
+STORE_DDL = f"{EVENT_DDL}, created_at timestamp, session_id string"
+SESSION_DDL = (
     "filename string, format string, event_count bigint, created_at timestamp, session_id string"
 )
 
@@ -75,12 +71,12 @@ class EventStore:
 
     def events(self) -> DataFrame:
         """All stored events; a filter on ``session_id`` prunes folders."""
-        return self._read(self.events_path, STORE_SCHEMA)
+        return self._read(self.events_path, STORE_DDL)
 
     def sessions(self) -> DataFrame:
-        return self._read(self.sessions_path, SESSION_SCHEMA)
+        return self._read(self.sessions_path, SESSION_DDL)
 
-    def _read(self, path: str, schema: T.StructType) -> DataFrame:
+    def _read(self, path: str, schema: str) -> DataFrame:
         if not self._exists(path):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
@@ -124,7 +120,7 @@ class EventStore:
     ) -> None:
         """Insert or replace: only the session's own folder is overwritten."""
         row = self.spark.createDataFrame(
-            [(filename, fmt, count, now, session)], SESSION_SCHEMA
+            [(filename, fmt, count, now, session)], SESSION_DDL
         )
         (
             row.coalesce(1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logfathom.functions import severity as sev
-from logfathom.functions.text import regex_groups, strip, to_int
+from logfathom.functions.text import regex_stages, strip, to_int
 from logfathom.functions.times import yearless
 from logfathom.model import Shape, emit, fallback_fields, stage, text_map
 from logfathom.sources.lines import clean_lines
@@ -50,8 +50,8 @@ def shape(line: Column, when: Column | None = None, reference_date: Column | Non
         ).when(is_old, text_map(("facility", facility))),
     }
     stages = [
-        {"__sl_new": F.when(on, regex_groups(line, RFC5424, 9))},
-        {"__sl_old": F.when(on & new.isNull(), regex_groups(line, RFC3164, 8))},
+        *regex_stages("__sl_new", line, RFC5424, 9, on),
+        *regex_stages("__sl_old", line, RFC3164, 8, on & new.isNull()),
         {"__sl_pri": to_int(F.coalesce(new, old)[0], "bigint")},
         {"__sl_fac": F.when(is_new | is_old, sev.facility(pri))},
     ]

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logfathom.functions import severity as sev
-from logfathom.functions.text import filled, regex_groups, strip, to_int
-from logfathom.functions.times import access_log_groups, access_log_time, slash_time
+from logfathom.functions.text import filled, regex_groups, regex_stages, strip, to_int
+from logfathom.functions.text import words as words_of
+from logfathom.functions.times import access_log_stages, slash_time
 from logfathom.model import Shape, emit, fallback_fields, stage, text_map
 from logfathom.sources.lines import clean_lines
 
@@ -22,7 +23,7 @@ ERROR = r"(?U)(\d{4}/\d{2}/\d{2}\s+\d{2}:\d{2}:\d{2})\s+\[(\w+)\]\s+[\d#]+:\s+(?
 def shape(line: Column, when: Column | None = None) -> Shape:
     on = F.lit(True) if when is None else when
     req, odd, err = F.col("__web_req"), F.col("__web_odd"), F.col("__web_err")
-    words, clock, hit = F.col("__web_words"), F.col("__web_clock"), F.col("__web_hit")
+    words, hit = F.col("__web_words"), F.col("__web_hit")
     is_req, is_odd, is_err = req.isNotNull(), odd.isNotNull(), err.isNotNull()
     is_hit = is_req | is_odd
 
@@ -48,7 +49,7 @@ def shape(line: Column, when: Column | None = None) -> Shape:
         return F.when(is_req, raised[i]).when(is_odd, plain[i]).when(is_err, logged[i])
 
     fields = fallback_fields("nginx", line) | {
-        "timestamp": F.when(is_hit, access_log_time(at, clock)).when(is_err, slash_time(err[0])),
+        "timestamp": F.when(is_hit, F.col("__web_time")).when(is_err, slash_time(err[0])),
         "source_ip": F.nullif(ip, F.lit("-")),
         "event_type": F.when(is_hit, "HTTP/Access").when(is_err, "HTTP/Error"),
         "event_action": F.when(is_hit, F.concat(method, F.lit(" "), status)).when(is_err, "error"),
@@ -70,14 +71,15 @@ def shape(line: Column, when: Column | None = None) -> Shape:
         .when(is_err, text_map(("log_level", err[1]))),
     }
     stages = [
-        {"__web_req": F.when(on, regex_groups(line, REQUEST, 10))},
-        {"__web_odd": F.when(on & req.isNull(), regex_groups(line, ODD_REQUEST, 8))},
+        *regex_stages("__web_req", line, REQUEST, 10, on),
+        *regex_stages("__web_odd", line, ODD_REQUEST, 8, on & req.isNull()),
         {
             "__web_err": F.when(on & req.isNull() & odd.isNull(), regex_groups(line, ERROR, 3)),
-            "__web_words": F.when(is_odd, F.split(strip(odd[3]), r"(?U)\s+")),
+            "__web_words": F.when(is_odd, words_of(odd[3])),
         },
         {"__web_hit": common},
-        {"__web_clock": F.when(is_hit, access_log_groups(at))},
+        {"__web_at": F.when(is_hit, strip(at))},
+        *access_log_stages("__web_time", F.col("__web_at")),
     ]
     return Shape(fields, stages)
 

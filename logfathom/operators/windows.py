@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logfathom.functions import severity as sev
-from logfathom.functions.text import filled, strip, to_int
+from logfathom.functions.text import filled, lines_of, strip, to_int
 from logfathom.model import emit, stage, text_map
 from logfathom.sources.windows_xml import cut_records
 
@@ -89,7 +89,7 @@ def normalize_windows_xml(
     )
     # a broken record falls apart into its lines
     pieces = F.when(good, F.array(text)).otherwise(
-        F.filter(F.transform(F.split(text, "\r\n|[\n\r]"), strip), lambda x: x != "")
+        F.filter(F.transform(lines_of(text), strip), lambda x: x != "")
     )
     others = [c for c in staged.columns if c != "value"]
     staged = staged.select(*others, F.posexplode(pieces).alias("part", "value"))

@@ -17,6 +17,9 @@ RUNTIME_CONF = {
     # a hot partition is split at run time, small ones are merged
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # the JVM does not compile methods above this size; wide projections then
+    # run operator by operator, in many small methods, which is faster
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logfathom.functions.text import LINE_BREAK, strip
+from logfathom.functions.text import lines_of, strip
 from logfathom.sources.lines import present, read_lines
 
 # Keys that may hold the list of records, first list wins.
@@ -101,7 +101,7 @@ def document_lines(df: DataFrame, col: str) -> DataFrame:
     """Whole JSON texts: those that parse stay whole, the rest is cut into lines."""
     whole = strict_json(strip(F.col(col))).isNotNull()
     rest = [c for c in df.columns if c != col]
-    parts = F.when(whole, F.array(strip(F.col(col)))).otherwise(F.split(F.col(col), LINE_BREAK))
+    parts = F.when(whole, F.array(strip(F.col(col)))).otherwise(lines_of(F.col(col)))
     cut = df.select(*rest, F.posexplode(parts).alias("seq", col))
     return cut.filter(present(F.col(col))).withColumn(col, strip(F.col(col)))
 

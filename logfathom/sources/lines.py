@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logfathom.functions.text import LINE_BREAK, RARE_BREAK, strip
+from logfathom.functions.text import lines_of, rare_lines_of, strip
 
 _ROW_BITS = (1 << 33) - 1
 
@@ -74,12 +74,12 @@ def number_lines(scan: DataFrame, alone: bool = False) -> DataFrame:
 def break_lines(df: DataFrame, col: str = "value") -> DataFrame:
     """Cut lines at the breaks a line file scan does not know (VT, FF, NEL, …)."""
     rest = [c for c in df.columns if c != col]
-    return df.select(*rest, F.posexplode(F.split(col, RARE_BREAK)).alias("sub", col))
+    return df.select(*rest, F.posexplode(rare_lines_of(F.col(col))).alias("sub", col))
 
 
 def explode_lines(df: DataFrame, col: str, keep: list[str]) -> DataFrame:
     """Whole texts in a column to one row per line: ``value`` and its order ``sub``."""
-    return df.select(*keep, F.posexplode(F.split(col, LINE_BREAK)).alias("sub", "value"))
+    return df.select(*keep, F.posexplode(lines_of(F.col(col))).alias("sub", "value"))
 
 
 def present(line: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logfathom.functions.text import LINE_BREAK, strip
+from logfathom.functions.text import lines_of, strip
 from logfathom.sources.lines import number_lines, one_split_per_task
 
 END = "</Event>"
@@ -49,6 +49,6 @@ def _piece(piece: Column) -> Column:
         "",
     )
     lines = F.filter(
-        F.transform(F.split(stray, LINE_BREAK), strip), lambda line: line != ""
+        F.transform(lines_of(stray), strip), lambda line: line != ""
     )
     return F.when(whole, F.array(F.substr(piece, at))).otherwise(lines)
