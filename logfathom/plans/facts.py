@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logfathom.session import prepare
+from logfathom.session import prepare, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,7 +81,7 @@ SHARED = {
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = table(spark, sf_dir, "events").selectExpr(
+    base = spread(table(spark, sf_dir, "events")).selectExpr(
         *[f"{sql} AS {name}" for name, sql in _SPARK_BASE.items()]
     )
     return base.selectExpr("*", *[f"{sql} AS {name}" for name, sql in SHARED.items()])
@@ -109,7 +109,7 @@ _DUCK_ORDERS = _SPARK_ORDERS | {"day": "strftime(o_orderdate, '%Y-%m-%d')"}
 
 
 def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(
+    return spread(table(spark, sf_dir, "orders")).selectExpr(
         *[f"{sql} AS {name}" for name, sql in _SPARK_ORDERS.items()]
     )
 
