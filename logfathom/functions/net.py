@@ -18,13 +18,6 @@ PRIVATE_V4 = (
 )
 
 
-def _number(dotted: str) -> int:
-    value = 0
-    for part in dotted.split("."):
-        value = value * 256 + int(part)
-    return value
-
-
 def ipv4_number(ip: Column) -> Column:
     """IPv4 text to its number, NULL for anything else."""
     parts = F.split(ip, r"\.")
@@ -34,55 +27,51 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(ip.rlike(IPV4), number)
 
 
-def ipv6_hex(ip: Column) -> Column:
-    """IPv6 text to 32 hex digits, NULL for anything else."""
-    plain = F.lower(F.regexp_replace(ip, "%[^%/]+$", ""))
-    tail = F.regexp_extract(plain, r"^(.*:)([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$", 2)
-    number = ipv4_number(tail)
-    mapped = F.concat(
-        F.regexp_extract(plain, r"^(.*:)([0-9.]+)$", 1),
-        F.hex(F.shiftright(number, 16)),
-        F.lit(":"),
-        F.hex(number.bitwiseAND(F.lit(65535))),
-    )
-    text = F.when(plain.contains("."), mapped).otherwise(plain)
-    halves = F.split(text, "::")
-
-    def groups(part: Column) -> Column:
-        return F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":"))
-
-    left = groups(halves[0])
-    right = F.when(F.size(halves) == 2, groups(F.get(halves, F.lit(1)))).otherwise(
-        F.array().cast("array<string>")
-    )
-    count = F.size(left) + F.size(right)
+_HEX = "[0-9a-f]{1,4}"
+# eight groups, or fewer than eight around one '::'
+IPV6 = (
+    rf"^(?:(?:{_HEX}:){{7}}{_HEX}|(?!(?::*[0-9a-f]+(?![0-9a-f])){{8}})"
+    rf"(?:(?:{_HEX}:)*{_HEX})?::(?:(?:{_HEX}:)*{_HEX})?)$"
+)
+
+
+def _ipv6_text(ip: Column) -> Column:
+    return F.lower(F.regexp_replace(ip, "%[^%/]+$", ""))
+
+
+def is_ipv6(ip: Column) -> Column:
+    """True for IPv6 text; an IPv4 tail counts as two groups."""
+    text = _ipv6_text(ip)
     whole = F.when(
-        F.size(halves) == 2,
-        F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - count, F.lit(0))), right),
-    ).otherwise(left)
-    ok = (
-        ((F.size(halves) == 1) & (count == 8)) | ((F.size(halves) == 2) & (count <= 7))
-    ) & F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    padded = F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), "")
-    return F.when(ip.contains(":") & ok, padded)
+        text.contains("."),
+        F.regexp_replace(text, rf"(?<=:)(?:{_OCTET}\.){{3}}{_OCTET}$", "0:0"),
+    ).otherwise(text)
+    return F.coalesce(ip.contains(":") & whole.rlike(IPV6), F.lit(False))
+
+
+def _private_v6(ip: Column) -> Column:
+    """Of a valid address: only its last group is 1, or it starts with fc or fd."""
+    text = _ipv6_text(ip)
+    loop = (F.regexp_replace(text, "[0:.]", "") == "1") & text.endswith("1")
+    return loop | text.rlike("^f[cd][0-9a-f]{2}:")
 
 
 def is_private(ip: Column) -> Column:
     """Private, loopback or link-local; text that is no address counts as private."""
-    number = ipv4_number(ip)
     v4 = F.lit(False)
     for base, bits in PRIVATE_V4:
-        low = _number(base)
-        v4 = v4 | number.between(F.lit(low), F.lit(low + 2 ** (32 - bits) - 1))
-    v6_text = ipv6_hex(ip)
-    v6 = (v6_text == "0" * 31 + "1") | v6_text.rlike("^f[cd]")
-    return (
-        F.when(number.isNotNull(), v4)
-        .when(v6_text.isNotNull(), v6)
-        .otherwise(F.lit(True))
-    )
+        # all of these ranges end within the first two octets
+        a, b = (int(x) for x in base.split(".")[:2])
+        if bits == 8:
+            v4 = v4 | ip.startswith(f"{a}.")
+        elif bits == 16:
+            v4 = v4 | ip.startswith(f"{a}.{b}.")
+        else:
+            second = F.substring_index(F.substring_index(ip, ".", 2), ".", -1).try_cast("int")
+            v4 = v4 | (ip.startswith(f"{a}.") & second.between(b, b + 2 ** (16 - bits) - 1))
+    return F.when(ip.rlike(IPV4), v4).when(is_ipv6(ip), _private_v6(ip)).otherwise(F.lit(True))
 
 
 def address_type(ip: Column) -> Column:
     """STIX object type of an address; text that is no address counts as IPv4."""
-    return F.when(ipv6_hex(ip).isNotNull(), "ipv6-addr").otherwise("ipv4-addr")
+    return F.when(is_ipv6(ip), "ipv6-addr").otherwise("ipv4-addr")

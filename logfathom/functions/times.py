@@ -134,9 +134,12 @@ def _unusual_clf(text: Column, g: Column, short: Column) -> Column:
     )
 
 
-def slash_time(raw: Column) -> Column:
-    """``YYYY/MM/DD HH:MM:SS`` (error logs) to ISO 'Z' text, raw when invalid."""
-    g = regex_groups(raw, r"(?U)(\d{4})/(\d{2})/(\d{2})\s+(\d{2}):(\d{2}):(\d{2})$", 6)
+SLASH_TIME = r"(?U)(\d{4})/(\d{2})/(\d{2})\s+(\d{2}):(\d{2}):(\d{2})$"
+
+
+def slash_time(raw: Column, g: Column) -> Column:
+    """``YYYY/MM/DD HH:MM:SS`` (error logs) to ISO 'Z' text, raw when invalid.
+    ``g`` are the groups of :data:`SLASH_TIME`."""
     y, mo, d, h, m, s = (g[i] for i in range(6))
     iso = F.concat(
         y, F.lit("-"), mo, F.lit("-"), d, F.lit("T"), h, F.lit(":"), m, F.lit(":"), s, F.lit("Z")

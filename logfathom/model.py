@@ -121,16 +121,22 @@ def emit(
     a file scan are used; without those, equal lines share one id.
     """
     key = [c for c in POSITION if c in df.columns] if key is None else list(key)
+    # what several output columns are made of is computed in a step of its own
+    stamp, raw = F.col("__stamp"), F.col("__raw")
+    df = df.withColumns(
+        {"__stamp": fields.get("timestamp", F.lit(None)).cast("string"), "__raw": fields["raw"]}
+    )
+    fields = fields | {"timestamp": stamp, "raw": raw}
     columns = []
     for name, ddl in EVENT_FIELDS.items():
         if name == "event_id":
-            value = event_uuid([F.col(c) for c in key] + [fields["raw"]])
+            value = event_uuid([F.col(c) for c in key] + [raw])
         elif name == "extensions":
             value = F.coalesce(fields.get(name, empty_map()), empty_map())
         else:
             value = fields.get(name, F.lit(None))
         columns.append(value.cast(ddl).alias(name))
-    when = event_instant(fields.get("timestamp", F.lit(None).cast("string"))).alias("event_ts")
+    when = event_instant(stamp).alias("event_ts")
     return df.select(*columns, when, *[F.col(c) for c in keep])
 
 

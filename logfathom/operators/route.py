@@ -47,6 +47,17 @@ def _projected(
         for s in made.values():
             columns |= s.stages[i] if i < len(s.stages) else {}
         rows = stage(rows, [columns])
+    # each format's fields first, so that the choice below is between columns
+    rows = stage(
+        rows,
+        [
+            {
+                f"__{name}_{field}": value
+                for name, s in made.items()
+                for field, value in s.fields.items()
+            }
+        ],
+    )
     fields: dict[str, Column] = {"raw": line, "source_format": fmt}
     for field in EVENT_FIELDS:
         if field in ("event_id", "raw", "source_format"):
@@ -55,11 +66,8 @@ def _projected(
         for name, s in made.items():
             if field in s.fields:
                 test = fmt == name
-                value = (
-                    F.when(test, s.fields[field])
-                    if value is None
-                    else value.when(test, s.fields[field])
-                )
+                mine = F.col(f"__{name}_{field}")
+                value = F.when(test, mine) if value is None else value.when(test, mine)
         if value is not None:
             fields[field] = value
     return emit(rows, fields, key, keep)

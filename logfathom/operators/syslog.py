@@ -35,7 +35,7 @@ def shape(line: Column, when: Column | None = None, reference_date: Column | Non
     level = sev.of_priority(pri)
     known = is_new | is_old
     fields = {
-        "timestamp": pick(dash(2), yearless(old[1], old[2], old[3], old[4], reference)),
+        "timestamp": pick(dash(2), F.col("__sl_time")),
         "source_host": pick(dash(3), old[5]),
         "event_type": F.when(known, F.concat(F.lit("syslog/"), facility)),
         "event_action": pick(dash(4), old[6]),
@@ -53,7 +53,10 @@ def shape(line: Column, when: Column | None = None, reference_date: Column | Non
         *regex_stages("__sl_new", line, RFC5424, 9, on),
         *regex_stages("__sl_old", line, RFC3164, 8, on & new.isNull()),
         {"__sl_pri": to_int(F.coalesce(new, old)[0], "bigint")},
-        {"__sl_fac": F.when(is_new | is_old, sev.facility(pri))},
+        {
+            "__sl_fac": F.when(is_new | is_old, sev.facility(pri)),
+            "__sl_time": F.when(is_old, yearless(old[1], old[2], old[3], old[4], reference)),
+        },
     ]
     return Shape(fallback_fields("syslog", line) | fields, stages)
 

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logfathom.functions import severity as sev
-from logfathom.functions.text import filled, regex_groups, regex_stages, strip, to_int
+from logfathom.functions.text import filled, regex_stages, strip, to_int
 from logfathom.functions.text import words as words_of
-from logfathom.functions.times import access_log_stages, slash_time
+from logfathom.functions.times import SLASH_TIME, access_log_stages, slash_time
 from logfathom.model import Shape, emit, fallback_fields, stage, text_map
 from logfathom.sources.lines import clean_lines
 
@@ -49,7 +49,7 @@ def shape(line: Column, when: Column | None = None) -> Shape:
         return F.when(is_req, raised[i]).when(is_odd, plain[i]).when(is_err, logged[i])
 
     fields = fallback_fields("nginx", line) | {
-        "timestamp": F.when(is_hit, F.col("__web_time")).when(is_err, slash_time(err[0])),
+        "timestamp": F.when(is_hit, F.col("__web_time")).when(is_err, F.col("__web_errtime")),
         "source_ip": F.nullif(ip, F.lit("-")),
         "event_type": F.when(is_hit, "HTTP/Access").when(is_err, "HTTP/Error"),
         "event_action": F.when(is_hit, F.concat(method, F.lit(" "), status)).when(is_err, "error"),
@@ -73,8 +73,10 @@ def shape(line: Column, when: Column | None = None) -> Shape:
     stages = [
         *regex_stages("__web_req", line, REQUEST, 10, on),
         *regex_stages("__web_odd", line, ODD_REQUEST, 8, on & req.isNull()),
+        *regex_stages("__web_err", line, ERROR, 3, on & req.isNull() & odd.isNull()),
+        *regex_stages("__web_slash", err[0], SLASH_TIME, 6, is_err),
         {
-            "__web_err": F.when(on & req.isNull() & odd.isNull(), regex_groups(line, ERROR, 3)),
+            "__web_errtime": F.when(is_err, slash_time(err[0], F.col("__web_slash"))),
             "__web_words": F.when(is_odd, words_of(odd[3])),
         },
         {"__web_hit": common},

@@ -22,6 +22,7 @@ from logfathom.plans.facts import (
     table,
 )
 from logfathom.plans.lines import ACCESS, CEF, LEEF, SYSLOG_NEW, SYSLOG_OLD
+from logfathom.session import cut_lineage
 from logfathom.sources.documents import document_lines
 from logfathom.sources.lines import clean_lines, explode_lines
 
@@ -138,7 +139,10 @@ def route(spark, sf_dir):
     text = "CASE " + " ".join(f"WHEN id % 6 = {i} THEN {s.render}" for i, s in _MIX.items())
     text += " ELSE '{\"user\":\"' || usr || '\",\"level\":\"error\"}' END"
     names = "CASE " + " ".join(f"WHEN id % 6 = {i} THEN '{n}'" for i, n in _MIX_NAMES.items()) + " ELSE 'json' END"
-    rows = facts(spark, sf_dir).selectExpr("id", f"{text} AS value", f"{names} AS fmt")
+    # the rendered lines as a table of their own, as a topic or landing table is
+    rows = cut_lineage(
+        facts(spark, sf_dir).selectExpr("id", f"{text} AS value", f"{names} AS fmt"), "mixed-lines"
+    )
     events = route_lines(
         rows, fmt_col="fmt", reference_date=F.lit("2024-01-20").cast("date"), key=["id"], keep=["id"]
     )
