@@ -103,11 +103,23 @@ def guarded(ok: Column, fields: dict[str, Column], fmt: str, line: Column) -> di
 
 
 def stage(df: DataFrame, stages: Sequence[dict[str, Column]]) -> DataFrame:
+    """Compute columns step by step."""
     for columns in stages:
         df = df.withColumns(columns)
     return df
 
 
+def keep_filters_above(df: DataFrame) -> DataFrame:
+    """Stop later filters from moving below the parsing steps.
+
+    Pushed down, a condition on a parsed column would be rewritten into the
+    text's terms step by step and run the same regexes again for each use.
+    A condition that always holds, but that the optimizer may not assume to be
+    the same twice, keeps them where they are. Columns are still pruned.
+    """
+    return df.filter(F.rand(0) >= 0)
+
+
 def emit(
     df: DataFrame,
     fields: dict[str, Column],
@@ -137,7 +149,7 @@ def emit(
             value = fields.get(name, F.lit(None))
         columns.append(value.cast(ddl).alias(name))
     when = event_instant(stamp).alias("event_ts")
-    return df.select(*columns, when, *[F.col(c) for c in keep])
+    return keep_filters_above(df.select(*columns, when, *[F.col(c) for c in keep]))
 
 
 def align(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

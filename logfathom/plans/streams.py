@@ -41,8 +41,7 @@ _SEV = "(['low','low','low','medium','medium','medium','high','high','critical',
 def stream_normalize(spark, sf_dir):
     src, out, mark = _files(spark, sf_dir, _LINE, "in"), scratch_dir(spark, "out"), scratch_dir(spark, "mark")
     fmt = watch.sample_format(spark, src)
-    events = watch.normalize_stream(watch.stream_lines(spark, src, 4), fmt)
-    _drain(watch.start_rows(events, out, mark, once=True))
+    _drain(watch.start_rows(watch.stream_lines(spark, src, 4), fmt, out, mark, once=True))
     return spark.read.parquet(out).selectExpr(
         "extensions['signature_id'] AS sig", "source_ip", "username", "event_action", "severity"
     )
@@ -57,10 +56,12 @@ def stream_normalize(spark, sf_dir):
 def stream_enrich(spark, sf_dir):
     src, out, mark = _files(spark, sf_dir, _LINE, "in"), scratch_dir(spark, "out"), scratch_dir(spark, "mark")
     geo = geo_table(spark, sf_dir)
-    events = watch.normalize_stream(
-        watch.stream_lines(spark, src), "cef", enrich_with=lambda e: enrich_threat(enrich_geo(e, geo))
+    _drain(
+        watch.start_rows(
+            watch.stream_lines(spark, src), "cef", out, mark,
+            enrich_with=lambda e: enrich_threat(enrich_geo(e, geo)), once=True,
+        )
     )
-    _drain(watch.start_rows(events, out, mark, once=True))
     return spark.read.parquet(out).selectExpr(
         "extensions['signature_id'] AS sig", "coalesce(is_malicious, false) AS bad", "geo_country IS NOT NULL AS located"
     )
@@ -82,9 +83,8 @@ def stream_ingest(spark, sf_dir):
 @register("stream_severity", f"WITH {FACTS_SQL} SELECT {_SEV} AS severity, count(*) AS n FROM f GROUP BY 1")
 def stream_severity(spark, sf_dir):
     src, out, mark = _files(spark, sf_dir, _LINE, "in"), scratch_dir(spark, "out"), scratch_dir(spark, "mark")
-    events = watch.normalize_stream(watch.stream_lines(spark, src, 4), "cef")
-    _drain(watch.start_tally(events, out, mark, once=True))
-    return spark.read.parquet(out)
+    _drain(watch.start_tally(watch.stream_lines(spark, src, 4), "cef", out, mark, once=True))
+    return watch.read_tally(spark, out)
 
 
 @register(

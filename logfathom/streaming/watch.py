@@ -45,25 +45,48 @@ def sample_format(spark: SparkSession, path: str) -> str:
     return row.first()["format"]
 
 
-def normalize_stream(
-    lines: DataFrame, fmt: str, *, enrich_with: Transform | None = None, **options
+def normalize_batch(
+    batch: DataFrame, fmt: str, *, enrich_with: Transform | None = None, **options
 ) -> DataFrame:
-    """Stateless: the batch parser of the format on a stream, messages only."""
-    events = parser_of(fmt).normalize(lines, **options)
-    return with_message(events if enrich_with is None else enrich_with(events))
+    """A micro-batch through the batch parser of the format.
+
+    Parsers are stateless, so a micro-batch needs nothing but its own lines.
+    They run on the batch frame, whose planner keeps the parsing steps apart
+    (a streaming plan writes them into one expression). Line positions are
+    numbered inside the batch, so ids are the same when a batch runs again.
+    """
+    spotted = batch
+    if {"source", "block"} <= set(batch.columns) and "key" not in options:
+        spotted = break_lines(number_lines(batch))
+    events = parser_of(fmt).normalize(spotted, **options)
+    return events if enrich_with is None else enrich_with(events)
+
+
+def _start(lines: DataFrame, put: Callable, checkpoint: str, once: bool) -> StreamingQuery:
+    writer = lines.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    if once:
+        return writer.trigger(availableNow=True).start()
+    return writer.trigger(processingTime=POLL).start()
 
 
 def start_rows(
-    events: DataFrame, path: str, checkpoint: str, *, once: bool = False
+    lines: DataFrame,
+    fmt: str,
+    path: str,
+    checkpoint: str,
+    *,
+    enrich_with: Transform | None = None,
+    once: bool = False,
+    **options,
 ) -> StreamingQuery:
-    """Append a stream of events to a Parquet folder, exactly once."""
-    writer = (
-        events.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-    )
-    return _trigger(writer, once).start()
+    """Write the events that have a message, one ``batch=N`` folder per
+    micro-batch; a batch that runs again replaces its folder."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        events = with_message(normalize_batch(batch, fmt, enrich_with=enrich_with, **options))
+        events.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return _start(lines, put, checkpoint, once)
 
 
 def start_ingest(
@@ -77,54 +100,40 @@ def start_ingest(
     once: bool = False,
     **options,
 ) -> StreamingQuery:
-    """Insert or ignore every micro-batch into a store.
-
-    Line positions are numbered inside the batch, so ids are the same when a
-    batch runs again, and a repeated batch inserts nothing. Zeek files are
-    complete within a batch and get their headers there.
-    """
+    """Insert or ignore every micro-batch into a store; a repeated batch inserts
+    nothing. Zeek files are complete within a batch and get their headers there."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        spotted = batch
-        if {"source", "block"} <= set(batch.columns) and "key" not in options:
-            spotted = break_lines(number_lines(batch))
-        events = parser_of(fmt).normalize(spotted, **options)
-        if enrich_with is not None:
-            events = enrich_with(events)
+        events = normalize_batch(batch, fmt, enrich_with=enrich_with, **options)
         store.insert(events, f"{session_id}-{batch_id}" if batch_id else session_id, fmt=fmt)
 
-    writer = lines.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
-    return _trigger(writer, once).start()
+    return _start(lines, put, checkpoint, once)
 
 
 def severity_tally(events: DataFrame) -> DataFrame:
-    """Running count per severity; none counts as low."""
+    """Count per severity; none counts as low."""
     label = F.lower(F.coalesce(F.nullif(F.col("severity"), F.lit("")), F.lit("low")))
     return events.groupBy(label.alias("severity")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def start_tally(
-    events: DataFrame, path: str, checkpoint: str, *, once: bool = False
+    lines: DataFrame, fmt: str, path: str, checkpoint: str, *, once: bool = False, **options
 ) -> StreamingQuery:
-    """Keep the current tally in a folder; each trigger replaces it."""
+    """Keep the severity counts of each micro-batch; :func:`read_tally` adds them
+    up. A batch that runs again replaces its own counts."""
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(path)
+    def put(batch: DataFrame, batch_id: int) -> None:
+        counts = severity_tally(normalize_batch(batch, fmt, **options))
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return _start(lines, put, checkpoint, once)
 
-    writer = (
-        severity_tally(events)
-        .writeStream.outputMode("complete")
-        .foreachBatch(put)
-        .option("checkpointLocation", checkpoint)
-    )
-    return _trigger(writer, once).start()
+
+def read_tally(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).groupBy("severity").agg(F.sum("n").alias("n"))
 
 
 def unique_within(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Drop repeated ids that arrive within ``delay`` of each other's time,
     with state that is bounded by the watermark."""
     return events.withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["event_id"])
-
-
-def _trigger(writer, once: bool):
-    return writer.trigger(availableNow=True) if once else writer.trigger(processingTime=POLL)
