@@ -114,10 +114,11 @@ def keep_filters_above(df: DataFrame) -> DataFrame:
 
     Pushed down, a condition on a parsed column would be rewritten into the
     text's terms step by step and run the same regexes again for each use.
-    A condition that always holds, but that the optimizer may not assume to be
-    the same twice, keeps them where they are. Columns are still pruned.
+    Filters do not pass a column the optimizer may not compute twice, so one
+    such column, tested once and dropped, keeps them here. Columns are still
+    pruned.
     """
-    return df.filter(F.rand(0) >= 0)
+    return df.withColumn("__once", F.rand(0)).filter(F.col("__once") >= 0).drop("__once")
 
 
 def emit(
