@@ -51,7 +51,7 @@ def stream_normalize(spark, sf_dir):
     "stream_enrich",
     f"""WITH {FACTS_SQL} SELECT CAST(id AS VARCHAR) AS sig,
         starts_with(ip, '185.220.101.') OR ip IN ('45.227.255.0', '45.227.255.1') AS bad,
-        NOT contains(ip, ':') AND id % 11 > 4 AS located FROM f""",
+        id % 11 > 4 AND NOT (k % 20 = 0 AND id % 8 = 0 AND u < 5) AS located FROM f""",
 )
 def stream_enrich(spark, sf_dir):
     src, out, mark = _files(spark, sf_dir, _LINE, "in"), scratch_dir(spark, "out"), scratch_dir(spark, "mark")
