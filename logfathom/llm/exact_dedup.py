@@ -16,7 +16,6 @@ keeps one of them). An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logfathom.llm.tables import documents, join_hot, stored, text_bytes
+from logfathom.llm.tables import Layout, documents, join_hot, stored, text_bytes
 
 # Rows per range of quotients; bounds the memory of a merge.
 RANGE_ROWS = 1_000_000
@@ -33,7 +32,7 @@ TASK_ROWS = 500_000
 # Routed ids that may be broadcast (16 bytes each); beyond it they are shuffled.
 BROADCAST_IDS = 1_000_000
 
-HEAD = struct.Struct("<BBQQ")
+HEAD = Layout("<BBQQ")
 
 
 def build_filter(fingerprints: np.ndarray, counts: np.ndarray, drop_bits: int) -> bytes:

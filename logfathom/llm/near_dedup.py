@@ -51,6 +51,7 @@ REMEMBERED = 400_000
 BROADCAST_IDS = 1_000_000
 
 U = np.uint64
+ODD = U(0x9E3779B97F4A7C15)
 FULL = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -78,8 +79,11 @@ def shingles(words: Sequence[bytes], hashes: WordHashes, k: int = WORDS) -> np.n
     size = min(n, k)
     out = np.full(n - size + 1, size, U)
     for i in range(size):
-        out = mix(out ^ h[i : n - size + 1 + i])
-    return np.unique(out)
+        out *= ODD
+        out += h[i : n - size + 1 + i]
+    out = mix(out)
+    out.sort()
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def sketch(sets: Sequence[np.ndarray], bins: int = BINS) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -23,6 +24,22 @@ HOT_PARTS = 1000
 HOT_LEAST = 10_000
 
 
+class Layout:
+    """A binary layout that can travel with a task."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.size = text, struct.calcsize(text)
+
+    def pack(self, *values) -> bytes:
+        return struct.pack(self.text, *values)
+
+    def unpack(self, data: bytes) -> tuple:
+        return struct.unpack(self.text, data)
+
+    def unpack_from(self, data: bytes, at: int = 0) -> tuple:
+        return struct.unpack_from(self.text, data, at)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
