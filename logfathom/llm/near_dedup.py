@@ -8,12 +8,13 @@ concentrated around the similarity like T independent samples. Bands of bins
 give candidate buckets.
 
 Documents with the same word sequence form a class with one representative, so
-copies meet in a groupBy and are never paired. In a bucket, one leader is
-compared with the others; further rounds take more leaders, but only where the
-bucket still holds members that are not connected yet. A round ends with the
-components of all links found, so pairs inside a component are not compared,
-and every other pair of a bucket is compared in some round: there is no cap.
-The comparison uses the full shingle sets.
+copies meet in a groupBy and are never paired. In a bucket, the smallest
+id is compared with all others, and the components of the links found are
+taken. Where a bucket still holds more than one component, its members outside
+the largest one are collected in blocks, and every member of the bucket is
+compared with the blocks it shares a bucket with, by an index of the block's
+shingles. So each pair of a bucket is compared or known to be connected: there
+is no cap, and pairs are never rows. The comparison uses full shingle sets.
 
 Missed links: T = 128 in 32 bands of 4 miss a pair of similarity s with
 probability (1 - s^4)^32: 5e-6 at 0.75, 2e-8 at 0.8.
@@ -42,10 +43,10 @@ WORDS = 5
 PERCENT = 75
 BINS = 128
 BAND = 4
-# Texts a task of the exact check compares with one leader.
+# Texts compared with one leader, or with one block, in one go.
 MEMBERS = 500
-# Leaders per bucket, in the round after the first and by how much it grows.
-LEADERS, GROWTH = 4, 8
+# Texts in a block, on average.
+BLOCK = 100
 # Distinct words a task remembers the hash of.
 REMEMBERED = 400_000
 BROADCAST_IDS = 1_000_000
@@ -193,11 +194,83 @@ def first_pairs(members: DataFrame, rows: int) -> DataFrame:
     return found.select(F.col("lead.id").alias("u"), F.col("id").alias("v")).distinct()
 
 
-def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, with their component, of the buckets that hold more than one."""
+def left_over(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of the buckets that hold more than one component, and of these
+    the ones outside the bucket's largest component (``id``, ``bucket``)."""
     known = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = known.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-    return known.join(mixed.select("bucket"), "bucket", "left_semi")
+    parts = known.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    buckets = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("main"), F.count("*").alias("parts"))
+    mixed = buckets.filter("parts > 1").select("bucket", F.col("main.component").alias("main"))
+    rest = stored(known.join(mixed, "bucket"), "open")
+    return rest, rest.filter("component <> main").select("id", "bucket")
+
+
+def check_blocks(rest: DataFrame, outer: DataFrame, pool: DataFrame) -> DataFrame:
+    """The links between left-over members and the members of their buckets.
+
+    A left-over id belongs to one block, next to others with the same smallest
+    bucket mate, so a block meets a text once however many buckets they share.
+    """
+    homes = rest.groupBy("bucket").agg(F.min("id").alias("lead"))
+    own = outer.join(homes, "bucket").groupBy("id").agg(F.min("lead").alias("home"))
+    sizes = own.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    own = own.join(sizes, "home").select("id", "home", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("block"))
+    own = stored(own, "blocks")
+    near = outer.join(own, "id").select("bucket", "home", "block").distinct()
+    meets = stored(rest.select("id", "bucket").join(near, "bucket").select("home", "block", "id").distinct(), "meets")
+    parts = meets.groupBy("home", "block").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+    members = meets.join(parts, ["home", "block"]).select(
+        "home", "block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), "id"
+    )
+    heads = own.join(parts, ["home", "block"]).select(
+        "home", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "id"
+    )
+    texts = members.unionByName(heads).join(pool, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, key, block = WordHashes(), None, None
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2))))
+            sides, ids = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            us, vs = [], []
+            for now, side, one, text in zip(keys, sides, ids, text_bytes(batch.column(5))):
+                if now != key:
+                    key, block = now, Block()
+                own = shingles(text.lower().split(), hashes)
+                if side == 0:
+                    block.add(one, own)
+                else:
+                    found = block.links(one, own)
+                    us += found
+                    vs += [one] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    dealt = texts.repartition("home", "block", "part").sortWithinPartitions("home", "block", "part", "side")
+    return dealt.select("home", "block", "part", "side", "id", "text").mapInArrow(run, "u bigint, v bigint")
+
+
+class Block:
+    """Shingle sets with an index from shingle to the sets that hold it."""
+
+    def __init__(self) -> None:
+        self.ids, self.sets, self.values = [], [], None
+
+    def add(self, one: int, own: np.ndarray) -> None:
+        self.ids.append(one)
+        self.sets.append(own)
+
+    def links(self, one: int, other: np.ndarray) -> list[int]:
+        if self.values is None:
+            self.sizes = np.array([len(s) for s in self.sets])
+            values = np.concatenate(self.sets) if self.sets else np.zeros(0, U)
+            order = np.argsort(values, kind="stable")
+            self.values, self.owner = values[order], np.repeat(np.arange(len(self.sets)), self.sizes)[order]
+        start = np.searchsorted(self.values, other, "left")
+        n = np.searchsorted(self.values, other, "right") - start
+        places = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+        both = np.bincount(self.owner[places], minlength=len(self.ids))
+        close = np.flatnonzero((both * 100 >= PERCENT * (self.sizes + len(other) - both)) & (both > 0))
+        return [self.ids[i] for i in close if self.ids[i] != one]
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,35 +310,9 @@ def bucket_components(docs: DataFrame, id_col: str, text_col: str, members: Data
     pairs = stored(first_pairs(members, slots), "pairs")
     links = stored(check_pairs(pairs, pool), "links")
     labels = stored(components(links), "labels")
-    # leaders have been compared with their whole bucket
-    rest = members.join(
-        members.groupBy("bucket").agg(F.min("id").alias("lead")), "bucket"
-    ).filter("id > lead").drop("lead")
-    leaders = LEADERS
-    while True:
-        rest = stored(open_buckets(rest, labels), "open")
-        if not rest.take(1):
-            return labels
-        order = F.row_number().over(_by_bucket())
-        chosen = rest.withColumn("place", order).filter(F.col("place") <= leaders)
-        lead = chosen.select("bucket", F.col("id").alias("u"), F.col("n").alias("m"), F.col("component").alias("c"))
-        found = rest.join(lead, "bucket").filter("component <> c").filter(close_in_size(F.col("n"), F.col("m")))
-        found = found.select("u", F.col("id").alias("v")).distinct()
-        tried = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        found = stored(found.join(tried, ["u", "v"], "left_anti"), "pairs")
-        more = stored(check_pairs(found, pool), "links")
-        if more.take(1):
-            links = links.unionByName(more)
-            labels = stored(components(links), "labels")
-        pairs = pairs.unionByName(found)
-        rest = rest.join(chosen.select("bucket", "id"), ["bucket", "id"], "left_anti").drop("component")
-        leaders *= GROWTH
-
-
-def _by_bucket():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("bucket").orderBy(F.xxhash64("id", "bucket"), "id")
+    rest, outer = left_over(members, labels)
+    more = stored(check_blocks(rest, outer, pool), "links")
+    return stored(components(links.unionByName(more)), "labels") if more.take(1) else labels
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
