@@ -1,8 +1,8 @@
 """All queries of the subpackage and their SQL."""
 
-from logfathom.llm import exact_dedup, near_dedup
+from logfathom.llm import exact_dedup, near_dedup, quality, warc_package
 
-MODULES = (exact_dedup, near_dedup)
+MODULES = (warc_package, quality, near_dedup, exact_dedup)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
