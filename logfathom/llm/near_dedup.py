@@ -46,7 +46,7 @@ BAND = 4
 # Texts compared with one leader, or with one block, in one go.
 MEMBERS = 500
 # Texts in a block, on average.
-BLOCK = 100
+BLOCK = 400
 # Distinct words a task remembers the hash of.
 REMEMBERED = 400_000
 BROADCAST_IDS = 1_000_000
@@ -208,16 +208,20 @@ def left_over(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFra
 def check_blocks(rest: DataFrame, outer: DataFrame, pool: DataFrame) -> DataFrame:
     """The links between left-over members and the members of their buckets.
 
-    A left-over id belongs to one block, next to others with the same smallest
-    bucket mate, so a block meets a text once however many buckets they share.
+    A left-over id has a home, the smallest id it shares a bucket with, and
+    belongs to one block of it. Whoever shares a bucket with one of a home
+    meets all blocks of the home, each once, however many buckets they share.
     """
     homes = rest.groupBy("bucket").agg(F.min("id").alias("lead"))
     own = outer.join(homes, "bucket").groupBy("id").agg(F.min("lead").alias("home"))
     sizes = own.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     own = own.join(sizes, "home").select("id", "home", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("block"))
     own = stored(own, "blocks")
-    near = outer.join(own, "id").select("bucket", "home", "block").distinct()
-    meets = stored(rest.select("id", "bucket").join(near, "bucket").select("home", "block", "id").distinct(), "meets")
+    # who meets a home at all; then every block of the home
+    near = outer.join(own, "id").select("bucket", "home").distinct()
+    meets = rest.select("id", "bucket").join(near, "bucket").select("home", "id").distinct().join(sizes, "home")
+    every = F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int")))
+    meets = stored(meets.select("home", every.alias("block"), "id"), "meets")
     parts = meets.groupBy("home", "block").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
     members = meets.join(parts, ["home", "block"]).select(
         "home", "block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), "id"
