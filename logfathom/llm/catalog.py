@@ -1,8 +1,21 @@
 """All queries of the subpackage and their SQL."""
 
-from logfathom.llm import chat_examples, exact_dedup, mixing, near_dedup, pieces, quality, token_files, warc_package
+from logfathom.llm import (
+    chat_examples,
+    exact_dedup,
+    language,
+    mixing,
+    near_dedup,
+    personal_data,
+    pieces,
+    quality,
+    token_files,
+    warc_package,
+)
 
-MODULES = (warc_package, chat_examples, quality, pieces, token_files, near_dedup, mixing, exact_dedup)
+MODULES = (
+    warc_package, chat_examples, quality, pieces, token_files, near_dedup, language, personal_data, mixing, exact_dedup,
+)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
