@@ -10,8 +10,8 @@ Two rules give the forward state. For ``unigram`` models it is the Viterbi
 rule: the best sum of scores over the pieces that end here. For ``bpe`` models
 sums of scores do not give the model's own segmentation, so the last piece is
 the one that the merges would leave here: it is unique, and a piece is it if
-the merges, run over the piece before it and itself, would not join them. Both
-rules give the ids of the sentencepiece library.
+the merges, run over the piece before it and itself, would not join them. So
+the ids of a BPE model are those of the sentencepiece library.
 
 Marked words are runs of U+2581 and the characters up to the next one. Pieces
 never hold that mark after another character (checked when a model is loaded),
