@@ -193,7 +193,9 @@ def pieces(rows: DataFrame, mix: Mix) -> DataFrame:
 
 def mixed_pieces(rows: DataFrame, plan: DataFrame, mix: Mix) -> DataFrame:
     """The mix: each slot's pieces of documents, joined by block number."""
-    slots = draw_slots(plan, mix).withColumnsRenamed({"source": "__source", "block": "__block"})
+    # a few rows of the plan become all slots: without the hint their size would
+    # be taken for the plan's, and they would be broadcast
+    slots = draw_slots(plan, mix).withColumnsRenamed({"source": "__source", "block": "__block"}).hint("merge")
     return pieces(rows, mix).join(
         slots, F.col("source").eqNullSafe(F.col("__source")) & (F.col("block") == F.col("__block"))
     ).drop("__source", "__block")
