@@ -27,6 +27,9 @@ BLANK = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 # One letter stands for each common word while they are counted.
 MARKS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+# Places of the table that finds a common word by its hash, and seeds tried to
+# give each word a place of its own; one seed fails in half of all cases.
+SLOTS, SEEDS = 2048, 64
 # Patterns of the character classes; the last class is everything else.
 CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"[ ]", r"[\x09-\x0D]", r"[.,;:!?'\x22()-]", r"[#*$%&|<>=_/\\@+~^{}\[\]]")
 
@@ -110,10 +113,30 @@ def word_references(docs: DataFrame, rules: Rules, lang_col: str, text_col: str)
     top = both.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rules.common)
     top = top.join(total, top["lang"].eqNullSafe(total["lang"])).drop(total["lang"])
     row = F.sort_array(F.collect_list(F.struct("place", "word", (F.col("n") / F.col("total")).alias("share"))))
-    return (
+    refs = (
         top.groupBy("lang").agg(row.alias("rows"))
         .select("lang", F.col("rows.word").alias("words"), F.col("rows.share").alias("shares"))
     )
+    return with_slots(refs)
+
+
+def slot(word: Column, seed: Column) -> Column:
+    return F.pmod(F.xxhash64(word, seed), F.lit(SLOTS)).cast("int")
+
+
+def with_slots(refs: DataFrame) -> DataFrame:
+    """Add ``seed`` and ``slots``: the number of the word in each place, or 0.
+
+    The seed is the first one that gives every word a place of its own.
+    """
+    seeds = F.filter(
+        F.sequence(F.lit(1), F.lit(SEEDS)),
+        lambda k: F.size(F.array_distinct(F.transform("words", lambda w: slot(w, k)))) == F.size("words"),
+    )
+    refs = refs.withColumn("seed", F.get(seeds, F.lit(0)))
+    refs = refs.withColumn("__taken", F.transform("words", lambda w: slot(w, F.col("seed"))))
+    slots = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.array_position("__taken", i).cast("tinyint"))
+    return refs.withColumn("slots", slots).drop("__taken")
 
 
 def with_reference(df: DataFrame, refs: DataFrame, lang: str, few: bool) -> DataFrame:
@@ -152,24 +175,25 @@ def judged(docs: DataFrame, rules: Rules = Rules(), lang_col: str = "lang", text
     """
     refs = stored(word_references(docs, rules, lang_col, text_col), "word-references")
     few = refs.count() <= 1000
-    marks = " " + MARKS
     df = docs.select(
         *[F.col(c).alias(f"__keep_{i}") for i, c in enumerate(keep)],
         F.col(lang_col).cast("string").alias("__language"), F.col(text_col).alias("text"),
     )
     df = with_reference(text_columns(df), refs, "__language", few)
     df = df.withColumn("__tokens", letter_words(F.col("__text")))
-    hits = F.array_join(
-        F.transform("__tokens", lambda t: F.substring(F.lit(marks), F.array_position("words", t).cast("int") + 1, F.lit(1))), ""
+    at = F.transform("__tokens", lambda t: F.struct(t.alias("t"), F.get("slots", slot(t, F.col("seed"))).cast("int").alias("k")))
+    df = df.withColumn("__at", F.filter(at, lambda x: x["k"] > 0))
+    hits = F.transform(
+        F.filter("__at", lambda x: F.get("words", x["k"] - 1) == x["t"]), lambda x: F.substring(F.lit(MARKS), x["k"], F.lit(1))
     )
-    df = df.withColumn("__hits", F.coalesce(hits, F.lit("")))
+    df = df.withColumn("__hits", F.coalesce(F.array_join(hits, ""), F.lit("")))
     lengths = [F.length(F.regexp_replace("__text", f"{c}+", "")) for c in CLASSES]
     size = F.length("__text")
     df = df.withColumns(
         {
             "__counts": F.transform(
                 F.sequence(F.lit(1), F.size("words")),
-                lambda k: F.length("__hits") - F.length(F.replace(F.col("__hits"), F.substring(F.lit(marks), k + 1, F.lit(1)), F.lit(""))),
+                lambda k: F.length("__hits") - F.length(F.replace(F.col("__hits"), F.substring(F.lit(MARKS), k, F.lit(1)), F.lit(""))),
             ),
             "__n_tokens": F.size("__tokens"),
             "__classes": F.array(*[(size - rest).cast("bigint") for rest in lengths]),
