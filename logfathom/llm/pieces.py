@@ -39,10 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logfathom.llm.tables import documents
+from logfathom.llm.tables import documents, text_runs
 
 MARK = "▁"
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 # Characters up to which a word is remembered.
 REMEMBERED_LENGTH = 64
 # The library's penalty of an unknown character below the lowest score.
@@ -254,6 +254,9 @@ class Encoder:
         self.split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        return [ids for run in text_runs(texts) for ids in self.encode_run(run)]
+
+    def encode_run(self, texts: list[str]) -> list[np.ndarray]:
         model, known = self.model, self.known
         if len(known) > REMEMBERED:
             known.clear()
@@ -279,14 +282,11 @@ class Encoder:
             elif extra:
                 own = run[extra] + own
             fresh[g] = np.array(own, np.int32).tobytes()
-        look = {**known, **fresh} if len(fresh) > len(known) else known
-        if look is known:
-            known.update(fresh)
-        else:
-            self.known = look
-        out = [np.frombuffer(b"".join(map(look.__getitem__, gs)), np.int32) for gs in groups]
-        for g in [g for g in fresh if len(g) > REMEMBERED_LENGTH]:
-            del look[g]
+        known.update(fresh)
+        out = [np.frombuffer(b"".join(map(known.__getitem__, gs)), np.int32) for gs in groups]
+        for g in fresh:
+            if len(g) > REMEMBERED_LENGTH:
+                del known[g]
         return out
 
 

@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import logfathom
@@ -77,9 +77,18 @@ def text_bytes(column: pa.Array) -> Iterator[bytes]:
         yield buffer.to_pybytes() if buffer is not None else b""
 
 
-def ascii_lower(text: Column) -> Column:
-    """A-Z only; other letters stay."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def text_runs(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[str]]:
+    """Texts in runs of about so many characters: what is made of the words of
+    a run is bounded, however many texts a batch has. Null is empty."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text or "")
+        size += len(held[-1])
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logfathom.llm.tables import Layout, documents, fresh_name, open_store, shared_folder, stored
+from logfathom.llm.tables import Layout, documents, fresh_name, open_store, shared_folder, stored, text_runs
 
 HEAD = Layout("<4sHHIQQI")
 TAIL = Layout("<QQ4s")
@@ -45,7 +45,7 @@ BLOCK_IDS = 8192
 FILE_IDS = 200_000_000
 # Ids a reading task handles at once.
 READ_IDS = 2_000_000
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -160,11 +160,15 @@ class WordEncoder:
         self.tokenizer, self.whole, self.known = Tokenizer.from_file(path), whole, {}
         self.split = re.compile(r"[^\x20\x09-\x0D]+").findall
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if self.whole:
-            for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-                yield np.array(found.ids, np.uint32)
-            return
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        for run in text_runs(texts):
+            if self.whole:
+                for found in self.tokenizer.encode_batch_fast(run, add_special_tokens=False):
+                    yield np.array(found.ids, np.uint32)
+            else:
+                yield from self.encode_run(run)
+
+    def encode_run(self, texts: list[str]) -> Iterator[np.ndarray]:
         if len(self.known) > REMEMBERED:
             self.known = {}
         words = [self.split(t) for t in texts]
