@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logfathom.llm.tables import documents
+from logfathom.llm.tables import documents, worker_memory
 
 SAMPLE_ROWS = 80
 TOTAL_CHARS = 80_000
@@ -128,7 +128,9 @@ def predicted(docs: DataFrame, training: dict[str, str], text_col: str = "text")
         models = None
         for batch in batches:
             if models is None:
-                models = [(k, automaton(t), math.log2(len(t) + 1)) for k, t in training.items()]
+                models = worker_memory(
+                    f"automata {sorted(training.items())}", lambda: [(k, automaton(t), math.log2(len(t) + 1)) for k, t in training.items()]
+                )
             names, scores = [], []
             for cell in batch.column(place):
                 text = letters(cell.as_py() or "")

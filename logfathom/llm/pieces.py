@@ -39,10 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logfathom.llm.tables import documents, text_runs
+from logfathom.llm.tables import documents, text_runs, worker_memory
 
 MARK = "▁"
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 # Characters up to which a word is remembered.
 REMEMBERED_LENGTH = 64
 # The library's penalty of an unknown character below the lowest score.
@@ -260,7 +260,7 @@ class Encoder:
         model, known = self.model, self.known
         if len(known) > REMEMBERED:
             known.clear()
-        groups = [self.split(model.normal(t)) if t else [] for t in texts]
+        groups = [self.split(model.normal(t)) for t in texts]
         new = {g for gs in groups for g in gs if g not in known}
         plain, runs = {}, set()
         for g in new:
@@ -301,6 +301,7 @@ class Decoder:
             if model.library.is_control(i):
                 self.parts[i] = b""
         self.parts[model.unknown] = " ⁇ ".encode()
+        self.low, self.high = (min(model.bytes.values()), max(model.bytes.values())) if model.bytes else (1, 0)
 
     def decode(self, ids: Iterable[int]) -> str:
         text = b"".join(map(self.parts.__getitem__, ids)).decode("utf-8", "replace")
@@ -315,7 +316,7 @@ def encoded(docs: DataFrame, model: str, text_col: str = "text", out_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
-            encoder = encoder or Encoder(model)
+            encoder = encoder or worker_memory(f"encoder {model}", lambda: Encoder(model))
             found = encoder.encode(batch.column(place).to_pylist())
             sizes = np.cumsum([0, *map(len, found)], dtype=np.int32)
             flat = np.concatenate(found) if found else np.zeros(0, np.int32)
@@ -333,7 +334,7 @@ def decoded(rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = None
         for batch in batches:
-            decoder = decoder or Decoder(model)
+            decoder = decoder or worker_memory(f"decoder {model}", lambda: Decoder(model))
             texts = [decoder.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in batch.column(place)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out_col])
 
@@ -348,7 +349,7 @@ def digested(rows: DataFrame, model: str) -> DataFrame:
         decoder = None
         for batch in batches:
             if decoder is None:
-                decoder, low, high = Decoder(model), *byte_range(model)
+                decoder = worker_memory(f"decoder {model}", lambda: Decoder(model))
             ids = [x.values.to_numpy(zero_copy_only=False).astype("<u4") for x in batch.column(2)]
             texts = [decoder.decode(x.tolist()) for x in ids]
             given = batch.column(1).to_pylist()
@@ -356,7 +357,7 @@ def digested(rows: DataFrame, model: str) -> DataFrame:
                 [
                     batch.column(0),
                     pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([int(((x >= low) & (x <= high)).sum()) for x in ids], pa.int64()),
+                    pa.array([int(((x >= decoder.low) & (x <= decoder.high)).sum()) for x in ids], pa.int64()),
                     pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
                     pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts]),
                     pa.array([t == (g or "") for t, g in zip(texts, given)]),
@@ -367,11 +368,6 @@ def digested(rows: DataFrame, model: str) -> DataFrame:
     return rows.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), "ids").mapInArrow(run, schema)
 
 
-def byte_range(model: str) -> tuple[int, int]:
-    ids = Model(model).bytes.values()
-    return (min(ids), max(ids)) if ids else (1, 0)
-
-
 def default_model() -> str:
     import public_tokenizers
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import struct
+import sys
+import types
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -77,6 +79,15 @@ def text_bytes(column: pa.Array) -> Iterator[bytes]:
         yield buffer.to_pybytes() if buffer is not None else b""
 
 
+def worker_memory(key: str, make: Callable):
+    """An object that a Python worker keeps from task to task: models and
+    memories of words are not made anew for each. Only a matter of speed."""
+    home = sys.modules.setdefault("_logfathom_worker", types.ModuleType("_logfathom_worker"))
+    if key not in vars(home):
+        setattr(home, key, make())
+    return getattr(home, key)
+
+
 def text_runs(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[str]]:
     """Texts in runs of about so many characters: what is made of the words of
     a run is bounded, however many texts a batch has. Null is empty."""

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logfathom.llm.tables import Layout, documents, fresh_name, open_store, shared_folder, stored, text_runs
+from logfathom.llm.tables import Layout, documents, fresh_name, open_store, shared_folder, stored, text_runs, worker_memory
 
 HEAD = Layout("<4sHHIQQI")
 TAIL = Layout("<QQ4s")
@@ -45,7 +45,7 @@ BLOCK_IDS = 8192
 FILE_IDS = 200_000_000
 # Ids a reading task handles at once.
 READ_IDS = 2_000_000
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -146,19 +146,31 @@ class TokenFile:
         return np.concatenate(parts)[start - first * self.block : stop - first * self.block]
 
 
+# The pre-tokens of the tokenizer in texts of Latin-1 characters, lower-cased:
+# contractions, letters, single numbers, the rest but blanks.
+LETTERS, NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
+PRE_TOKENS = f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\x09-\\x0D\\x20{LETTERS}{NUMBERS}]+"
+JOINED = 1000
+# Texts with other characters, or that may hold special tokens, are cut at ASCII
+# blanks only.
+UNUSUAL = r"[^\x09-\x0D\x20-\x7E\xA1-\xFF]|<\|"
+
+
 class WordEncoder:
-    """Encodes whole texts word by word, with a bounded memory of words.
+    """Encodes whole texts from the ids of their pre-tokens, with a bounded
+    memory of them; what is not remembered is encoded by the library.
 
-    Exact where the tokenizer never joins characters over ASCII blanks and drops
-    them, as tokenizers do that split at white space; ``whole`` says that it
-    does not, and texts are then encoded as they are.
+    Exact for tokenizers that lower-case, drop white space and split as
+    ``PRE_TOKENS`` says; with ``whole`` texts are handed over as they are.
     """
 
     def __init__(self, path: str, whole: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.whole, self.known = Tokenizer.from_file(path), whole, {}
-        self.split = re.compile(r"[^\x20\x09-\x0D]+").findall
+        self.words = re.compile(r"[^\x20\x09-\x0D]+").findall
+        self.mixed = lambda part: self.unusual(part) or len(self.parts(part)) != 1
+        self.parts, self.unusual = re.compile(PRE_TOKENS).findall, re.compile(UNUSUAL).search
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         for run in text_runs(texts):
@@ -171,15 +183,26 @@ class WordEncoder:
     def encode_run(self, texts: list[str]) -> Iterator[np.ndarray]:
         if len(self.known) > REMEMBERED:
             self.known = {}
-        words = [self.split(t) for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.known})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, np.uint32).tobytes()
-        look = self.known.__getitem__
-        for ws in words:
-            yield np.frombuffer(b"".join(map(look, ws)), np.uint32)
+        known = self.known
+        cut = [self.words(t) if self.unusual(t) else self.parts(t.lower()) for t in texts]
+        new = list({w for ws in cut for w in ws if w not in known})
+        for i in range(0, len(new), JOINED):
+            self.learn(new[i : i + JOINED])
+        for ws in cut:
+            yield np.frombuffer(b"".join(map(known.__getitem__, ws)), np.uint32)
+
+
+    def learn(self, parts: list[str]) -> None:
+        """Encode parts side by side; the library says whose each id is. Parts
+        that are more than one pre-token are encoded one by one."""
+        found = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
+        ids, owner = np.array(found.ids, np.uint32).tobytes(), found.word_ids
+        if owner and owner[-1] == len(parts) - 1 and None not in owner and not any(map(self.mixed, parts)):
+            cuts = np.searchsorted(np.array(owner), np.arange(len(parts) + 1)) * 4
+            self.known.update((p, ids[a:b]) for p, a, b in zip(parts, cuts[:-1].tolist(), cuts[1:].tolist()))
+            return
+        for part, one in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
+            self.known[part] = np.array(one.ids, np.uint32).tobytes()
 
 
 def write_tokens(
@@ -204,7 +227,7 @@ def write_tokens(
             )
 
         for batch in batches:
-            encoder = encoder or WordEncoder(tokenizer, whole)
+            encoder = encoder or worker_memory(f"words {tokenizer} {whole}", lambda: WordEncoder(tokenizer, whole))
             for one, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
                 if writer is None:
                     fs, base = open_store(folder)
