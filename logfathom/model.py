@@ -54,7 +54,7 @@ EVENT_FIELDS = BASE_FIELDS | ENRICHED_FIELDS
 EVENT_DDL = ", ".join(f"`{n}` {t}" for n, t in EVENT_FIELDS.items()) + ", event_ts timestamp"
 
 # Columns that say where a line came from; they make ids repeatable.
-POSITION = ("source", "block", "seq", "sub")
+POSITION = ("source", "seq", "sub")
 
 
 @dataclass

@@ -69,7 +69,7 @@ def detect_sources(
     is looked for in all lines. Both are partial aggregates.
     """
     line = F.col(line_col)
-    spot = F.struct(F.col("block"), F.col("seq"), F.col("sub") if "sub" in lines.columns else F.lit(0))
+    spot = F.struct(F.col("seq"), F.col("sub") if "sub" in lines.columns else F.lit(0).alias("sub"))
     scan = lines.select("source", spot.alias("at"), line.alias("line"), has_xml_sign(line).alias("x"))
     first = scan.groupBy("source").agg(
         F.min(F.when(present(F.col("line")), F.col("at"))).alias("first"),
@@ -79,8 +79,8 @@ def detect_sources(
     heads = (
         near.filter(
             (F.col("at") >= F.col("__f_first"))
-            & (F.col("at.block") == F.col("__f_first.block"))
             & (F.col("at.seq") < F.col("__f_first.seq") + HEAD)
+            & (F.col("at.sub") < F.col("__f_first.sub") + HEAD)
         )
         .groupBy("source")
         .agg(

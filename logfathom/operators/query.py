@@ -127,7 +127,7 @@ def with_message(events: DataFrame) -> DataFrame:
 
 def preview(events: DataFrame, limit: int = 50) -> DataFrame:
     """The first events in input order, by position where it is known."""
-    spots = [c for c in ("source", "block", "seq", "sub") if c in events.columns]
+    spots = [c for c in ("source", "seq", "sub") if c in events.columns]
     return events.orderBy(*spots or ["event_id"]).limit(limit)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,6 +105,12 @@ def route_lines(
     return union_events(parts)
 
 
+def plain_path(uri: str) -> str:
+    """A file's URI as a path to read: decoded, and its signs of patterns taken
+    literally."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(uri))
+
+
 def normalize_files(
     spark: SparkSession, path: str | list[str], *, reference_date: Column | None = None
 ) -> DataFrame:
@@ -116,13 +124,13 @@ def normalize_files(
     # file names, of which the file listing already holds the full set
     by_format: dict[str, list[str]] = {}
     for row in formats.toLocalIterator():
-        by_format.setdefault(row["format"], []).append(row["source"])
+        by_format.setdefault(row["format"], []).append(plain_path(row["source"]))
     parts = []
     shaped = [n for n, p in PARSERS.items() if p.shape is not None]
     if set(by_format) & set(shaped):
         tagged = lookup_join(
             lines, formats.withColumnRenamed("source", "__source"), {"source": "__source"},
-            salt_by=["block", "seq"], prefix="",
+            salt_by=["seq"], prefix="",
         ).withColumn("value", strip(F.col("value")))
         parts.append(
             _projected(
@@ -150,7 +158,7 @@ def _json_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
         F.min_by("value", F.struct("block", "seq", "sub")).alias("first")
     )
     whole = [
-        r["source"]
+        plain_path(r["source"])
         for r in first.filter(strict_json(F.col("first")).isNull()).select("source").toLocalIterator()
     ]
     split = [p for p in paths if p not in set(whole)]

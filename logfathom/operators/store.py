@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logfathom.model import EVENT_DDL, align
 from logfathom.operators.lookup import fits_broadcast
-from logfathom.session import cut_lineage
+from logfathom.session import remove_path, scratch_dir
 
 STORE_DDL = f"{EVENT_DDL}, created_at timestamp, session_id string"
 SESSION_DDL = (
@@ -91,19 +92,26 @@ class EventStore:
         filename: str = "",
         fmt: str = "",
         order: list[str] | None = None,
+        more: bool = False,
     ) -> int:
         """Insert or ignore by ``event_id`` under one session; returns the
         number of rows handed in, as the session row records it.
 
         The batch is written out once before it is compared, so the parse
-        runs once. Running it again inserts nothing.
+        runs once; the copy is removed. Running it again inserts nothing. With
+        ``more`` the batch adds to a session (a stream's), whose row then
+        counts the events stored.
         """
         session = session_id or default_session_id()
         spots = order or []
-        batch = cut_lineage(align(events, keep=spots), "batch")
+        scratch = scratch_dir(self.spark, "batch")
+        aligned = align(events, keep=spots)
+        aligned.write.parquet(scratch)
+        batch = self.spark.read.schema(aligned.schema).parquet(scratch)
         handed = batch.count()
         now = dt.datetime.now(dt.timezone.utc)
-        self._put_session(session, filename, fmt, handed, now)
+        if not more:
+            self._put_session(session, filename, fmt, handed, now)
         fresh = insert_new(batch, self.events(), order).drop(*spots)
         (
             fresh.withColumn("is_malicious", F.coalesce("is_malicious", F.lit(False)))
@@ -113,6 +121,9 @@ class EventStore:
             .partitionBy("session_id")
             .parquet(self.events_path)
         )
+        if more:
+            self._put_session(session, filename, fmt, self.events().filter(F.col("session_id") == session).count(), now)
+        remove_path(self.spark, scratch)
         return handed
 
     def _put_session(
@@ -143,23 +154,19 @@ class EventStore:
         for path in (self.events_path, self.sessions_path):
             for folder in self._folders(path, session_id):
                 self._remove(folder)
+        if self.events().filter(F.col("session_id") == session_id).limit(1).count():
+            raise OSError(f"events of session {session_id!r} are still there")
         return gone
 
     # --- folders ---
 
     def _folders(self, path: str, session_id: str) -> list[str]:
-        """Folder of a session, as the writer spells it."""
+        """Folders of a session: their names hold it with some signs encoded."""
         if not self._exists(path):
             return []
-        rows = (
-            self.spark.read.schema("session_id string")
-            .parquet(path)
-            .select("session_id", F.col("_metadata.file_path").alias("f"))
-            .filter(F.col("session_id") == session_id)
-            .select(F.regexp_extract("f", r"^(.*)/[^/]+$", 1).alias("d"))
-            .distinct()
-        )
-        return [r.d for r in rows.toLocalIterator()]
+        fs, target = self._fs(path)
+        names = [status.getPath().getName() for status in fs.listStatus(target)]
+        return [f"{path}/{name}" for name in names if unquote(name) == f"session_id={session_id}"]
 
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
@@ -172,8 +179,8 @@ class EventStore:
         return fs.exists(target)
 
     def _remove(self, path: str) -> None:
-        fs, target = self._fs(path)
-        fs.delete(target, True)
+        if not remove_path(self.spark, path) and self._exists(path):
+            raise OSError(f"{path} could not be removed")
 
 
 def ingest(

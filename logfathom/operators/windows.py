@@ -162,5 +162,5 @@ def normalize_windows_xml(
         "raw": text,
     }
     if key is None:
-        key = [c for c in ("source", "block", "seq") if c in staged.columns]
+        key = [c for c in ("source", "seq") if c in staged.columns]
     return emit(staged, fields, [*key, "sub", "part"], keep)

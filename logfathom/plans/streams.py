@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from logfathom.operators.cef import normalize_cef
 from logfathom.operators.enrich import enrich_geo, enrich_threat
 from logfathom.operators.route import normalize_files
 from logfathom.operators.store import EventStore
@@ -74,10 +75,11 @@ def stream_ingest(spark, sf_dir):
     store = EventStore(spark, scratch_dir(spark, "store"))
     for run in ("one", "two"):
         query = watch.start_ingest(
-            watch.stream_lines(spark, src), "cef", store, run, scratch_dir(spark, "mark"), once=True
+            watch.stream_lines(spark, src, 2), "cef", store, run, scratch_dir(spark, "mark"), once=True
         )
         _drain(query)
-    return store.events().selectExpr("extensions['signature_id'] AS sig", "severity")
+    # all micro-batches of a stream are one session
+    return store.events().filter("session_id = 'one'").selectExpr("extensions['signature_id'] AS sig", "severity")
 
 
 @register("stream_severity", f"WITH {FACTS_SQL} SELECT {_SEV} AS severity, count(*) AS n FROM f GROUP BY 1")
@@ -105,6 +107,50 @@ def store_ingest(spark, sf_dir):
     )
 
 
+@register(
+    "reingest_files",
+    f"""WITH {FACTS_SQL} SELECT CAST(id AS VARCHAR) AS sig, copies FROM (
+        SELECT id, 1 AS copies FROM f UNION ALL SELECT id, 2 AS copies FROM f WHERE id % 3 = 0)""",
+)
+def reingest_files(spark, sf_dir):
+    """One folder inserted, then it with a second one, then both again with
+    smaller splits: each line is stored once for each file it stands in."""
+    first = _files(spark, sf_dir, _LINE, "first")
+    second = scratch_dir(spark, "second")
+    facts(spark, sf_dir).filter("id % 3 = 0").selectExpr(f"{_LINE} AS value").write.text(second)
+    store = EventStore(spark, scratch_dir(spark, "store"))
+    sizes = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(sizes)
+    store.insert(normalize_cef(read_lines(spark, first)), "a")
+    store.insert(normalize_cef(read_lines(spark, [first, second])), "b")
+    spark.conf.set(sizes, "40000")
+    try:
+        store.insert(normalize_cef(read_lines(spark, [first, second])), "c")
+    finally:
+        spark.conf.set(sizes, before)
+    return store.events().selectExpr("extensions['signature_id'] AS sig", "CASE session_id WHEN 'a' THEN 1 WHEN 'b' THEN 2 ELSE 3 END AS copies")
+
+
+_NAMES = ["a b", "2024:01", "x/y", "p%q", "plain"]
+
+
+@register(
+    "delete_named_session",
+    f"WITH {FACTS_SQL} SELECT ['a b', '2024:01', 'x/y', 'p%q', 'plain'][u % 5 + 1] AS session_id, count(*) AS n FROM f "
+    "WHERE u % 5 IN (0, 4) GROUP BY 1",
+)
+def delete_named_session(spark, sf_dir):
+    """Sessions whose names hold signs that folder names encode; three go."""
+    store = EventStore(spark, scratch_dir(spark, "store"))
+    owner = facts(spark, sf_dir).selectExpr("id", "u % 5 AS owner")
+    owned = event_rows(spark, sf_dir).drop("session_id").join(owner, "id")
+    for place, name in enumerate(_NAMES):
+        store.insert(owned.filter(F.col("owner") == place), name, order=["id"])
+    for name in _NAMES[1:4]:
+        store.delete(name)
+    return store.events().groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("file_scan", f"WITH {FACTS_SQL} SELECT count(*) AS lines, count(DISTINCT id) AS spots FROM f")
 def file_scan(spark, sf_dir):
     """Lines of files; every line has a position of its own."""

@@ -39,16 +39,29 @@ def builder(app: str = "logfathom") -> SparkSession.Builder:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    Only where the session names none (a test on one machine) is a local
-    temporary folder used.
+    Only a session on one machine may name none; a local temporary folder is
+    used then.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not on_one_machine(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="logfathom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/logfathom/{label}-{uuid.uuid4().hex}"
 
 
+def on_one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+def remove_path(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder; False if nothing was there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.delete(target, True)
+
+
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: computed once, and
     safe from the loss of an executor."""

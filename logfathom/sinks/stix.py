@@ -211,7 +211,7 @@ def stix_objects(
         if now is not None
         else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.'000Z'")
     )
-    spots = order or [c for c in ("source", "block", "seq", "sub") if c in events.columns]
+    spots = order or [c for c in ("source", "seq", "sub") if c in events.columns]
     parts = [
         identity(events, ident, at, identity_name),
         addresses(events),

@@ -2,72 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logfathom.functions.text import lines_of, rare_lines_of, strip
-
-_ROW_BITS = (1 << 33) - 1
+from logfathom.operators.lookup import fits_broadcast
+from logfathom.session import cut_lineage
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Text files as ``value`` with the position of every line.
 
-    ``source`` is the file, ``block`` the byte offset of the file split the
-    line was read from, ``seq`` its order in the split and ``sub`` its order
-    where one stored line holds rarer line breaks. Bytes that are no UTF-8
-    become U+FFFD. All narrow: positions come from the scan itself.
+    ``source`` is the file, ``seq`` the number of the line in it (from 0) and
+    ``sub`` its order where one stored line holds rarer line breaks; ``block``
+    is the byte offset of the file split it was read from. Bytes that are no
+    UTF-8 become U+FFFD. A line's number says nothing about how files are split
+    or what else is read, so ids made of it stay.
     """
     scan = spark.read.text(path).select(
         F.make_valid_utf8("value").alias("value"),
         F.col("_metadata.file_path").alias("source"),
         F.col("_metadata.file_block_start").alias("block"),
     )
-    return break_lines(number_lines(scan, alone=one_split_per_task(spark)))
-
-
-def one_split_per_task(spark: SparkSession) -> bool:
-    """True where the session packs no two file splits into one task.
-
-    That is so when the cost put on opening a file is at least the largest
-    split; the row number inside a task then is the order inside the split.
-    """
-    size = "spark.sql.files.maxPartitionBytes"
-    cost = "spark.sql.files.openCostInBytes"
-    return _bytes(spark.conf.get(cost)) >= _bytes(spark.conf.get(size))
-
-
-def _bytes(text: str) -> int:
-    units = {"k": 10, "m": 20, "g": 30, "t": 40}
-    digits = text.lower().rstrip("b")
-    if digits and digits[-1] in units:
-        return int(digits[:-1]) << units[digits[-1]]
-    return int(digits)
+    return break_lines(number_lines(scan))
 
 
-def number_lines(scan: DataFrame, alone: bool = False) -> DataFrame:
-    """Add ``seq``, the order of a line within its (source, block).
+def number_lines(scan: DataFrame) -> DataFrame:
+    """Add ``seq``, the number of a line in its source.
 
-    The row number inside a task depends on which small splits share that
-    task. Unless splits are known to be ``alone``, it is made independent of
-    this by subtracting the first row number of each split, a table of one
-    row per split.
+    The lines of each split are counted first: a table of one row per split,
+    whose running sums per source give the number of the split's first line.
+    It is broadcast while it is within the measured bound, so no text is
+    shuffled; a source is never gathered in one task.
     """
-    if alone:
-        return scan.withColumn("seq", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)))
     numbered = scan.withColumn("__row", F.monotonically_increasing_id())
-    first = (
-        numbered.groupBy("source", "block")
-        .agg(F.min("__row").alias("__first"))
-        .withColumnsRenamed({"source": "__source", "block": "__block"})
+    counts = numbered.groupBy("source", "block").agg(
+        F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n")
     )
-    joined = numbered.join(
-        first,
-        (F.col("source") == F.col("__source")) & (F.col("block") == F.col("__block")),
-        "left",
+    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = cut_lineage(
+        counts.select(
+            F.col("source").alias("__source"), F.col("block").alias("__block"), "__first",
+            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
+        ),
+        "splits",
     )
-    return joined.withColumn("seq", F.col("__row") - F.col("__first")).drop(
-        "__row", "__first", "__source", "__block"
+    firsts = F.broadcast(firsts) if fits_broadcast(firsts) else firsts
+    same = (F.col("source") == F.col("__source")) & (F.col("block") == F.col("__block"))
+    return (
+        numbered.join(firsts, same)
+        .withColumn("seq", F.col("__row") - F.col("__first") + F.col("__before"))
+        .drop("__row", "__first", "__before", "__source", "__block")
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logfathom.functions.text import lines_of, strip
-from logfathom.sources.lines import number_lines, one_split_per_task
+from logfathom.sources.lines import number_lines
 
 END = "</Event>"
 
@@ -21,7 +21,7 @@ def read_windows_xml(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.col("_metadata.file_path").alias("source"),
         F.col("_metadata.file_block_start").alias("block"),
     )
-    return number_lines(scan, alone=one_split_per_task(spark)).withColumn("value", F.concat("value", F.lit(END)))
+    return number_lines(scan).withColumn("value", F.concat("value", F.lit(END)))
 
 
 def cut_records(df: DataFrame, col: str = "value") -> DataFrame:

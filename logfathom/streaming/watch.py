@@ -11,11 +11,10 @@ from pyspark.sql.streaming import StreamingQuery
 from logfathom.operators.query import with_message
 from logfathom.operators.registry import format_of, parser_of
 from logfathom.operators.store import EventStore
-from logfathom.sources.lines import break_lines, number_lines
+from logfathom.sources.lines import break_lines, number_lines, read_lines
 
 POLL = "2 seconds"
-SAMPLE_LINES = 200
-SAMPLE_CHARS = 8192
+SAMPLE_CHARS = 8192  # of the head that tells a source's format
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -37,12 +36,18 @@ def stream_lines(spark: SparkSession, path: str, files_per_trigger: int | None =
 
 
 def sample_format(spark: SparkSession, path: str) -> str:
-    """Format of a source from the head of what is there, once before the start."""
-    head = spark.read.text(path).limit(SAMPLE_LINES)
-    row = head.agg(
-        F.substring(F.array_join(F.collect_list("value"), "\n"), 1, SAMPLE_CHARS).alias("head")
-    ).select(format_of(F.col("head")).alias("format"))
-    return row.first()["format"]
+    """Format of a source from the head of its first file, once before the start.
+
+    The head is the first ``SAMPLE_CHARS`` characters in order of lines: no more
+    lines than characters are gathered, each cut to that length.
+    """
+    lines = read_lines(spark, path)
+    first = lines.agg(F.min("source").alias("source")).first()["source"]
+    place = F.struct("seq", "sub", F.substring("value", 1, SAMPLE_CHARS).alias("text"))
+    head = lines.filter((F.col("source") == first) & (F.col("seq") < SAMPLE_CHARS) & (F.col("sub") < SAMPLE_CHARS))
+    texts = F.transform(F.array_sort(F.collect_list(place)), lambda x: x["text"])
+    text = F.substring(F.array_join(texts, "\n"), 1, SAMPLE_CHARS)
+    return head.agg(text.alias("head")).select(format_of(F.col("head")).alias("format")).first()["format"]
 
 
 def normalize_batch(
@@ -52,8 +57,8 @@ def normalize_batch(
 
     Parsers are stateless, so a micro-batch needs nothing but its own lines.
     They run on the batch frame, whose planner keeps the parsing steps apart
-    (a streaming plan writes them into one expression). Line positions are
-    numbered inside the batch, so ids are the same when a batch runs again.
+    (a streaming plan writes them into one expression). A file comes whole in
+    one batch and its lines are numbered there, so ids are those of a batch read.
     """
     spotted = batch
     if {"source", "block"} <= set(batch.columns) and "key" not in options:
@@ -100,12 +105,12 @@ def start_ingest(
     once: bool = False,
     **options,
 ) -> StreamingQuery:
-    """Insert or ignore every micro-batch into a store; a repeated batch inserts
-    nothing. Zeek files are complete within a batch and get their headers there."""
+    """Insert or ignore every micro-batch into one session of a store; a repeated
+    batch inserts nothing. Zeek files are complete within a batch and get their headers there."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
         events = normalize_batch(batch, fmt, enrich_with=enrich_with, **options)
-        store.insert(events, f"{session_id}-{batch_id}" if batch_id else session_id, fmt=fmt)
+        store.insert(events, session_id, fmt=fmt, more=True)
 
     return _start(lines, put, checkpoint, once)
 

@@ -180,3 +180,69 @@ def test_mixed_files(spark, tmp_path):
         ("json", "one"), ("json", "two"),
     ]
     assert len({r.event_id for r in rows}) == 5
+
+
+def test_file_names_with_signs(spark, tmp_path):
+    (tmp_path / "my file.json").write_text('{"msg":"one"}\n{"msg":"two"}\n')
+    (tmp_path / "a [1] %20.xml").write_text("<Events><Event ><System><EventID>4624</EventID></System></Event></Events>")
+    (tmp_path / "x{y}.log").write_text("#fields\tid.orig_h\tuid\n1.2.3.4\tq\n")
+    rows = normalize_files(spark, str(tmp_path)).collect()
+    assert sorted(r.source_format for r in rows) == ["evtx", "json", "json", "zeek"]
+
+
+def test_ids_do_not_depend_on_splits(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "a" / "x.log").write_text("".join(f"CEF:0|a|b|1|{i % 7}|n|7|src=1.2.3.4\n" for i in range(5000)))
+    (tmp_path / "b" / "y.log").write_text("CEF:0|a|b|1|2|n|7|src=1.2.3.4\n" * 3000)
+
+    def ids(*paths):
+        return {r.event_id for r in normalize_files(spark, [str(tmp_path / p) for p in paths]).select("event_id").collect()}
+
+    alone, both = ids("a"), ids("a", "b")
+    assert len(alone) == 5000 and len(both) == 8000 and alone < both
+    sizes = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(sizes)
+    spark.conf.set(sizes, "10000")
+    try:
+        assert ids("a", "b") == both
+    finally:
+        spark.conf.set(sizes, before)
+
+
+def test_numbering_shuffles_no_text(spark, tmp_path):
+    from logfathom.sources.lines import read_lines
+
+    (tmp_path / "x.log").write_text("a\nb\n")
+    plan = read_lines(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_sessions_with_signs_are_deleted(spark, tmp_path):
+    import os
+
+    store = EventStore(spark, str(tmp_path / "store"))
+    for name in ("a b", "2024:01", "x/y", "p%q"):
+        store.insert(events_for(spark, [f"1.1.1.{len(name)}"]).withColumn("event_id", F.lit(name)), name)
+        assert store.delete(name) == 1 and store.events().count() == 0 and store.sessions().count() == 0
+    root = spark.conf.get("spark.checkpoint.dir")
+    assert not [d for d in os.listdir(f"{root}/logfathom") if d.startswith("batch-")]
+
+
+def test_scratch_folder_is_asked_for(monkeypatch):
+    import pytest
+
+    from logfathom.session import scratch_dir
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        scratch_dir(Session(), "x")
