@@ -260,5 +260,68 @@ def op3_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(documents(spark, sf_dir), keep=("doc_id",)).drop("class_js", "word_js")
 
 
+def js_sql(p: str, q: str) -> str:
+    one = "CASE WHEN {0} > 0 THEN {0} * log2(2.0 * {0} / ({0} + {1})) ELSE 0.0 END"
+    both = f"({one.format('x[1]', 'x[2]')} + {one.format('x[2]', 'x[1]')}) / 2"
+    return f"sqrt(greatest(0.0, list_sum(list_transform(list_zip({p}, {q}), lambda x: {both}))))"
+
+
+def profile_sql(table: str) -> str:
+    """Class profiles of the languages with a word reference, and of all (null)."""
+    n = len(CLASSES)
+    sums = ", ".join(f"sum(c[{i + 1}])" for i in range(n))
+    rest = " - ".join(["sum(size)", *[f"sum(c[{i + 1}])" for i in range(n)]])
+    lists = f"[{sums}, {rest}]"
+    return f"""SELECT lang, list_transform(counts, lambda x: x / total) AS profile FROM (
+        SELECT lang, {lists} AS counts, sum(size) AS total FROM (
+            SELECT lang, c, size FROM {table} WHERE lang IN (SELECT lang FROM refs) UNION ALL SELECT NULL, c, size FROM {table}
+        ) GROUP BY lang) WHERE total > 0"""
+
+
+def oracle(rules: Rules = Rules()) -> str:
+    counts = ", ".join("length(t) - length(regexp_replace(t, '{}+', '', 'g'))".format(c.replace("'", "''")) for c in CLASSES)
+    own = "list_transform(list_append(c, size - list_sum(c)), lambda x: x / size)"
+    judged_by = f"""SELECT f.*, CASE WHEN size >= {rules.class_guard} THEN {js_sql(own, 'p.profile')} END AS js FROM features f
+        JOIN {{0}} p ON p.lang IS NOT DISTINCT FROM (CASE WHEN f.lang IN (SELECT lang FROM refs) THEN f.lang END)"""
+    return f"""
+        WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+                     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l,
+                     regexp_extract_all(lower(t), '\\p{{L}}+') AS k FROM d),
+        windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 4], ' ')) AS n
+                    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+        steps AS (SELECT doc_id, least(5, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 5)) AS s FROM windows WHERE n > 1),
+        covered AS (SELECT doc_id, sum(s) AS n FROM steps GROUP BY doc_id),
+        words AS (SELECT doc_id, lang, unnest(k) AS word FROM w),
+        counts AS (SELECT lang, word, count(*) AS n FROM words WHERE lang IS NOT NULL GROUP BY ALL
+                   UNION ALL SELECT NULL, word, count(*) FROM words GROUP BY word),
+        totals AS (SELECT lang, sum(n) AS total FROM counts GROUP BY lang HAVING lang IS NULL OR sum(n) >= {rules.least_reference_words}),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place FROM counts),
+        refs AS (SELECT t.lang, list(word ORDER BY place) AS words, list(n / total ORDER BY place) AS shares
+                 FROM ranked r JOIN totals t ON r.lang IS NOT DISTINCT FROM t.lang WHERE place <= {rules.common} GROUP BY t.lang),
+        own AS (SELECT doc_id, word, count(*) AS n FROM words GROUP BY ALL),
+        hists AS (SELECT w.doc_id, len(any_value(k)) AS m, list(coalesce(o.n, 0) ORDER BY r.i) AS h, any_value(r.shares) AS shares
+                  FROM w JOIN (SELECT lang, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i, shares FROM refs) r
+                       ON r.lang IS NOT DISTINCT FROM (CASE WHEN w.lang IN (SELECT lang FROM refs) THEN w.lang END)
+                  LEFT JOIN own o ON o.doc_id = w.doc_id AND o.word = r.word GROUP BY w.doc_id),
+        divergence AS (SELECT doc_id, CASE WHEN m >= {rules.word_guard} THEN
+            {js_sql('list_transform(list_append(h, m - list_sum(h)), lambda x: x / m)', 'list_append(shares, 1.0 - list_sum(shares))')} END AS js FROM hists),
+        features AS (SELECT doc_id, lang, length(t) AS size, [{counts}] AS c FROM d),
+        profile1 AS ({profile_sql('features')}),
+        judged1 AS ({judged_by.format('profile1')}),
+        near AS (SELECT lang, c, size FROM judged1 WHERE js IS NULL OR js <= {rules.class_limit}),
+        profile2 AS ({profile_sql('near')}),
+        judged2 AS ({judged_by.format('profile2')}),
+        base AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                        CAST(length(t) - length(regexp_replace(t, '{SYMBOLS}', '', 'g')) AS BIGINT) AS n_symbols,
+                        CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+                 FROM w LEFT JOIN covered c ON c.doc_id = w.doc_id)
+        SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed,
+               NOT failed AND NOT coalesce(j.js > {rules.class_limit}, false) AND NOT coalesce(v.js > {rules.word_limit}, false) AS kept
+        FROM (SELECT *, n_words < {rules.min_words} OR n_repeat_words * 100 > n_words * {rules.max_repeat_percent} AS failed FROM base) b
+        LEFT JOIN judged2 j ON j.doc_id = b.doc_id LEFT JOIN divergence v ON v.doc_id = b.doc_id
+    """
+
+
 QUERIES = {"op3_quality_divergence": op3_quality_divergence}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_quality_divergence": oracle()}
