@@ -181,10 +181,10 @@ def judged(docs: DataFrame, rules: Rules = Rules(), lang_col: str = "lang", text
     )
     df = with_reference(text_columns(df), refs, "__language", few)
     df = df.withColumn("__tokens", letter_words(F.col("__text")))
-    at = F.transform("__tokens", lambda t: F.struct(t.alias("t"), F.get("slots", slot(t, F.col("seed"))).cast("int").alias("k")))
-    df = df.withColumn("__at", F.filter(at, lambda x: x["k"] > 0))
+    number = lambda t: F.get("slots", slot(t, F.col("seed"))).cast("int")
+    df = df.withColumn("__near", F.filter("__tokens", lambda t: number(t) > 0))
     hits = F.transform(
-        F.filter("__at", lambda x: F.get("words", x["k"] - 1) == x["t"]), lambda x: F.substring(F.lit(MARKS), x["k"], F.lit(1))
+        F.filter("__near", lambda t: F.get("words", number(t) - 1) == t), lambda t: F.substring(F.lit(MARKS), number(t), F.lit(1))
     )
     df = df.withColumn("__hits", F.coalesce(F.array_join(hits, ""), F.lit("")))
     lengths = [F.length(F.regexp_replace("__text", f"{c}+", "")) for c in CLASSES]

@@ -103,15 +103,19 @@ def text_runs(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[st
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder for files that tasks write themselves."""
-    return scratch_dir(spark, label)
+    """A fresh folder for files that tasks write themselves, as a full URI: a
+    path without scheme is one of the cluster's default store."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark, label))
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    uri = store.makeQualified(path).toString()
+    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
 def open_store(uri: str):
     """(file system, path) of a URI, for tasks that write or range-read files."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    return fs.FileSystem.from_uri(uri)
 
 
 def fresh_name(prefix: str, suffix: str) -> str:
