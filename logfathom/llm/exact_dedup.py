@@ -23,14 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logfathom.llm.tables import Layout, documents, join_hot, stored, text_bytes
+from logfathom.llm.tables import Layout, documents, join_hot, stored, text_bytes, within_bound
 
 # Rows per range of quotients; bounds the memory of a merge.
 RANGE_ROWS = 1_000_000
 # Fingerprints a task holds before it emits its filters and starts new ones.
 TASK_ROWS = 500_000
-# Routed ids that may be broadcast (16 bytes each); beyond it they are shuffled.
-BROADCAST_IDS = 1_000_000
 
 HEAD = Layout("<BBQQ")
 
@@ -169,13 +167,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = stored(digests(docs, id_col, text_col), "digests")
     total = rows.count()
     repeated = stored(repeated_fingerprints(rows, total), "fingerprints")
-    routed = stored(
-        join_hot(rows.select("id", "fingerprint"), repeated, ["fingerprint"], "n", total, "inner").select("id"), "routed"
-    )
+    routed = join_hot(rows.select("id", "fingerprint"), repeated, ["fingerprint"], "n", total, "inner").select("id")
     # byte comparison: grouping by the text itself; copies meet in each task
     # before the shuffle, so a large group is a few rows per task
-    ids = routed.distinct()
-    ids = F.broadcast(ids) if routed.count() <= BROADCAST_IDS else ids
+    ids = within_bound(routed.distinct())
     candidates = docs.join(ids, F.col(id_col).cast("bigint").eqNullSafe(ids["id"]), "left_semi")
     groups = (
         digests(candidates, id_col, text_col, with_text=True)

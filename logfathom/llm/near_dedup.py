@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logfathom.llm.components import components
-from logfathom.llm.tables import documents, join_hot, stored, text_bytes
+from logfathom.llm.tables import documents, join_hot, stored, text_bytes, within_bound
 
 WORDS = 5
 PERCENT = 75
@@ -49,7 +49,6 @@ MEMBERS = 500
 BLOCK = 400
 # Distinct words a task remembers the hash of.
 REMEMBERED = 400_000
-BROADCAST_IDS = 1_000_000
 
 U = np.uint64
 ODD = U(0x9E3779B97F4A7C15)
@@ -307,8 +306,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def bucket_components(docs: DataFrame, id_col: str, text_col: str, members: DataFrame, slots: int) -> DataFrame:
     """(id, component) of the linked members of shared buckets."""
-    ids = stored(members.select("id").distinct(), "ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    wanted = within_bound(members.select("id").distinct())
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     pool = stored(texts.join(wanted, "id", "left_semi"), "pool")
     pairs = stored(first_pairs(members, slots), "pairs")
@@ -322,7 +320,7 @@ def bucket_components(docs: DataFrame, id_col: str, text_col: str, members: Data
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document of each group with the smallest id, with all its columns."""
     drop = near_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("__drop")).distinct()
-    return docs.join(drop, F.col(id_col) == F.col("__drop"), "left_anti")
+    return docs.join(within_bound(drop), F.col(id_col) == F.col("__drop"), "left_anti")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

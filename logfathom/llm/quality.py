@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logfathom.llm.tables import documents, stored
+from logfathom.llm.tables import documents, stored, within_bound
 
 BLANK = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
@@ -251,9 +251,10 @@ def with_rest(counts: list[Column], total: Column) -> Column:
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id") -> DataFrame:
-    """The rows whose document is kept, with all their columns."""
+    """The rows whose document is kept, with all their columns. Documents are
+    named by id: rows with the id of a rejected one go, rows without id stay."""
     bad = judged(docs, rules, keep=(id_col,)).filter(~F.col("kept")).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+    return docs.join(within_bound(bad), F.col(id_col) == F.col("__bad"), "left_anti")
 
 
 def op3_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ cloudpickle.register_pickle_by_value(logfathom)
 HOT_PARTS = 1000
 # Below this weight no key is hot: one task takes so many rows with ease.
 HOT_LEAST = 10_000
+# Ids (16 bytes each) that may be broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 class Layout:
@@ -72,6 +74,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return cut_lineage(df, label)
 
 
+def within_bound(ids: DataFrame) -> DataFrame:
+    """A table of ids, stored; marked for broadcast if it has no more than
+    ``BROADCAST_IDS`` rows, to be shuffled otherwise."""
+    ids = stored(ids, "ids")
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def text_bytes(column: pa.Array) -> Iterator[bytes]:
     """The UTF-8 of each text of a column; null is empty."""
     for cell in column:
