@@ -185,6 +185,21 @@ def test_quality_verdict(spark):
     assert quality.judged(docs(spark, ["x"]).limit(0), keep=("doc_id",)).count() == 0
 
 
+def test_texts_without_common_words_go(spark):
+    real = tables.documents(spark, "/root/testdata/sf0.01").select("doc_id", "text", "lang")
+    rng = random.Random(7)
+    gibberish = [" ".join("".join(rng.choice("bcdfghklmnprtvwz") for _ in range(rng.randint(2, 9))) for _ in range(150)).capitalize() + "." for _ in range(20)]
+    planted = [(-1 - i, t, ("en", "es", "fr", "de")[i % 4]) for i, t in enumerate(gibberish)]
+    german = real.filter("lang = 'de' AND length(text) BETWEEN 1000 AND 3000").orderBy("doc_id").limit(20).collect()
+    assert len(german) == 20
+    planted += [(-100 - i, r.text, "en") for i, r in enumerate(german)]
+    table = real.unionByName(spark.createDataFrame(planted, "doc_id bigint, text string, lang string"))
+    kept = {r.doc_id for r in quality.keep_good(table).select("doc_id").collect()}
+    stayed = [x[0] for x in planted if x[0] in kept]
+    assert len(stayed) <= 2 and all(i <= -100 for i in stayed)  # of 20 gibberish and 20 German as English
+    assert len(kept) >= 0.8 * real.count()
+
+
 def test_js_distance(spark):
     p, q = [0.5, 0.5, 0.0], [0.25, 0.25, 0.5]
     m = [(a + b) / 2 for a, b in zip(p, q)]
