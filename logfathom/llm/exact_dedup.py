@@ -10,7 +10,8 @@ comparison; all other rows are known to be single.
 Defined cases: null text counts as empty and equals empty text. The largest
 id of a group stays; null ids sort below all others. Rows that repeat the kept
 id and its text are all marked kept, since an id names a row (``drop_copies``
-keeps one of them). An empty table gives an empty result.
+keeps one of them; rows without id or with equal ids stay if their texts
+differ). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -190,10 +191,26 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def with_key(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """Add the digest of the normalised text and the id, as one string."""
+    narrow = docs.withColumn(name, F.col(text_col).cast("string"))
+    schema = narrow.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [hashlib.sha256(b.lower()).hexdigest() for b in text_bytes(batch.column(batch.num_columns - 1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hashes, pa.string())], names=batch.schema.names)
+
+    return narrow.mapInArrow(run, schema).withColumn(name, F.concat_ws(":", name, F.col(id_col).cast("bigint").cast("string")))
+
+
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns; one row per kept id."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col])
+    """The rows whose own verdict is kept, with all their columns; of rows equal
+    in id and normalised text, one."""
+    key = F.concat_ws(":", "text_sha256", F.col(id_col).cast("string"))
+    kept = exact_groups(docs, id_col, text_col).filter("kept").select(key.alias("__key")).distinct()
+    rows = with_key(docs, id_col, text_col, "__key")
+    return rows.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -517,6 +517,17 @@ def test_exact_groups_edge_cases(spark):
     assert sorted((r.doc_id or -1, r.keep_id, r.kept) for r in exact_dedup.exact_groups(no_id).collect()) == [(-1, 1, False), (1, 1, True)]
 
 
+def test_copies_without_ids(spark):
+    texts = ["a", "b", "B", "c", "d", "D", "e", "f", None, ""]
+    ids = [None, None, None, 3, None, 5, 6, 6, None, None]
+    rows = [(ids[i], t, "en", str(i)) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, at string")
+    stays = exact_dedup.drop_copies(table)
+    assert stays.columns == table.columns
+    found = sorted((r.doc_id or -1, (r.text or "").lower()) for r in stays.collect())
+    assert found == [(-1, ""), (-1, "a"), (-1, "b"), (3, "c"), (5, "d"), (6, "e"), (6, "f")]
+
+
 def test_hot_keys_join_alike(spark, monkeypatch):
     rows = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 0 WHEN id % 7 = 0 THEN NULL ELSE id % 50 END AS k")
     table = rows.filter("k IS NOT NULL AND k <> 9").groupBy("k").agg(F.count("*").alias("n"))
