@@ -267,11 +267,14 @@ def with_rest(counts: list[Column], total: Column) -> Column:
     return F.array(*[(c / total) for c in counts], rest / total)
 
 
-def keep_good(docs: DataFrame, rules: Rules = RELATIVE, id_col: str = "doc_id") -> DataFrame:
-    """The rows whose document is kept, with all their columns. Documents are
-    named by id: rows with the id of a rejected one go, rows without id stay."""
-    bad = judged(docs, rules, keep=(id_col,)).filter(~F.col("kept")).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(within_bound(bad), F.col(id_col) == F.col("__bad"), "left_anti")
+def keep_good(docs: DataFrame, rules: Rules = RELATIVE, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """The rows whose verdict is to keep them, with all their columns. A verdict
+    follows from text and language, so these name it, whatever the ids are."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = F.concat_ws(":", F.sha2(text.cast("binary"), 256), F.col(lang_col).cast("string"))
+    rows = docs.withColumn("__key", key)
+    bad = judged(rows, rules, lang_col, text_col, keep=("__key",)).filter(~F.col("kept")).select("__key").distinct()
+    return rows.join(within_bound(bad), "__key", "left_anti").select(*docs.columns)
 
 
 def op3_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,6 +200,15 @@ def test_texts_without_common_words_go(spark):
     assert len(kept) >= 0.8 * real.count()
 
 
+def test_quality_verdicts_follow_rows(spark):
+    clean, bad = [prose(i) + "." for i in range(40)], "too short"
+    rows = [(i, t, "en", i) for i, t in enumerate(clean)] + [(None, bad, "en", 40), (3, bad, None, 41), (None, clean[0], "en", 42)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, at bigint")
+    kept = quality.keep_good(table)
+    assert kept.columns == table.columns
+    assert sorted(r["at"] for r in kept.collect()) == [*range(40), 42]
+
+
 def test_js_distance(spark):
     p, q = [0.5, 0.5, 0.0], [0.25, 0.25, 0.5]
     m = [(a + b) / 2 for a, b in zip(p, q)]
