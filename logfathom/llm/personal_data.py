@@ -187,20 +187,24 @@ def extracted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def trusted(rows: DataFrame, trust: Trust) -> DataFrame:
-    """(found, kind) of the candidates that the patterns vouch for."""
+    """(found, kind) of the candidates that the patterns vouch for.
+
+    A pattern without seeds starts without support; candidates that were found
+    through other patterns give it support in the next round.
+    """
     seeds = rows.select(F.explode("base").alias("s")).select("s.pattern", "s.kind", "s.found").filter("pattern IS NOT NULL")
     loose = rows.select(F.explode("loose").alias("c")).select("c.pattern", "c.kinds", "c.found").filter("pattern IS NOT NULL")
     seeds = seeds.distinct()
-    loose = stored(loose.distinct().select("pattern", F.explode("kinds").alias("kind"), "found"), "loose-edges")
-    # only patterns that candidates share with seeds can vouch for any
-    names = loose.select("pattern").distinct()
-    known = seeds.join(names, "pattern", "left_semi").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
-    known = stored(known, "seed-patterns")
-    total = known.groupBy("pattern").agg(F.sum("seeds").alias("a")).join(
-        loose.select("pattern", "found").distinct().groupBy("pattern").agg(F.count("*").alias("b")), "pattern"
-    ).select("pattern", (F.col("a") + F.col("b")).alias("all"))
-    known = stored(known.join(total, "pattern"), "patterns")
-    edges = stored(loose.join(known.select("pattern", "kind"), ["pattern", "kind"], "left_semi"), "edges")
+    edges = stored(loose.distinct().select("pattern", F.explode("kinds").alias("kind"), "found"), "loose-edges")
+    # a pattern that no candidate has can vouch for none
+    names = edges.groupBy("pattern").agg(F.count_distinct("found").alias("b"))
+    seeded = seeds.join(names, "pattern", "left_semi").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
+    seeded = stored(seeded, "seed-patterns")
+    total = names.join(seeded.groupBy("pattern").agg(F.sum("seeds").alias("a")), "pattern", "left").select(
+        "pattern", (F.coalesce("a", F.lit(0)) + F.col("b")).alias("all")
+    )
+    known = edges.select("pattern", "kind").distinct().join(seeded, ["pattern", "kind"], "left").join(total, "pattern")
+    known = stored(known.select("pattern", "kind", F.coalesce("seeds", F.lit(0)).alias("seeds"), "all"), "patterns")
     scores = known.withColumn("sum", F.col("seeds").cast("double")).withColumn("support", F.col("seeds"))
     found = None
     for _ in range(trust.rounds):

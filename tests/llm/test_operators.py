@@ -449,6 +449,15 @@ def test_personal_data(spark):
     assert personal_data.found_spans(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_personal_data_by_found_patterns(spark):
+    texts = [f"Well then, my phone number +1 ({i}) 555-{1000 + i} is new" for i in range(100, 110)]
+    local = [f"0{i}55-123-45{i}7" for i in range(4)]
+    texts += [f"Well then, my phone number {n} is new" for n in local[:3]] + [f"Just ring us {n} today" for n in local]
+    texts += [f"Parcel ref code 0{i}77-321-98{i}1 left" for i in range(4)]
+    found = personal_data.found_spans(docs(spark, texts)).select("doc_id", F.size("spans").alias("n")).collect()
+    assert {r.doc_id for r in found if r.n == 0} == set(range(17, 21))  # the fourth stands after 'ring us' only
+
+
 # 9
 
 
