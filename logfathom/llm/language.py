@@ -8,8 +8,11 @@ parsed.
 
 The automata are fitted on a bounded sample of labelled rows: ``SAMPLE_ROWS``
 rows a language, chosen by a hash of the id, and ``TOTAL_CHARS`` characters over
-all languages, but at least ``LEAST_CHARS`` for each. Predictions use the text
-alone.
+all languages, but at least ``LEAST_CHARS`` for each. Of a longer text a span is
+learned that starts at a place chosen by the hash and goes on at the text's
+start, so all places of a text are equally likely, not only heads. A span has
+``LEAST_SPAN`` letters or more; with many languages fewer rows are used.
+Predictions use the text alone.
 
 Texts are lower-cased, and everything between runs of letters counts as one
 blank.
@@ -27,7 +30,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logfathom.llm.tables import documents, worker_memory
@@ -36,6 +39,7 @@ SAMPLE_ROWS = 80
 TOTAL_CHARS = 80_000
 LEAST_CHARS = 2_000
 MOST_CHARS = 20_000
+LEAST_SPAN = 250
 UNDECIDED = "und"
 
 
@@ -93,6 +97,14 @@ def phrases(text: str, root: dict) -> int:
     return n - (state is root and n > 1)
 
 
+def span(text: Column, key: Column, size: int) -> Column:
+    """``size`` characters from a place chosen by a hash of ``key``; after the
+    end the text goes on at its start."""
+    start = F.pmod(F.xxhash64(key, F.lit("span")), F.greatest(F.length(text), F.lit(1)).cast("bigint")).cast("int")
+    tail = F.substring(text, start + 1, F.lit(size))
+    return F.concat_ws(" ", tail, F.substring(text, F.lit(1), F.least(start, F.lit(size) - F.length(tail))))
+
+
 def training_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, str]:
     """The labelled text of each language, from rows that may be learned from.
 
@@ -102,7 +114,7 @@ def training_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -
     order = Window.partitionBy("lang").orderBy(F.desc("usable"), F.xxhash64("id"), "id")
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), long_enough.alias("usable"),
-        F.substring(F.col(text_col), 1, 4 * MOST_CHARS // SAMPLE_ROWS).alias("text"),
+        span(F.col(text_col).cast("string"), F.col(id_col), 4 * MOST_CHARS // SAMPLE_ROWS).alias("text"),
     )
     rows = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE_ROWS)
     found: dict[str, list[str]] = {}
@@ -111,7 +123,7 @@ def training_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -
     each = min(MOST_CHARS, max(LEAST_CHARS, TOTAL_CHARS // max(1, len(found))))
     out = {}
     for lang, texts in found.items():
-        share = each // len(texts) + 1
+        share = max(LEAST_SPAN, each // len(texts) + 1)
         spare = [t for t in texts if t]
         out[lang] = " ".join(t[:share] for t in spare) if sum(map(len, spare)) > each else " ".join(spare)
     return {k: v[:each] for k, v in sorted(out.items()) if v}

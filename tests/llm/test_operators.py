@@ -403,6 +403,17 @@ def test_language_edge_cases(spark):
     assert language.training_texts(docs(spark, [None, ""]), "doc_id", "text", "lang") == {}
 
 
+def test_training_takes_more_than_heads(spark):
+    header = "cookie notice menu login " * 50
+    table = docs(spark, [header + prose(i, 900) for i in range(100)])
+    learned = language.training_texts(table, "doc_id", "text", "lang")["en"]
+    assert 10_000 < len(learned) <= language.MOST_CHARS
+    words = learned.split()
+    assert sum(w in ("cookie", "notice", "menu", "login") for w in words) < 0.5 * len(words)
+    short = language.training_texts(docs(spark, ["abc def"] * 2), "doc_id", "text", "lang")["en"]
+    assert sorted(short.replace(" ", "")) == sorted("abcdef" * 2)
+
+
 # 8
 
 BASE = {
