@@ -55,6 +55,14 @@ def on_one_machine(master: str) -> bool:
     return master == "local" or master.startswith("local[")
 
 
+def shared_uri(spark: SparkSession, path: str) -> str:
+    """A path as a full URI; one without a scheme is of the cluster's default store."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    uri = store.makeQualified(target).toUri().toString()  # signs encoded
+    return f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def remove_path(spark: SparkSession, path: str) -> bool:
     """Delete a file or folder; False if nothing was there."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -62,6 +70,13 @@ def remove_path(spark: SparkSession, path: str) -> bool:
     return fs.delete(target, True)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it does not exist."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [status.getPath().getName() for status in fs.listStatus(target)] if fs.exists(target) else []
+
+
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: computed once, and
     safe from the loss of an executor."""

@@ -59,6 +59,18 @@ def with_headers(df: DataFrame, col: str = "value") -> DataFrame:
     return rows.withColumn("path", F.coalesce("path", F.lit(DEFAULT_PATH)))
 
 
+def last_headers(df: DataFrame, col: str = "value") -> DataFrame:
+    """The header lines in force after the last row of each source, placed
+    before all rows: what a later part of the source has to be read with."""
+    line = F.col(col)
+    headers = df.filter(line.startswith("#path") | line.startswith("#fields"))
+    spot = F.struct("block", "seq")
+    found = headers.groupBy("source", line.startswith("#path").alias("__is_path")).agg(F.max_by(line, spot).alias(col))
+    return found.select(
+        "source", F.lit(-1).cast("bigint").alias("block"), F.when(F.col("__is_path"), 0).otherwise(1).cast("bigint").alias("seq"), col
+    )
+
+
 def _entering(headers: DataFrame) -> DataFrame:
     """Last path and field list of every split that has a header."""
     return headers.groupBy(*_SPOT).agg(

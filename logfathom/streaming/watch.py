@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from logfathom.model import EVENT_DDL
 from logfathom.operators.query import with_message
 from logfathom.operators.registry import format_of, parser_of
 from logfathom.operators.store import EventStore
+from logfathom.session import folder_names, remove_path
 from logfathom.sources.lines import break_lines, number_lines, read_lines
+from logfathom.sources.zeek import last_headers
 
 POLL = "2 seconds"
 SAMPLE_CHARS = 8192  # of the head that tells a source's format
@@ -23,7 +29,8 @@ def stream_lines(spark: SparkSession, path: str, files_per_trigger: int | None =
     """New files of a folder as lines with their file and split.
 
     A rotated or rolled file is a new file. Text appended to a file that was
-    already read is not read again; writers are expected to roll files.
+    already read is not read again: ``sources.tail.tail_lines`` follows files
+    that grow.
     """
     reader = spark.readStream.format("text")
     if files_per_trigger:
@@ -55,18 +62,58 @@ def normalize_batch(
 ) -> DataFrame:
     """A micro-batch through the batch parser of the format.
 
-    Parsers are stateless, so a micro-batch needs nothing but its own lines.
-    They run on the batch frame, whose planner keeps the parsing steps apart
-    (a streaming plan writes them into one expression). A file comes whole in
-    one batch and its lines are numbered there, so ids are those of a batch read.
+    Parsers are stateless, so a micro-batch needs nothing but its own lines
+    (and the headers that ``carry_headers`` adds). They run on the batch frame,
+    whose planner keeps the parsing steps apart (a streaming plan writes them
+    into one expression). A file of ``stream_lines`` comes whole in one batch
+    and its lines are numbered there, so ids are those of a batch read; lines
+    of ``tail_lines`` have the byte at which they start.
     """
     spotted = batch
     if {"source", "block"} <= set(batch.columns) and "key" not in options:
-        spotted = break_lines(number_lines(batch))
+        spotted = break_lines(batch if "seq" in batch.columns else number_lines(batch))
     events = parser_of(fmt).normalize(spotted, **options)
     return events if enrich_with is None else enrich_with(events)
 
 
+def carry_headers(batch: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """The lines of a micro-batch, and before them the header lines that were
+    in force in their sources when the batch before it ended.
+
+    ``path`` keeps a small table per micro-batch: two lines for each source
+    followed. A batch that runs again reads the table of the batch before it
+    and writes its own anew, so headers and rows are in step after a restart.
+    """
+    spark, rows = batch.sparkSession, batch.select("value", "source", "block", "seq")
+    past = sorted(int(m[1]) for m in map(re.compile(r"batch=(\d+)$").match, folder_names(spark, path)) if m)
+    earlier = [n for n in past if n < batch_id]
+    if earlier:
+        before = spark.read.schema("source string, block bigint, seq bigint, value string").parquet(f"{path}/batch={earlier[-1]}")
+        rows = rows.unionByName(before)
+    last_headers(rows).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    for n in earlier[:-1]:  # the one before is kept: this batch may run again
+        remove_path(spark, f"{path}/batch={n}")
+    return rows
+
+
+@contextmanager
+def _events(
+    batch: DataFrame, batch_id: int, fmt: str, checkpoint: str, enrich_with: Transform | None, options: dict
+) -> Iterator[DataFrame]:
+    """The events of a micro-batch, whose lines are read once and held while
+    they are numbered, looked through for headers and parsed."""
+    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        lines = batch
+        if "turn" in batch.columns:
+            lines = batch.withColumn("source", F.concat_ws("#", "source", "turn")).drop("turn")
+            if fmt == "zeek":
+                lines = carry_headers(lines, f"{checkpoint.rstrip('/')}/headers", batch_id)
+        yield normalize_batch(lines, fmt, enrich_with=enrich_with, **options)
+    finally:
+        batch.unpersist()
+
+
 def _start(lines: DataFrame, put: Callable, checkpoint: str, once: bool) -> StreamingQuery:
     writer = lines.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     if once:
@@ -88,8 +135,8 @@ def start_rows(
     micro-batch; a batch that runs again replaces its folder."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        events = with_message(normalize_batch(batch, fmt, enrich_with=enrich_with, **options))
-        events.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        with _events(batch, batch_id, fmt, checkpoint, enrich_with, options) as events:
+            with_message(events).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return _start(lines, put, checkpoint, once)
 
@@ -106,11 +153,11 @@ def start_ingest(
     **options,
 ) -> StreamingQuery:
     """Insert or ignore every micro-batch into one session of a store; a repeated
-    batch inserts nothing. Zeek files are complete within a batch and get their headers there."""
+    batch inserts nothing."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        events = normalize_batch(batch, fmt, enrich_with=enrich_with, **options)
-        store.insert(events, session_id, fmt=fmt, more=True)
+        with _events(batch, batch_id, fmt, checkpoint, enrich_with, options) as events:
+            store.insert(events, session_id, fmt=fmt, more=True)
 
     return _start(lines, put, checkpoint, once)
 
@@ -128,8 +175,9 @@ def start_tally(
     up. A batch that runs again replaces its own counts."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        counts = severity_tally(normalize_batch(batch, fmt, **options))
-        counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        with _events(batch, batch_id, fmt, checkpoint, None, options) as events:
+            counts = severity_tally(events)
+            counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return _start(lines, put, checkpoint, once)
 
@@ -138,7 +186,42 @@ def read_tally(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("severity").agg(F.sum("n").alias("n"))
 
 
+def stream_events(spark: SparkSession, path: str) -> DataFrame:
+    """The events that ``start_rows`` writes, as a stream."""
+    return spark.readStream.schema(EVENT_DDL).parquet(f"{path}/batch=*")
+
+
 def unique_within(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Drop repeated ids that arrive within ``delay`` of each other's time,
-    with state that is bounded by the watermark."""
-    return events.withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+    with state that is bounded by the watermark.
+
+    An event older than the watermark is late and dropped. Events without a
+    time cannot be late and have no bound: they are passed on as they are.
+    """
+    timed = events.filter(F.col("event_ts").isNotNull()).withWatermark("event_ts", delay)
+    return timed.dropDuplicatesWithinWatermark(["event_id"]).unionByName(events.filter(F.col("event_ts").isNull()))
+
+
+def window_tally(events: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """Count per window of event time and severity; windows that the watermark
+    has passed leave the state. Events without a time are not counted."""
+    timed = events.filter(F.col("event_ts").isNotNull()).withWatermark("event_ts", delay)
+    label = F.lower(F.coalesce(F.nullif(F.col("severity"), F.lit("")), F.lit("low")))
+    return timed.groupBy(F.window("event_ts", width).alias("window"), label.alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def start_windows(counts: DataFrame, path: str, checkpoint: str, *, once: bool = False) -> StreamingQuery:
+    """Write the counts that a micro-batch changed (update mode); ``read_windows``
+    takes the last one of each window. A batch that runs again replaces its own."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "severity", "n")
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    writer = counts.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start() if once else writer.trigger(processingTime=POLL).start()
+
+
+def read_windows(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.parquet(path)
+    return rows.groupBy("start", "end", "severity").agg(F.max_by("n", "batch").alias("n"))
