@@ -22,7 +22,8 @@ probability (1 - s^4)^32: 5e-6 at 0.75, 2e-8 at 0.8.
 Defined cases: null or empty text, and text without words: no shingles, linked
 with nothing. Fewer than five words: the sequence is the only shingle. Rows
 without an id are kept with a null component. Rows that repeat id and text
-share their component.
+share their component. The classes are the nodes of the graph, not the ids, so
+different texts under one id have their own components and verdicts.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logfathom.llm.components import components
@@ -277,38 +278,53 @@ class Block:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: id, n_shingles, component_id, kept."""
+    """One row per row: id, n_shingles, component_id, kept, words_key."""
     rows = stored(sketches(docs, id_col, text_col), "sketches")
     total = rows.count()
     classes = stored(
         rows.filter("words_key IS NOT NULL AND id IS NOT NULL").groupBy("words_key")
-        .agg(F.min(F.struct("id", "n_shingles", "bands")).alias("head"), F.count("*").alias("copies")),
+        .agg(F.min(F.struct("id", "n_shingles", "bands")).alias("head"), F.count("*").alias("copies"))
+        .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
-    heads = classes.select("head.id", F.col("head.n_shingles").alias("n"), F.explode("head.bands").alias("bucket"))
+    heads = classes.select(F.col("node").alias("id"), F.col("head.n_shingles").alias("n"), F.explode("head.bands").alias("bucket"))
     shared = heads.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = stored(heads.join(shared.select("bucket"), "bucket", "left_semi"), "buckets")
     slots = members.count()
+    merged = classes.select("words_key", "copies", F.col("head.id").alias("component"))
     if slots:
-        labels = bucket_components(docs, id_col, text_col, members, slots)
-        merged = classes.select("words_key", "copies", F.col("head.id").alias("id")).join(labels, "id", "left")
-    else:
-        merged = classes.select("words_key", "copies", F.col("head.id").alias("id"), F.col("head.id").alias("component"))
-    merged = stored(
-        merged.select("words_key", "copies", F.least("id", F.coalesce("component", "id")).alias("component")), "merged"
-    )
+        labels = stored(bucket_components(docs, id_col, text_col, members, classes, slots), "labels")
+        linked = classes.join(labels.withColumnRenamed("id", "node"), "node")
+        least = linked.groupBy("component").agg(F.min("head.id").alias("__least"))
+        by_node = labels.join(least, "component").select(F.col("id").alias("node"), "__least")
+        merged = classes.join(by_node, "node", "left").select(
+            "words_key", "copies", F.coalesce("__least", F.col("head.id")).alias("component")
+        )
+    merged = stored(merged, "merged")
     found = join_hot(rows.select("id", "n_shingles", "words_key"), merged, ["words_key"], "copies", total)
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return found.select(
-        F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")
+        F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "words_key"
     )
 
 
-def bucket_components(docs: DataFrame, id_col: str, text_col: str, members: DataFrame, slots: int) -> DataFrame:
+def words_digest(text: Column) -> Column:
+    """The ``words_key`` of a text, as ``sketches`` makes it."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = F.array_remove(F.split(F.translate(text, upper, upper.lower()), r"[\x20\x09-\x0D]+"), "")
+    return F.unhex(F.sha2(F.array_join(words, " ").cast("binary"), 256))
+
+
+def bucket_components(
+    docs: DataFrame, id_col: str, text_col: str, members: DataFrame, classes: DataFrame, slots: int
+) -> DataFrame:
     """(id, component) of the linked members of shared buckets."""
-    wanted = within_bound(members.select("id").distinct())
+    heads = classes.select("node", F.col("head.id").alias("id"), "words_key").join(members.select(F.col("id").alias("node")).distinct(), "node")
+    wanted = within_bound(heads)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    pool = stored(texts.join(wanted, "id", "left_semi"), "pool")
+    # an id may have several texts; the class has one of them
+    pool = texts.join(wanted, "id").filter(words_digest(F.col("text")) == F.col("words_key"))
+    pool = stored(pool.select(F.col("node").alias("id"), "text"), "pool")
     pairs = stored(first_pairs(members, slots), "pairs")
     links = stored(check_pairs(pairs, pool), "links")
     labels = stored(components(links), "labels")
@@ -318,13 +334,18 @@ def bucket_components(docs: DataFrame, id_col: str, text_col: str, members: Data
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document of each group with the smallest id, with all its columns."""
-    drop = near_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("__drop")).distinct()
-    return docs.join(within_bound(drop), F.col(id_col) == F.col("__drop"), "left_anti")
+    """The document of each group with the smallest id, with all its columns.
+    Each row follows the verdict of its own id and text."""
+    drop = near_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("id"), "words_key").distinct()
+    drop = within_bound(drop.withColumnsRenamed({"id": "__drop", "words_key": "__drop_key"}))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"))
+    own = F.col("__row").getField(id_col).cast("bigint")
+    same = (own == F.col("__drop")) & (words_digest(F.col("__row").getField(text_col).cast("string")) == F.col("__drop_key"))
+    return rows.join(drop, same, "left_anti").select("__row.*")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(documents(spark, sf_dir).select("doc_id", "text"))
+    return near_groups(documents(spark, sf_dir).select("doc_id", "text")).drop("words_key")
 
 
 SETS = f"""
