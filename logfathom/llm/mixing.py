@@ -7,19 +7,24 @@ of a shard are a multinomial draw given the totals, and the totals come out as
 planned. Slot number i of a source takes block ``permute(i)`` of that source,
 where the permutation is a keyed Feistel network on the block numbers: it needs
 no table, any slot can be computed alone, and reruns agree. Slots and blocks
-meet in a join by block number.
+meet in a join by block number. ``mixed_pieces`` is the mix itself, with the
+shard of each piece; ``shard_counts`` says how many slots of each source a
+shard got.
 
 Order inside a source is (chunk, id), with chunks by hash of the id, so the
 running word count of a hot source is taken in ``CHUNKS`` independent parts.
 
 Defined cases: null or empty texts have no words, take no part and get 0. Rows
 with a null source are one source, the last one. Rows with a null id count like
-others. Repeated rows are separate documents. An empty table, or one without
-any word, gives taken 0 everywhere.
+others; their chunk is that of their text. Rows with equal ids are ordered by
+their size and by a hash of their values, so a table whose rows come in another
+order or number of partitions gives the same mix. Repeated rows are separate
+documents. An empty table, or one without any word, gives taken 0 everywhere.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,6 +37,7 @@ CHUNKS = 1024
 # Slots are made from rows that stand for so many, so that a hot source is not
 # made in one task.
 SPAN = 4096
+TASK_SPANS = 8  # of them in a task, on average
 # Rounds of the Feistel network, and walks back into the range. The network's
 # range exceeds n by less than a = sqrt(n) + 1 values, each met once at most: up
 # to n = 1024 a walk cannot fail, beyond it fails with (1/32)^32 at most.
@@ -113,20 +119,21 @@ def placed(docs: DataFrame, mix: Mix, id_col: str, source_col: str, text_col: st
 
     (source, chunk, row) names a row. Text is not carried unless kept.
     """
+    plain = [f.name for f in docs.schema.fields if f.name in {*keep, text_col} and not re.search("map<|variant", f.dataType.simpleString())]
     rows = docs.select(
         *[F.col(c).alias(f"__keep_{i}") for i, c in enumerate(keep)],
         F.col(id_col).cast("bigint").alias("id"), F.col(source_col).cast("string").alias("source"),
         F.size(F.array_remove(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), BLANK + "+"), ""))
-        .cast("bigint").alias("size"),
-    ).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(mix.seed)), F.lit(CHUNKS)).cast("int"))
-    order = Window.partitionBy("source", "chunk").orderBy("id", "size")
+        .cast("bigint").alias("size"), F.xxhash64(*plain).alias("tie"),
+    ).withColumn("chunk", F.pmod(F.xxhash64(F.coalesce("id", "tie"), F.lit(mix.seed)), F.lit(CHUNKS)).cast("int"))
+    order = Window.partitionBy("source", "chunk").orderBy("id", "size", "tie")
     rows = rows.withColumns(
         {
             "row": F.row_number().over(order),
             "inside": F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         }
     )
-    return rows
+    return rows.drop("tie")
 
 
 def with_plan(rows: DataFrame, mix: Mix) -> tuple[DataFrame, DataFrame]:
@@ -159,7 +166,9 @@ def draw_slots(plan: DataFrame, mix: Mix) -> DataFrame:
     spans = plan.filter("slots > 0").withColumn("shards", F.greatest(F.lit(1), F.ceil(total / mix.shard_slots))).select(
         "source", "blocks", "slots", "shards", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / SPAN))).alias("span")
     )
-    spans = spans.repartition(F.col("source"), F.col("span"))
+    # a few rows of the plan stand for all slots: so many tasks as these need
+    tasks = max(1, -(-(plan.agg(F.sum("slots")).first()[0] or 0) // (TASK_SPANS * SPAN)))
+    spans = spans.repartition(tasks, F.col("source"), F.col("span"))
     slots = spans.select(
         "source", "blocks", "shards",
         F.explode(F.sequence(F.col("span") * SPAN, F.least(F.col("slots"), (F.col("span") + 1) * SPAN) - 1)).alias("slot"),
@@ -201,18 +210,26 @@ def mixed_pieces(rows: DataFrame, plan: DataFrame, mix: Mix) -> DataFrame:
     ).drop("__source", "__block")
 
 
+def shard_counts(plan: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """(shard, source, n): the slots of each source that a shard of the mix gets."""
+    return draw_slots(plan, mix).groupBy("shard", "source").agg(F.count("*").alias("n"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str, mix: Mix = Mix()) -> DataFrame:
+    """What the mix takes of every document, and over how many of its shards."""
     rows = stored(placed(documents(spark, sf_dir), mix, "doc_id", "source", "text"), "placed")
     rows, plan = with_plan(rows, mix)
     rows = stored(rows, "rows")
-    taken = mixed_pieces(rows, plan, mix).groupBy("source", "chunk", "row").agg(F.sum("n").alias("taken"))
+    # what a shard takes of a document first, so that few rows meet for a document
+    parts = mixed_pieces(rows, plan, mix).groupBy("source", "chunk", "row", "shard").agg(F.sum("n").alias("n"))
+    taken = parts.groupBy("source", "chunk", "row").agg(F.sum("n").alias("taken"), F.count("*").alias("n_shards"))
     taken = taken.withColumnsRenamed({"source": "__s", "chunk": "__c", "row": "__r"})
     same = F.col("source").eqNullSafe(F.col("__s")) & (F.col("chunk") == F.col("__c")) & (F.col("row") == F.col("__r"))
-    out = rows.join(taken, same, "left").select("id", "source", "size", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+    out = rows.join(taken, same, "left").select("id", "source", "size", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("taken", "n_shards")])
     few = plan.count() <= 10_000
     by = plan.select(F.col("source").alias("__s"), "source_size", "target")
     out = out.join(F.broadcast(by) if few else by, F.col("source").eqNullSafe(F.col("__s")))
-    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "n_shards")
 
 
 def remix(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:

@@ -13,11 +13,11 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import logfathom
+import logfathom.llm
 from logfathom.session import cut_lineage, scratch_dir
 
 # functions travel with the job, so executors need not have the package
-cloudpickle.register_pickle_by_value(logfathom)
+cloudpickle.register_pickle_by_value(logfathom.llm)
 
 # A key with more than this part of all rows is hot. At most so many keys can
 # be hot, whatever the input: the bound of the broadcast in ``join_hot``.
