@@ -6,13 +6,10 @@ fewest phrases, times the logarithm of its training length and divided by the
 length of the text (the estimate of the cross entropy), wins. Whole texts are
 parsed.
 
-The automata are fitted on a bounded sample of labelled rows: ``SAMPLE_ROWS``
-rows a language, chosen by a hash of the id, and ``TOTAL_CHARS`` characters over
-all languages, but at least ``LEAST_CHARS`` for each. Of a longer text a span is
-learned that starts at a place chosen by the hash and goes on at the text's
-start, so all places of a text are equally likely, not only heads. A span has
-``LEAST_SPAN`` letters or more; with many languages fewer rows are used.
-Predictions use the text alone.
+The automata are fitted on whole texts of a bounded sample of labelled rows:
+``SAMPLE_ROWS`` a language, chosen by a hash of the id. Predictions use the text
+alone. An automaton is held by every worker, for each language: languages are
+few, and what a model needs is the sample's text.
 
 Texts are lower-cased, and everything between runs of letters counts as one
 blank.
@@ -26,25 +23,26 @@ was learned. Rows without an id are predicted but never learned from.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import regex
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logfathom.llm.tables import documents, worker_memory
 
-SAMPLE_ROWS = 80
-TOTAL_CHARS = 80_000
-LEAST_CHARS = 2_000
-MOST_CHARS = 20_000
-LEAST_SPAN = 250
+SAMPLE_ROWS = 16
+# Parts of a language whose ids are ranked apart.
+PARTS = 64
 UNDECIDED = "und"
 
 
+LETTERS = r"\p{L}+"
+
+
 def letters(text: str) -> str:
-    return " ".join(re.findall(r"[^\W\d_]+", text.lower()))
+    return " ".join(regex.findall(LETTERS, text.lower()))
 
 
 def automaton(text: str) -> dict:
@@ -97,40 +95,34 @@ def phrases(text: str, root: dict) -> int:
     return n - (state is root and n > 1)
 
 
-def span(text: Column, key: Column, size: int) -> Column:
-    """``size`` characters from a place chosen by a hash of ``key``; after the
-    end the text goes on at its start."""
-    start = F.pmod(F.xxhash64(key, F.lit("span")), F.greatest(F.length(text), F.lit(1)).cast("bigint")).cast("int")
-    tail = F.substring(text, start + 1, F.lit(size))
-    return F.concat_ws(" ", tail, F.substring(text, F.lit(1), F.least(start, F.lit(size) - F.length(tail))))
-
-
-def training_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, str]:
+def training_texts(
+    docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows: int = SAMPLE_ROWS
+) -> dict[str, str]:
     """The labelled text of each language, from rows that may be learned from.
 
-    The sample is bounded (see above), so the driver may hold it.
+    The sample is bounded in rows, so the driver may hold it.
     """
-    long_enough = F.length(text_col) >= 400
-    order = Window.partitionBy("lang").orderBy(F.desc("usable"), F.xxhash64("id"), "id")
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
-        F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), long_enough.alias("usable"),
-        span(F.col(text_col).cast("string"), F.col(id_col), 4 * MOST_CHARS // SAMPLE_ROWS).alias("text"),
+        F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
     )
-    rows = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE_ROWS)
+    hashed = F.xxhash64("id")
+    # ids are ranked without their texts, by parts of a language first
+    keys = rows.select("lang", "id", hashed.alias("h"), F.pmod(hashed, F.lit(PARTS)).alias("part")).distinct()
+    for by in (("lang", "part"), ("lang",)):
+        keys = keys.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("h", "id"))).filter(F.col("place") <= sample_rows)
+    rows = rows.join(F.broadcast(keys.select("lang", "id")), ["lang", "id"], "left_semi")
+    # an id may stand for several rows
+    order = Window.partitionBy("lang").orderBy(hashed, "id", F.xxhash64("text"))
+    rows = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample_rows)
     found: dict[str, list[str]] = {}
     for row in rows.orderBy("lang", "place").collect():
         found.setdefault(row.lang, []).append(letters(row.text))
-    each = min(MOST_CHARS, max(LEAST_CHARS, TOTAL_CHARS // max(1, len(found))))
-    out = {}
-    for lang, texts in found.items():
-        share = max(LEAST_SPAN, each // len(texts) + 1)
-        spare = [t for t in texts if t]
-        out[lang] = " ".join(t[:share] for t in spare) if sum(map(len, spare)) > each else " ".join(spare)
-    return {k: v[:each] for k, v in sorted(out.items()) if v}
+    return {lang: text for lang, texts in sorted(found.items()) if (text := " ".join(filter(None, texts)))}
 
 
 def predicted(docs: DataFrame, training: dict[str, str], text_col: str = "text") -> DataFrame:
-    """All columns, ``lang_pred`` and ``score``."""
+    """All columns, ``lang_pred`` and ``score``; columns of these names are replaced."""
+    docs = docs.drop("lang_pred", "score")
     schema = docs.select(
         "*", F.lit("").cast("string").alias("lang_pred"), F.lit(None).cast("double").alias("score")
     ).schema

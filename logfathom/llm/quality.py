@@ -11,7 +11,7 @@ by it: short samples diverge by chance.
 ``word_limit`` is absolute. The farthest a text without any common word can be
 depends on the reference (about 0.45 where the common words cover a third of
 the language), so that limit alone may be out of reach. ``word_part`` adds a
-limit relative to that distance; ``keep_good`` uses it (``RELATIVE``).
+limit relative to that distance.
 
 Defined cases: null text has no words and fails the base rules, like empty
 text. Rows are judged one by one, so repeated rows get equal verdicts. Without
@@ -35,6 +35,8 @@ MARKS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 # Places of the table that finds a common word by its hash, and seeds tried to
 # give each word a place of its own; one seed fails in half of all cases.
 SLOTS, SEEDS = 2048, 64
+# Parts of a language's words that are ranked apart.
+PARTS = 64
 # Patterns of the character classes; the last class is everything else.
 CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"[ ]", r"[\x09-\x0D]", r"[.,;:!?'\x22()-]", r"[#*$%&|<>=_/\\@+~^{}\[\]]")
 
@@ -49,13 +51,11 @@ class Rules:
     word_guard: int = 60  # words
     class_limit: float = 0.22
     word_limit: float = 0.45
-    word_part: float | None = None  # of the distance of a text without a common word
-
-
-# On sf0.1, texts of at least 60 words beyond this part of it: 8% under their own
-# language (half of them fail the base rules, most others are joined by '|'),
-# 99% or more under another one, but 9 to 11% of French as Spanish and back.
-RELATIVE = Rules(word_part=0.85)
+    # Of the distance of a text without a common word. On sf0.1, texts of at least
+    # 60 words beyond it: 8% under their own language (half of them fail the base
+    # rules, most others are joined by '|'), 99% or more under another one, but 9
+    # to 11% of French as Spanish and back.
+    word_part: float | None = 0.85
 
 
 def text_columns(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -121,8 +121,12 @@ def word_references(docs: DataFrame, rules: Rules, lang_col: str, text_col: str)
     total = both.groupBy("lang").agg(F.sum("n").alias("total")).filter(
         F.col("lang").isNull() | (F.col("total") >= rules.least_reference_words)
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = both.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rules.common)
+    # the top words of each part of a language, of which there are few, then theirs
+    part = F.pmod(F.xxhash64("word"), F.lit(PARTS)).alias("part")
+    order = [F.desc("n"), F.asc("word")]
+    top = both.select("*", part).withColumn("place", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order)))
+    top = top.filter(F.col("place") <= rules.common)
+    top = top.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("place") <= rules.common)
     top = top.join(total, top["lang"].eqNullSafe(total["lang"])).drop(total["lang"])
     row = F.sort_array(F.collect_list(F.struct("place", "word", (F.col("n") / F.col("total")).alias("share"))))
     refs = (
@@ -267,7 +271,7 @@ def with_rest(counts: list[Column], total: Column) -> Column:
     return F.array(*[(c / total) for c in counts], rest / total)
 
 
-def keep_good(docs: DataFrame, rules: Rules = RELATIVE, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, rules: Rules = Rules(), lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """The rows whose verdict is to keep them, with all their columns. A verdict
     follows from text and language, so these name it, whatever the ids are."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -302,6 +306,8 @@ def profile_sql(table: str) -> str:
 def oracle(rules: Rules = Rules()) -> str:
     counts = ", ".join("length(t) - length(regexp_replace(t, '{}+', '', 'g'))".format(c.replace("'", "''")) for c in CLASSES)
     own = "list_transform(list_append(c, size - list_sum(c)), lambda x: x / size)"
+    rest = "list_append(shares, 1.0 - list_sum(shares))"
+    far = f"{rules.word_part} * {js_sql('list_append(list_transform(shares, lambda x: 0.0), 1.0)', rest)}" if rules.word_part is not None else "NULL"
     judged_by = f"""SELECT f.*, CASE WHEN size >= {rules.class_guard} THEN {js_sql(own, 'p.profile')} END AS js FROM features f
         JOIN {{0}} p ON p.lang IS NOT DISTINCT FROM (CASE WHEN f.lang IN (SELECT lang FROM refs) THEN f.lang END)"""
     return f"""
@@ -325,8 +331,8 @@ def oracle(rules: Rules = Rules()) -> str:
                   FROM w JOIN (SELECT lang, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i, shares FROM refs) r
                        ON r.lang IS NOT DISTINCT FROM (CASE WHEN w.lang IN (SELECT lang FROM refs) THEN w.lang END)
                   LEFT JOIN own o ON o.doc_id = w.doc_id AND o.word = r.word GROUP BY w.doc_id),
-        divergence AS (SELECT doc_id, CASE WHEN m >= {rules.word_guard} THEN
-            {js_sql('list_transform(list_append(h, m - list_sum(h)), lambda x: x / m)', 'list_append(shares, 1.0 - list_sum(shares))')} END AS js FROM hists),
+        divergence AS (SELECT doc_id, CASE WHEN m >= {rules.word_guard} THEN {js_sql('list_transform(list_append(h, m - list_sum(h)), lambda x: x / m)', rest)} END AS js,
+                              {far} AS far FROM hists),
         features AS (SELECT doc_id, lang, length(t) AS size, [{counts}] AS c FROM d),
         profile1 AS ({profile_sql('features')}),
         judged1 AS ({judged_by.format('profile1')}),
@@ -338,7 +344,7 @@ def oracle(rules: Rules = Rules()) -> str:
                         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
                  FROM w LEFT JOIN covered c ON c.doc_id = w.doc_id)
         SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed,
-               NOT failed AND NOT coalesce(j.js > {rules.class_limit}, false) AND NOT coalesce(v.js > {rules.word_limit}, false) AS kept
+               NOT failed AND NOT coalesce(j.js > {rules.class_limit}, false) AND NOT coalesce(v.js > {rules.word_limit} OR v.js > v.far, false) AS kept
         FROM (SELECT *, n_words < {rules.min_words} OR n_repeat_words * 100 > n_words * {rules.max_repeat_percent} AS failed FROM base) b
         LEFT JOIN judged2 j ON j.doc_id = b.doc_id LEFT JOIN divergence v ON v.doc_id = b.doc_id
     """
