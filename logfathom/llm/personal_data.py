@@ -1,13 +1,19 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions.
 
-Seeds are the matches of fixed forms (``FORMS``). The two words before a seed
-are a lexical pattern. Looser forms (``LOOSE``) give candidates, which count
-for a kind if their digits fit. Patterns and instances form a bipartite graph
-without repeats. In each round a pattern's confidence for a kind is the trust
-in its instances of that kind over the number of all its instances, if enough
-of them are trusted; a candidate's trust is the chance that at least one of its
-patterns is right. Candidates with enough trust at the end are found spans;
-they are added to the seeds, which always stay.
+Seeds are the matches of fixed forms (``FORMS``). Looser forms (``LOOSE``) give
+candidates, which count for a kind if their digits fit. What stands around a
+match are its lexical patterns: the word before, the two words before, and the
+word after. A number counts as '#', the start of a line or of the text as '^',
+its end as '$', and another match of the same form as '&', so a cue of one word,
+a list, or a text that begins with a number have patterns too. Patterns reach as
+far as their words do.
+
+Patterns and instances form a bipartite graph without repeats. In each round a
+pattern's confidence for a kind is the trust in its instances of that kind over
+the number of all its instances, if enough of them are trusted; a candidate's
+trust is the chance that at least one of its patterns is right. Candidates with
+enough trust at the end are found spans; they are added to the seeds, which
+always stay.
 
 Positions are code points. All forms begin where a run of their characters
 begins or where the last match ended, which is where the leftmost match begins,
@@ -25,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logfathom.llm.tables import documents, stored
+from logfathom.llm.tables import documents, join_hot, stored
 
 KINDS = ("email", "ip", "card", "phone")
 # Seeds: leftmost, non-overlapping; a match that fails its rule is dropped.
@@ -42,8 +48,7 @@ LOOSE = (
 )
 MARK, OTHER = "\x01", "\x02"
 CHUNK = 128  # pieces of a text whose places are summed in one go
-CONTEXT = 60  # characters before a span that hold its pattern
-PATTERN = r"(\p{L}+)[^\p{L}\p{N}]+(\p{L}+)[^\p{L}\p{N}]*$"
+TOKEN = r"[^\p{L}\p{N}\n]*+(\p{L}++|\p{N}++)"
 
 
 @dataclass(frozen=True)
@@ -76,13 +81,15 @@ def places(df: DataFrame, pieces: str, out: str) -> DataFrame:
         "__sums", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))
     )
     df = df.withColumn("__bases", bases)
-    empty = F.array().cast("array<struct<start:int,end:int,found:string>>")
+    empty = F.array().cast("array<struct<start:int,end:int,found:string,patterns:array<string>>>")
 
     def chunk(base: Column, c: Column) -> Column:
         start = F.struct(base.alias("at"), F.lit(0).alias("i"), empty.alias("out"))
 
         def step(a: Column, x: Column) -> Column:
-            here = F.struct(a["at"].alias("start"), (a["at"] + F.length(x)).alias("end"), x.alias("found"))
+            i = c * CHUNK + a["i"]
+            around = patterns(F.get(pieces, i - 1), F.get(pieces, i + 1), i == 1, i == count - 2)
+            here = F.struct(a["at"].alias("start"), (a["at"] + F.length(x)).alias("end"), x.alias("found"), around.alias("patterns"))
             return F.struct(
                 (a["at"] + F.length(x)).alias("at"), (a["i"] + 1).alias("i"),
                 F.when(a["i"] % 2 == 1, F.concat(a["out"], F.array(here))).otherwise(a["out"]).alias("out"),
@@ -133,11 +140,27 @@ def fitting_kinds(found: Column) -> Column:
     return F.array_compact(F.array(*[F.when(fits[k], F.lit(k)) for k in KINDS]))
 
 
-def context(text: Column, start: Column) -> Column:
-    """The two words before a place, lower case; null if there are fewer."""
-    left = F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))
-    words = F.regexp_extract(F.lower(left), PATTERN, 1), F.regexp_extract(F.lower(left), PATTERN, 2)
-    return F.when(words[0] != "", F.concat_ws(" ", *words))
+def token(found: Column, backwards: bool) -> Column:
+    """A word in lower case, or '#' for a number; empty if there is none."""
+    word = F.lower(F.reverse(found)) if backwards else F.lower(found)
+    return F.when(found.rlike(r"^\p{N}"), F.lit("#")).otherwise(word)
+
+
+def patterns(before: Column, after: Column, first: Column, last: Column) -> Column:
+    """The patterns of a match between two pieces of text; ``first`` and ``last``
+    say that these begin and end the whole text."""
+    back = F.reverse(before)
+    one = token(F.regexp_extract(back, f"^{TOKEN}", 1), True)
+    two = token(F.regexp_extract(back, f"^{TOKEN}{TOKEN}", 2), True)
+    nearest = F.when(one != "", one).when(first | back.rlike(r"^[^\p{L}\p{N}]*+\n"), "^").otherwise("&")
+    farther = F.when(two != "", two).when(first | back.rlike(rf"^{TOKEN}[^\p{{L}}\p{{N}}]*+\n"), "^").otherwise("&")
+    next_ = token(F.regexp_extract(after, f"^{TOKEN}", 1), False)
+    next_ = F.when(next_ != "", next_).when(last | after.rlike(r"^[^\p{L}\p{N}]*+\n"), "$").otherwise("&")
+    return F.array_compact(
+        F.array(
+            F.concat(F.lit("< "), nearest), F.when(one != "", F.concat_ws(" ", F.lit("<"), farther, nearest)), F.concat(F.lit("> "), next_)
+        )
+    )
 
 
 def valid(kind: str) -> Column:
@@ -149,7 +172,7 @@ def named(kind: str) -> Column:
         kind,
         lambda m: F.struct(
             m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("place"), m["end"].alias("end"),
-            F.lit(kind).alias("kind"), m["found"].alias("found"), context(F.col("text"), m["start"]).alias("pattern"),
+            F.lit(kind).alias("kind"), m["found"].alias("found"), m["patterns"].alias("patterns"),
         ),
     )
 
@@ -180,7 +203,7 @@ def extracted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         loose,
         lambda m: F.struct(
             m["start"].alias("start"), m["end"].alias("end"), m["found"].alias("found"),
-            fitting_kinds(m["found"]).alias("kinds"), context(F.col("text"), m["start"]).alias("pattern"),
+            fitting_kinds(m["found"]).alias("kinds"), m["patterns"].alias("patterns"),
         ),
     )
     return df.select("row", "id", "base", loose.alias("loose"))
@@ -192,10 +215,11 @@ def trusted(rows: DataFrame, trust: Trust) -> DataFrame:
     A pattern without seeds starts without support; candidates that were found
     through other patterns give it support in the next round.
     """
-    seeds = rows.select(F.explode("base").alias("s")).select("s.pattern", "s.kind", "s.found").filter("pattern IS NOT NULL")
-    loose = rows.select(F.explode("loose").alias("c")).select("c.pattern", "c.kinds", "c.found").filter("pattern IS NOT NULL")
+    seeds = rows.select(F.explode("base").alias("s")).select(F.explode("s.patterns").alias("pattern"), "s.kind", "s.found")
+    loose = rows.select(F.explode("loose").alias("c")).select(F.explode("c.patterns").alias("pattern"), "c.kinds", "c.found")
     seeds = seeds.distinct()
     edges = stored(loose.distinct().select("pattern", F.explode("kinds").alias("kind"), "found"), "loose-edges")
+    n_edges = edges.count()
     # a pattern that no candidate has can vouch for none
     names = edges.groupBy("pattern").agg(F.count_distinct("found").alias("b"))
     seeded = seeds.join(names, "pattern", "left_semi").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
@@ -205,17 +229,19 @@ def trusted(rows: DataFrame, trust: Trust) -> DataFrame:
     )
     known = edges.select("pattern", "kind").distinct().join(seeded, ["pattern", "kind"], "left").join(total, "pattern")
     known = stored(known.select("pattern", "kind", F.coalesce("seeds", F.lit(0)).alias("seeds"), "all"), "patterns")
+    by_found = edges.groupBy("found", "kind").agg(F.count("*").alias("edges"))
     scores = known.withColumn("sum", F.col("seeds").cast("double")).withColumn("support", F.col("seeds"))
     found = None
     for _ in range(trust.rounds):
         sure = scores.filter(F.col("support") >= trust.least_support).select(
-            "pattern", "kind", F.least(F.lit(1.0), F.col("sum") / F.col("all")).alias("confidence")
-        ).filter(F.col("confidence") >= trust.least_confidence)
-        doubt = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence"))))
-        found = stored(
-            edges.join(sure, ["pattern", "kind"]).groupBy("found", "kind").agg((1 - F.exp(doubt)).alias("trust")), "trust"
+            "pattern", "kind", "all", F.least(F.lit(1.0), F.col("sum") / F.col("all")).alias("confidence")
         )
-        gained = edges.join(found, ["found", "kind"]).groupBy("pattern", "kind").agg(
+        sure = stored(sure.filter(F.col("confidence") >= trust.least_confidence), "sure")
+        doubt = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence"))))
+        vouched = join_hot(edges, sure, ["pattern", "kind"], "all", n_edges, "inner")
+        found = vouched.groupBy("found", "kind").agg((1 - F.exp(doubt)).alias("trust"))
+        found = stored(found.join(by_found, ["found", "kind"]), "trust")
+        gained = join_hot(edges, found, ["found", "kind"], "edges", n_edges, "inner").groupBy("pattern", "kind").agg(
             F.sum("trust").alias("more"), F.count(F.when(F.col("trust") >= 0.5, 1)).alias("n")
         )
         scores = known.join(gained, ["pattern", "kind"], "left").select(
@@ -229,11 +255,13 @@ def found_spans(docs: DataFrame, trust: Trust = Trust(), id_col: str = "doc_id",
     """One row per row: id, base and all spans, as (start, place, end, kind)."""
     rows = stored(extracted(docs, id_col, text_col), "personal")
     sure = stored(trusted(rows, trust), "trusted")
+    spots = rows.filter(F.size("loose") > 0).select("row", F.explode("loose").alias("c")).select("row", "c.start", "c.end", "c.found")
+    often = spots.groupBy("found").agg(F.count("*").alias("spots"))
     best = sure.groupBy("found").agg(F.max(F.struct("trust", "kind"))["kind"].alias("kind"))
+    best = stored(best.join(often, "found"), "found")
     place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
     more = (
-        rows.filter(F.size("loose") > 0).select("row", F.explode("loose").alias("c")).select("row", "c.start", "c.end", "c.found")
-        .join(best, "found")
+        join_hot(spots, best, ["found"], "spots", rows.agg(F.sum(F.size("loose"))).first()[0] or 0, "inner")
         .groupBy("row").agg(F.collect_list(F.struct("start", place.alias("place"), "end", "kind")).alias("more"))
     )
     short = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["place"].alias("place"), b["end"].alias("end"), b["kind"].alias("kind")))

@@ -403,15 +403,96 @@ def test_language_edge_cases(spark):
     assert language.training_texts(docs(spark, [None, ""]), "doc_id", "text", "lang") == {}
 
 
-def test_training_takes_more_than_heads(spark):
+def test_training_takes_whole_texts_of_bounded_rows(spark):
     header = "cookie notice menu login " * 50
-    table = docs(spark, [header + prose(i, 900) for i in range(100)])
-    learned = language.training_texts(table, "doc_id", "text", "lang")["en"]
-    assert 10_000 < len(learned) <= language.MOST_CHARS
-    words = learned.split()
-    assert sum(w in ("cookie", "notice", "menu", "login") for w in words) < 0.5 * len(words)
-    short = language.training_texts(docs(spark, ["abc def"] * 2), "doc_id", "text", "lang")["en"]
-    assert sorted(short.replace(" ", "")) == sorted("abcdef" * 2)
+    texts = [header + prose(i, 900) for i in range(100)]
+    learned = language.training_texts(docs(spark, texts), "doc_id", "text", "lang")["en"]
+    found = [t for t in texts if language.letters(t) in learned]
+    assert len(found) == language.SAMPLE_ROWS and len(learned) == sum(len(language.letters(t)) + 1 for t in found) - 1
+    few = language.training_texts(docs(spark, ["abc def"] * 2), "doc_id", "text", "lang", 1)["en"]
+    assert few == "abc def"
+
+
+def test_numbers_that_look_like_letters(spark):
+    rows = language.predicted(docs(spark, ["½ ² Ⅷ ٣", "½ a"]), {"en": "a b"}).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in rows] == ["und", "en"]
+
+
+# 3, 6, 9 once more
+
+
+def test_texts_without_a_common_word_go(spark):
+    """The limit is relative, so gibberish is beyond it whatever the language's
+    common words cover; clean texts stay."""
+    rng = random.Random(9)
+    clean = [prose(i, 120) + "." for i in range(60)]
+    noise = [" ".join("".join(rng.choice("bcdfgklmnprtvz") for _ in range(6)) for _ in range(120)) for _ in range(10)]
+    rows = quality.judged(docs(spark, clean + noise), keep=("doc_id",)).collect()
+    assert all(r.kept == (r.doc_id < len(clean)) for r in rows)
+
+
+def test_near_stage_follows_texts_under_one_id(spark):
+    a, b = prose(1, 120), prose(2, 120)
+    near = a + " and so on"
+    rows = spark.createDataFrame([(1, a, 0), (5, near, 1), (5, b, 2), (5, b, 3), (7, b, 4), (None, a, 5)], "doc_id bigint, text string, __drop int")
+    kept = near_dedup.keep_one(rows)
+    assert kept.columns == rows.columns
+    assert sorted(r["__drop"] for r in kept.collect()) == [0, 2, 3, 5]
+    groups = near_dedup.near_groups(rows.select("doc_id", "text")).groupBy("component_id").count().collect()
+    assert {r.component_id: r["count"] for r in groups} == {1: 2, 5: 3, None: 1}
+
+
+def plain_mix(rows, mix):
+    """Targets by filling up, and what each document may give."""
+    sizes = {}
+    for _, text, source in rows:
+        sizes[source] = sizes.get(source, 0) + len((text or "").encode().split())
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: mix.weights[i % len(mix.weights)] for i, s in enumerate(names)}
+    target, left, open_ = {}, 1.5 * sum(sizes.values()), set(names)
+    while open_:
+        total = sum(weight[s] for s in open_)
+        over = [s for s in open_ if left * weight[s] / total > 2 * sizes[s]]
+        for s in over or list(open_):
+            target[s] = 2 * sizes[s] if over else left * weight[s] / total
+        left -= sum(target[s] for s in over) if over else 0
+        open_ -= set(over or open_)
+    return sizes, target
+
+
+def test_mix_query(spark, tmp_path):
+    rng = random.Random(11)
+    rows = [(i if i % 5 else None, " ".join("w" for _ in range(rng.randint(0, 60))), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(800)]
+    rows += [(3, None, "b"), (3, "", "b"), (3, "x " * 5000, "c"), (None, "x y " * 3000, None)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    outs = []
+    for k in range(2):  # the same rows in another order and number of partitions
+        table.orderBy(F.rand(k)).repartition(3 + 4 * k).write.parquet(str(tmp_path / str(k) / "documents.parquet"))
+        outs.append(mixing.op9_mix_sources(spark, str(tmp_path / str(k)), mixing.Mix(block=16, shard_slots=64)).collect())
+    key = lambda r: tuple(map(str, r))
+    assert sorted(outs[0], key=key) == sorted(outs[1], key=key)
+    sizes, target = plain_mix(rows, mixing.Mix())
+    by_size = {n: s for s, n in sizes.items()}
+    assert len(by_size) == len(sizes)
+    taken = dict.fromkeys(sizes, 0)
+    for r in outs[0]:
+        source = by_size[r.source_size]
+        assert abs(r.target - target[source]) < 1e-6 and 0 <= r.taken <= 2 * r.size
+        assert (r.n_shards > 0) == (r.taken > 0)
+        taken[source] += r.taken
+    assert all(abs(taken[s] - target[s]) <= 2 * 16 for s in sizes)
+    assert max(r.n_shards for r in outs[0]) > 5
+
+
+def test_shards_are_drawn(spark):
+    """Counts per shard add up to the slots, and scatter like a multinomial."""
+    plan = spark.createDataFrame([("a", 3000, 6000), (None, 500, 400)], "source string, blocks bigint, slots bigint")
+    counts = mixing.shard_counts(plan, mixing.Mix(shard_slots=200)).collect()
+    by = {s: [r.n for r in counts if r.source == s] for s in ("a", None)}
+    assert sum(by["a"]) == 6000 and sum(by[None]) == 400 and {r["shard"] for r in counts} == set(range(32))
+    mean = 6000 / 32
+    spread = sum((n - mean) ** 2 for n in by["a"]) / (mean * (1 - 1 / 32))
+    assert 12 < spread < 60 and len(set(by["a"])) > 10
 
 
 # 8
@@ -460,6 +541,15 @@ def test_personal_data(spark):
     assert personal_data.found_spans(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_personal_data_by_one_word_and_in_lists(spark):
+    """Cues of one word at the start of a text, and lists of numbers."""
+    texts = [f"Phone: +1 555 {1000000 + 7 * i}" for i in range(20)] + [f"Phone: 0555-{123456 + i}" for i in range(5)]
+    texts += [f"numbers +44 20 7946 {1001 + 2 * i}, 0207-946{1000 + i}\nend" for i in range(8)] + ["nothing 12345678 here", None]
+    rows = personal_data.found_spans(docs(spark, texts)).orderBy("doc_id").collect()
+    phones = [[(s.start, s.end) for s in r.spans if s.kind == "phone"] for r in rows]
+    assert phones[20:25] == [[(7, 18)]] * 5 and [p[-1] for p in phones[25:33]] == [(26, 38)] * 8 and phones[33:] == [[], []]
+
+
 def test_personal_data_by_found_patterns(spark):
     texts = [f"Well then, my phone number +1 ({i}) 555-{1000 + i} is new" for i in range(100, 110)]
     local = [f"0{i}55-123-45{i}7" for i in range(4)]
