@@ -105,6 +105,27 @@ def page(
     return (rows.offset(offset) if offset else rows).limit(limit)
 
 
+def page_after(
+    events: DataFrame, last: tuple | None, limit: int = PAGE, order_by: str = "timestamp DESC"
+) -> DataFrame:
+    """The page that follows the event with order value and id ``last``.
+
+    It is a filter and a top-k, however deep the page: no rows are sorted and
+    skipped. ``last`` None gives the first page.
+    """
+    if last is not None:
+        column, way = parse_order(order_by)
+        c, value, beyond = F.col(column), F.lit(last[0]), F.col("event_id") > last[1]
+        if last[0] is None:
+            rest = c.isNotNull() | beyond if way == "ASC" else c.isNull() & beyond
+        elif way == "ASC":
+            rest = (c > value) | ((c == value) & beyond)
+        else:
+            rest = (c < value) | c.isNull() | ((c == value) & beyond)
+        events = events.filter(rest)
+    return ordered(events, order_by).limit(limit)
+
+
 def query_events(
     events: DataFrame,
     where: EventFilter | None = None,

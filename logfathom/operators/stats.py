@@ -60,13 +60,12 @@ def session_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("session_id").agg(F.count(F.lit(1)).alias("event_count"))
 
 
-def report(events: DataFrame, k: int = 10) -> DataFrame:
-    """The stored-event report as rows (section, item, n).
+RANKED = (("ip", "source_ip"), ("user", "username"), ("country", "geo_country"))
 
-    Four aggregates, each reading only its own columns of the store: the few
-    combinations of severity, format and flag, which give the first four
-    sections, and one ranking each of addresses, users and countries.
-    """
+
+def _cells(events: DataFrame) -> DataFrame:
+    """(section, item, n) of the report's first four sections, of the few
+    combinations of severity, format and flag."""
     flagged = events.select(
         "severity", "source_format", F.coalesce("is_malicious", F.lit(False)).alias("bad")
     )
@@ -83,15 +82,44 @@ def report(events: DataFrame, k: int = 10) -> DataFrame:
         cell("severity", F.col("severity"), n),
         cell("format", F.col("source_format"), n),
     )
-    out = cube.select(F.inline(cells)).groupBy("section", "item").agg(F.sum("n").alias("n"))
-    # an empty store still reports its two totals
-    zero = events.sparkSession.range(1).select(
-        F.inline(F.array(*[cell(s, none, F.lit(0).cast("bigint")) for s in ("total", "malicious")]))
-    )
-    out = out.unionByName(zero).groupBy("section", "item").agg(F.sum("n").alias("n"))
-    for section, column in (("ip", "source_ip"), ("user", "username"), ("country", "geo_country")):
+    return cube.select(F.inline(cells)).groupBy("section", "item").agg(F.sum("n").alias("n"))
+
+
+def _with_zeros(out: DataFrame) -> DataFrame:
+    """An empty store still reports its two totals."""
+    zero = out.sparkSession.createDataFrame([("total", None, 0), ("malicious", None, 0)], "section string, item string, n bigint")
+    return out.unionByName(zero).groupBy("section", "item").agg(F.sum("n").alias("n"))
+
+
+def report(events: DataFrame, k: int = 10) -> DataFrame:
+    """The stored-event report as rows (section, item, n).
+
+    Four aggregates, each reading only its own columns of the store: one for
+    the first four sections, and one ranking each of addresses, users and
+    countries.
+    """
+    out = _with_zeros(_cells(events))
+    for section, column in RANKED:
         ranked = top(events, column, k).select(
             F.lit(section).alias("section"), F.col(column).alias("item"), "n"
         )
         out = out.unionByName(ranked)
     return out
+
+
+def summary(events: DataFrame) -> DataFrame:
+    """The counts a report is made of, all values with their numbers: summaries
+    of parts add up to that of the whole."""
+    pairs = F.array(*[F.struct(F.lit(s).alias("section"), F.col(c).alias("item")) for s, c in RANKED])
+    values = events.select(F.inline(pairs)).filter("item IS NOT NULL").groupBy("section", "item").agg(F.count(F.lit(1)).alias("n"))
+    return _cells(events).unionByName(values)
+
+
+def report_of(summaries: DataFrame, k: int = 10) -> DataFrame:
+    """The report, from summaries of all parts."""
+    ranked = [s for s, _ in RANKED]
+    rows = summaries.groupBy("section", "item").agg(F.sum("n").alias("n"))
+    out = _with_zeros(rows.filter(~F.col("section").isin(ranked)))
+    for section in ranked:
+        out = out.unionByName(rows.filter(F.col("section") == section).orderBy(F.desc("n"), "item").limit(k))
+    return out

@@ -1,19 +1,47 @@
-"""The event store: Parquet partitioned by session, and its session table."""
+"""The event store: parts of Parquet files, and versions that name the live ones.
+
+An insert writes one part: its events, clustered, and beside them small tables
+that later jobs read instead of the events:
+
+* ``ledger``: per source, the range of line numbers that the part was made of;
+* ``files``: per file, the least and greatest of what filters ask for, and
+  signatures of the texts that are searched (``operators/prune.py``);
+* ``summary``: the counts that the report is made of.
+
+A version is one small file that lists the live parts and the sessions. It is
+put in place by one rename that fails if the version exists, so a store changes
+as a whole or not at all: what a broken insert leaves behind is in no version,
+and a writer that comes second reads the new version and tries again. Versions
+grow by a line per insert; ``compact`` makes one part of a session's.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
-from urllib.parse import unquote
+import json
+import threading
+import uuid
+from collections.abc import Callable, Iterable, Sequence
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logfathom.model import EVENT_DDL, align
+from logfathom.operators import prune, stats
 from logfathom.operators.lookup import fits_broadcast
-from logfathom.session import remove_path, scratch_dir
+from logfathom.operators.query import EventFilter
+from logfathom.session import folder_names, remove_path, scratch_dir
 
 STORE_DDL = f"{EVENT_DDL}, created_at timestamp, session_id string"
+LEDGER_DDL = "source string, low bigint, high bigint, blind boolean"
+SUMMARY_DDL = "section string, item string, n bigint, part string"
+KINDS = ("events", "ledger", "files", "summary")
+ROWS_PER_FILE = 2_000_000
+TRIES = 20
+
+# One process writes one version at a time; between processes the rename decides.
+_COMMITS = threading.Lock()
 SESSION_DDL = (
     "filename string, format string, event_count bigint, created_at timestamp, session_id string"
 )
@@ -60,27 +88,114 @@ def without_session(rows: DataFrame, session_id: str) -> DataFrame:
     return rows.filter(F.coalesce(F.col("session_id") != session_id, F.lit(True)))
 
 
+class VersionTaken(Exception):
+    """Another writer put this version in place first."""
+
+
+def line_ranges(batch: DataFrame) -> DataFrame:
+    """(source, low, high, blind): the lines of a batch, one row per source;
+    ``blind`` says that some rows do not tell theirs."""
+    blind = F.max(F.col("source").isNull() | F.col("seq").isNull())
+    return batch.groupBy("source").agg(F.min("seq").alias("low"), F.max("seq").alias("high"), blind.alias("blind"))
+
+
 class EventStore:
-    """Events and sessions below one path; one writer at a time."""
+    """Events and sessions below one path. Readers see one version; writers may
+    run side by side."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
-        self.events_path = f"{path.rstrip('/')}/events"
-        self.sessions_path = f"{path.rstrip('/')}/sessions"
+        self.spark, self.path = spark, path.rstrip("/")
+
+    # --- versions ---
+
+    def version(self) -> int:
+        """The number of the latest version; 0 before the first insert."""
+        names = folder_names(self.spark, f"{self.path}/versions")
+        return max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=0)
+
+    def manifest(self, version: int | None = None) -> dict:
+        """{"parts": [{"part", "session", "rows", "ledger"}], "sessions": {id: […]}}"""
+        number = self.version() if version is None else version
+        if number == 0:
+            return {"parts": [], "sessions": {}}
+        lines = self.spark.read.option("wholetext", True).text(f"{self.path}/versions/{number:012d}.json")
+        return json.loads(lines.first()["value"])
+
+    def _commit(self, base: int, manifest: dict) -> None:
+        """Put version ``base + 1`` in place."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        made, target = (
+            jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions/{name}") for name in (f".{uuid.uuid4().hex}", f"{base + 1:012d}.json")
+        )
+        fs = made.getFileSystem(conf)
+        out = fs.create(made, False)
+        out.write(json.dumps(manifest).encode())
+        out.close()
+        with _COMMITS:
+            if fs.exists(target):
+                fs.delete(made, False)
+                raise VersionTaken(base + 1)
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), conf)
+            none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            try:
+                context.rename(fs.makeQualified(made), fs.makeQualified(target), none)
+            except Exception as e:
+                if fs.exists(target):
+                    raise VersionTaken(base + 1) from e
+                raise
+
+    def _change(self, change: Callable[[dict], dict]) -> dict:
+        """Commit a change of the latest version, again and again if others
+        commit first."""
+        for _ in range(TRIES):
+            base = self.version()
+            manifest = change(self.manifest(base))
+            try:
+                self._commit(base, manifest)
+                return manifest
+            except VersionTaken:
+                continue
+        raise VersionTaken(f"gave up after {TRIES} tries")
 
     # --- read ---
 
-    def events(self) -> DataFrame:
-        """All stored events; a filter on ``session_id`` prunes folders."""
-        return self._read(self.events_path, STORE_DDL)
-
-    def sessions(self) -> DataFrame:
-        return self._read(self.sessions_path, SESSION_DDL)
+    def events(self, version: int | None = None, where: EventFilter | None = None) -> DataFrame:
+        """The events of a version; a filter on ``session_id`` prunes folders.
 
-    def _read(self, path: str, schema: str) -> DataFrame:
-        if not self._exists(path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+        With ``where``, only the files that can hold matching events are read,
+        as their statistics say, and the matching ones returned.
+        """
+        parts = self.manifest(version)["parts"]
+        if where is not None and where.session_id:
+            parts = [p for p in parts if p["session"] == where.session_id]
+        folders = [self._folder("events", p) for p in parts if p["rows"]]
+        if where is not None and folders:
+            kept = prune.may_match(self._read("files", parts, prune.FILES_DDL), where)
+            folders = [f"{self.path}/events/{r['file']}" for r in kept.select("file").toLocalIterator()]
+        if not folders:
+            rows = self.spark.createDataFrame([], STORE_DDL)
+        else:
+            reader = self.spark.read.option("basePath", f"{self.path}/events")
+            rows = reader.schema(f"{STORE_DDL}, part string").parquet(*folders).drop("part")
+        return rows if where is None else where.apply(rows)
+
+    def sessions(self, version: int | None = None) -> DataFrame:
+        found = self.manifest(version)["sessions"]
+        rows = [(f, k, n, dt.datetime.fromisoformat(at), name) for name, (f, k, n, at) in found.items()]
+        return self.spark.createDataFrame(rows, SESSION_DDL)
+
+    def report(self, k: int = 10, version: int | None = None) -> DataFrame:
+        """The rows of ``stats.report``, from the summaries alone."""
+        return stats.report_of(self._read("summary", self.manifest(version)["parts"], SUMMARY_DDL), k)
+
+    def _folder(self, kind: str, part: dict) -> str:
+        return f"{self.path}/{kind}/session_id={quote(part['session'], safe='')}/part={part['part']}"
+
+    def _read(self, kind: str, parts: Iterable[dict], ddl: str) -> DataFrame:
+        folders = [self._folder(kind, p) for p in parts if p["rows"] or kind == "ledger" and p["ledger"]]
+        if not folders:
+            return self.spark.createDataFrame([], ddl)
+        return self.spark.read.option("basePath", f"{self.path}/{kind}").schema(f"{ddl}, session_id string").parquet(*folders).drop("session_id")
 
     # --- write ---
 
@@ -93,6 +208,7 @@ class EventStore:
         fmt: str = "",
         order: list[str] | None = None,
         more: bool = False,
+        ledger: bool = False,
     ) -> int:
         """Insert or ignore by ``event_id`` under one session; returns the
         number of rows handed in, as the session row records it.
@@ -101,86 +217,132 @@ class EventStore:
         runs once; the copy is removed. Running it again inserts nothing. With
         ``more`` the batch adds to a session (a stream's), whose row then
         counts the events stored.
+
+        ``ledger`` says that the ids are those of positions, which the rows
+        carry (``source``, ``seq``): then only parts made of the same lines are
+        looked into, and none for sources that are new.
         """
         session = session_id or default_session_id()
-        spots = order or []
+        spots = list(dict.fromkeys([*(order or []), *(["source", "seq"] if ledger else [])]))
         scratch = scratch_dir(self.spark, "batch")
         aligned = align(events, keep=spots)
         aligned.write.parquet(scratch)
-        batch = self.spark.read.schema(aligned.schema).parquet(scratch)
-        handed = batch.count()
-        now = dt.datetime.now(dt.timezone.utc)
-        if not more:
-            self._put_session(session, filename, fmt, handed, now)
-        fresh = insert_new(batch, self.events(), order).drop(*spots)
-        (
-            fresh.withColumn("is_malicious", F.coalesce("is_malicious", F.lit(False)))
-            .withColumn("created_at", F.lit(now).cast("timestamp"))
-            .withColumn("session_id", F.lit(session))
-            .write.mode("append")
-            .partitionBy("session_id")
-            .parquet(self.events_path)
-        )
-        if more:
-            self._put_session(session, filename, fmt, self.events().filter(F.col("session_id") == session).count(), now)
-        remove_path(self.spark, scratch)
-        return handed
-
-    def _put_session(
-        self, session: str, filename: str, fmt: str, count: int, now: dt.datetime
-    ) -> None:
-        """Insert or replace: only the session's own folder is overwritten."""
-        row = self.spark.createDataFrame(
-            [(filename, fmt, count, now, session)], SESSION_DDL
-        )
-        (
-            row.coalesce(1)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("session_id")
-            .parquet(self.sessions_path)
+        try:
+            batch = self.spark.read.schema(aligned.schema).parquet(scratch)
+            handed = batch.count()
+            for _ in range(TRIES):
+                base = self.version()
+                manifest = self.manifest(base)
+                part = self._write_part(batch, manifest["parts"], session, order, spots, ledger)
+                stored = part["rows"] + sum(p["rows"] for p in manifest["parts"] if p["session"] == session)
+                row = [filename, fmt, stored if more else handed, dt.datetime.now(dt.timezone.utc).isoformat()]
+                try:
+                    self._commit(base, {"parts": [*manifest["parts"], part], "sessions": manifest["sessions"] | {session: row}})
+                    return handed
+                except VersionTaken:  # someone's events may be the same: compare again
+                    self._drop([part])
+            raise VersionTaken(f"gave up after {TRIES} tries")
+        finally:
+            remove_path(self.spark, scratch)
+
+    def _write_part(self, batch: DataFrame, parts: list[dict], session: str, order, spots: Sequence[str], ledger: bool) -> dict:
+        part = {"part": uuid.uuid4().hex, "session": session, "rows": 0, "ledger": ledger}
+        ranges = None
+        if ledger:
+            ranges = line_ranges(batch)
+            ranges.write.parquet(self._folder("ledger", part))
+            ranges = self.spark.read.schema(LEDGER_DDL).parquet(self._folder("ledger", part))
+        fresh = insert_new(batch, self._ids(self._overlapping(parts, ranges)), order).drop(*spots)
+        fresh = fresh.withColumn("is_malicious", F.coalesce("is_malicious", F.lit(False))).withColumn(
+            "created_at", F.lit(dt.datetime.now(dt.timezone.utc)).cast("timestamp")
         )
+        return self._write_events(fresh, part, batch)
+
+    def _write_events(self, fresh: DataFrame, part: dict, sized_by: DataFrame) -> dict:
+        """Write the events of a part, and the tables made of them."""
+        folder = self._folder("events", part)
+        prune.clustered(fresh, sized_by, ROWS_PER_FILE).write.parquet(folder)
+        written = self.spark.read.option("basePath", f"{self.path}/events").schema(f"{STORE_DDL}, part string").parquet(folder)
+        files = prune.file_table(written, f"{self.path}/events")
+        files.coalesce(1).write.parquet(self._folder("files", part))
+        stats.summary(written).write.parquet(self._folder("summary", part))
+        rows = self.spark.read.parquet(self._folder("files", part)).agg(F.sum("rows")).first()[0]
+        return part | {"rows": rows or 0}
+
+    def _overlapping(self, parts: list[dict], ranges: DataFrame | None) -> list[dict]:
+        """The parts that may hold events of the batch: all without a ledger,
+        and of the others those made of some of the same lines."""
+        if ranges is None or ranges.filter("blind").take(1):
+            return parts
+        known = self._read("ledger", [p for p in parts if p["ledger"]], f"{LEDGER_DDL}, part string")
+        mine = ranges.select("source", F.col("low").alias("__low"), F.col("high").alias("__high"))
+        met = (F.col("low") <= F.col("__high")) & (F.col("__low") <= F.col("high"))
+        met = known.join(mine, "source").filter(met).select("part").union(known.filter("blind").select("part"))
+        names = {r["part"] for r in met.distinct().toLocalIterator()}
+        return [p for p in parts if not p["ledger"] or p["part"] in names]
+
+    def _ids(self, parts: list[dict]) -> DataFrame:
+        folders = [self._folder("events", p) for p in parts if p["rows"]]
+        if not folders:
+            return self.spark.createDataFrame([], "event_id string")
+        return self.spark.read.schema("event_id string").parquet(*folders)
 
     def delete(self, session_id: str | None = None) -> int:
-        """Drop one session (its folders), or everything; returns the number
-        of events that went."""
-        events = self.events()
-        if session_id is None:
-            gone = events.count()
-            self._remove(self.events_path)
-            self._remove(self.sessions_path)
-            return gone
-        gone = events.filter(F.col("session_id") == session_id).count()
-        for path in (self.events_path, self.sessions_path):
-            for folder in self._folders(path, session_id):
-                self._remove(folder)
-        if self.events().filter(F.col("session_id") == session_id).limit(1).count():
-            raise OSError(f"events of session {session_id!r} are still there")
-        return gone
-
-    # --- folders ---
-
-    def _folders(self, path: str, session_id: str) -> list[str]:
-        """Folders of a session: their names hold it with some signs encoded."""
-        if not self._exists(path):
-            return []
-        fs, target = self._fs(path)
-        names = [status.getPath().getName() for status in fs.listStatus(target)]
-        return [f"{path}/{name}" for name in names if unquote(name) == f"session_id={session_id}"]
-
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        return target.getFileSystem(conf), target
-
-    def _exists(self, path: str) -> bool:
-        fs, target = self._fs(path)
-        return fs.exists(target)
-
-    def _remove(self, path: str) -> None:
-        if not remove_path(self.spark, path) and self._exists(path):
-            raise OSError(f"{path} could not be removed")
+        """Drop one session, or everything; returns the number of events that
+        went. Their files stay for readers of older versions until ``vacuum``."""
+        gone: list[dict] = []
+
+        def change(manifest: dict) -> dict:
+            gone[:] = [p for p in manifest["parts"] if session_id is None or p["session"] == session_id]
+            sessions = {} if session_id is None else {k: v for k, v in manifest["sessions"].items() if k != session_id}
+            return {"parts": [p for p in manifest["parts"] if p not in gone], "sessions": sessions}
+
+        self._change(change)
+        return sum(p["rows"] for p in gone)
+
+    def compact(self, session_id: str) -> None:
+        """Make one part of all parts of a session."""
+        parts = [p for p in self.manifest()["parts"] if p["session"] == session_id]
+        if len(parts) < 2:
+            return
+        part = {"part": uuid.uuid4().hex, "session": session_id, "rows": 0, "ledger": all(p["ledger"] for p in parts)}
+        if part["ledger"]:
+            ranges = self._read("ledger", parts, f"{LEDGER_DDL}, part string").groupBy("source")
+            ranges = ranges.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("blind").alias("blind"))
+            ranges.write.parquet(self._folder("ledger", part))
+        reader = self.spark.read.option("basePath", f"{self.path}/events").schema(f"{STORE_DDL}, part string")
+        rows = reader.parquet(*[self._folder("events", p) for p in parts]).drop("part", "session_id")
+        part = self._write_events(rows, part, rows)
+        names = {p["part"] for p in parts}
+
+        def change(manifest: dict) -> dict:
+            if not names <= {p["part"] for p in manifest["parts"]}:
+                self._drop([part])
+                raise RuntimeError(f"session {session_id!r} was deleted or compacted by another writer")
+            return manifest | {"parts": [p for p in manifest["parts"] if p["part"] not in names] + [part]}
+
+        self._change(change)
+
+    def vacuum(self) -> None:
+        """Remove what the latest version does not name. No writer, and no
+        reader of an older version, may be at work."""
+        live = {self._folder(kind, p) for p in self.manifest()["parts"] for kind in KINDS}
+        for kind in KINDS:
+            for session in folder_names(self.spark, f"{self.path}/{kind}"):
+                for name in folder_names(self.spark, f"{self.path}/{kind}/{session}"):
+                    folder = f"{self.path}/{kind}/{session}/{name}"
+                    if folder not in live:
+                        remove_path(self.spark, folder)
+
+    def _drop(self, parts: list[dict]) -> None:
+        for part in parts:
+            for kind in KINDS:
+                remove_path(self.spark, self._folder(kind, part))
+
+
+def has_lines(events: DataFrame, placed: bool) -> bool:
+    """Whether events whose ids are those of positions still carry these."""
+    return placed and {"source", "seq"} <= set(events.columns)
 
 
 def ingest(
@@ -194,8 +356,10 @@ def ingest(
     enrich_with: Callable[[DataFrame], DataFrame] | None = None,
     **options,
 ) -> int:
-    """Parse, enrich, store: one chain up to the write."""
-    events = normalize(rows, **options)
+    """Parse, enrich, store: one chain up to the write. Rows with positions are
+    kept in the store's ledger."""
+    placed = {"source", "seq"} <= set(rows.columns) and "key" not in options and "keep" not in options
+    events = normalize(rows, **options, **({"keep": ("source", "seq")} if placed else {}))
     if enrich_with is not None:
         events = enrich_with(events)
-    return store.insert(events, session_id, filename=filename, fmt=fmt)
+    return store.insert(events, session_id, filename=filename, fmt=fmt, ledger=has_lines(events, placed))

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from logfathom.model import EVENT_DDL
 from logfathom.operators.query import with_message
 from logfathom.operators.registry import format_of, parser_of
-from logfathom.operators.store import EventStore
+from logfathom.operators.store import EventStore, has_lines
 from logfathom.session import folder_names, remove_path
 from logfathom.sources.lines import break_lines, number_lines, read_lines
 from logfathom.sources.zeek import last_headers
@@ -153,11 +153,13 @@ def start_ingest(
     **options,
 ) -> StreamingQuery:
     """Insert or ignore every micro-batch into one session of a store; a repeated
-    batch inserts nothing."""
+    batch inserts nothing. Lines of new files are compared with nothing stored."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        with _events(batch, batch_id, fmt, checkpoint, enrich_with, options) as events:
-            store.insert(events, session_id, fmt=fmt, more=True)
+        placed = {"source", "block"} <= set(batch.columns) and not {"key", "keep"} & set(options)
+        kept = options | ({"keep": ("source", "seq")} if placed else {})
+        with _events(batch, batch_id, fmt, checkpoint, enrich_with, kept) as events:
+            store.insert(events, session_id, fmt=fmt, more=True, ledger=has_lines(events, placed))
 
     return _start(lines, put, checkpoint, once)
 
