@@ -49,6 +49,27 @@ def is_ipv6(ip: Column) -> Column:
     return F.coalesce(ip.contains(":") & whole.rlike(IPV6), F.lit(False))
 
 
+def ipv6_hex(ip: Column) -> Column:
+    """The 128 bits of an address as 32 hexadecimal signs, which sort like the
+    numbers; NULL for text that is no IPv6 address."""
+    text = _ipv6_text(ip)
+    # an IPv4 tail is two groups
+    tail = ipv4_number(F.substring_index(text, ":", -1))
+    groups = F.concat(
+        F.regexp_replace(text, r"[0-9.]+$", ""), F.lower(F.hex(F.shiftright(tail, 16))), F.lit(":"), F.lower(F.hex(tail.bitwiseAND(F.lit(0xFFFF))))
+    )
+    text = F.when(text.contains("."), groups).otherwise(text)
+    halves = F.split(text, "::")
+
+    def cells(part: Column) -> Column:
+        return F.filter(F.split(F.coalesce(part, F.lit("")), ":"), lambda x: x != "")
+
+    left, right = cells(F.get(halves, F.lit(0))), cells(F.get(halves, F.lit(1)))
+    zeros = F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right))
+    every = F.transform(F.concat(left, zeros, right), lambda g: F.lpad(g, 4, "0"))
+    return F.when(is_ipv6(ip), F.array_join(every, ""))
+
+
 def _private_v6(ip: Column) -> Column:
     """Of a valid address: only its last group is 1, or it starts with fc or fd."""
     text = _ipv6_text(ip)

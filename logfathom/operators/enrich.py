@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logfathom.functions.net import ipv4_number, is_private
+from logfathom.functions.net import ipv4_number, ipv6_hex, is_private
 from logfathom.functions.text import filled
 from logfathom.model import text_map
 from logfathom.operators.lookup import fits_broadcast, lookup_join
+from logfathom.session import cut_lineage
 
 GEO_COLUMNS = {
     "country": "geo_country",
@@ -126,14 +127,86 @@ def _with_geo(rows: DataFrame, wide: DataFrame, narrow: DataFrame, small: bool)
     )
 
 
+_SIGNS = 32  # hexadecimal, of an IPv6 address
+
+
+def _digit(text: Column, i: Column) -> Column:
+    return F.conv(F.substring(text, i + 1, F.lit(1)), 16, 10).cast("int")
+
+
+def _below(prefix: Column, first: Column, last: Column) -> Column:
+    """The prefixes one digit longer, with digits from ``first`` to ``last``."""
+    digits = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(digits, lambda d: F.concat(prefix, F.lower(F.hex(d.cast("bigint")))))
+
+
+def prefixes(lo: Column, hi: Column) -> Column:
+    """The digit prefixes that make up a range of addresses in hexadecimal.
+
+    Below the first digit that differs, the range holds whole digits between
+    the two bounds, and on each side those beyond a bound's digits. Zeros at the
+    end of the lower bound, and f at that of the upper one, end a side early, so
+    a network gives few prefixes, and no range more than a thousand.
+    """
+    both = F.sequence(F.lit(0), F.lit(_SIGNS - 1))
+    same = F.coalesce(F.get(F.filter(both, lambda i: F.substring(lo, i + 1, F.lit(1)) != F.substring(hi, i + 1, F.lit(1))), F.lit(0)), F.lit(_SIGNS))
+    low_end = F.greatest(F.length(F.rtrim(lo, F.lit("0"))), same + 1)
+    high_end = F.greatest(F.length(F.rtrim(hi, F.lit("f"))), same + 1)
+
+    def side(text: Column, end: Column, part) -> Column:
+        levels = F.when(same + 1 <= end - 1, F.sequence(same + 1, end - 1)).otherwise(F.array().cast("array<int>"))
+        inner = F.flatten(F.transform(levels, lambda j: part(F.substring(text, F.lit(1), j), _digit(text, j))))
+        return F.concat(F.array(F.substring(text, F.lit(1), end)), inner)
+
+    low = side(lo, low_end, lambda prefix, d: _below(prefix, d + 1, F.lit(15)))
+    high = side(hi, high_end, lambda prefix, d: _below(prefix, F.lit(0), d - 1))
+    middle = _below(F.substring(lo, F.lit(1), same), _digit(lo, same) + 1, _digit(hi, same) - 1)
+    whole = (F.rtrim(F.substr(lo, same + 1), F.lit("0")) == "") & (F.rtrim(F.substr(hi, same + 1), F.lit("f")) == "")
+    return F.when(whole, F.array(F.substring(lo, F.lit(1), same))).otherwise(F.concat(low, middle, high))
+
+
+def _width6(lo: Column, hi: Column) -> Column:
+    """Upper minus lower bound as two halves of 64 bits, which compare in order."""
+
+    def half(text: Column, at: int) -> Column:
+        return F.conv(F.substring(text, at, 16), 16, 10).cast("decimal(20,0)")
+
+    upper, lower = half(hi, 1) - half(lo, 1), half(hi, 17) - half(lo, 17)
+    borrow = lower < 0
+    return F.struct(
+        F.when(borrow, upper - 1).otherwise(upper).cast("decimal(21,0)").alias("upper"),
+        F.when(borrow, lower + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(lower).cast("decimal(21,0)").alias("lower"),
+    )
+
+
+def geo_of_ipv6(events: DataFrame, geo6: DataFrame) -> DataFrame:
+    """(source_ip, geo) of the distinct public IPv6 addresses that are in a range.
+
+    Ranges are cut into prefixes, addresses into the prefixes of the lengths
+    that occur (33 at most), and both meet by equality; of the ranges that hold
+    an address the narrowest stays.
+    """
+    bounds = geo6.select(ipv6_hex(F.col("ip_lo")).alias("lo"), ipv6_hex(F.col("ip_hi")).alias("hi"), F.struct(*GEO_COLUMNS).alias("geo"))
+    pieces = bounds.filter(F.col("lo") <= F.col("hi")).select(
+        F.explode(prefixes(F.col("lo"), F.col("hi"))).alias("prefix"), F.struct(_width6(F.col("lo"), F.col("hi")).alias("width"), "lo", "geo").alias("range")
+    )
+    table = cut_lineage(pieces.groupBy("prefix").agg(F.min("range").alias("range")), "geo6")
+    lengths = sorted(r[0] for r in table.select(F.length("prefix")).distinct().collect())
+    ips = lookup_addresses(events, public_only=True).withColumn("hex", ipv6_hex(F.col("source_ip"))).filter("hex IS NOT NULL")
+    cuts = F.array(*[F.substring("hex", 1, n) for n in lengths]) if lengths else F.array().cast("array<string>")
+    met = ips.select("source_ip", F.explode(cuts).alias("prefix")).join(table, "prefix")
+    return met.groupBy("source_ip").agg(F.min("range")["geo"].alias("geo"))
+
+
 def enrich_geo(
-    events: DataFrame, geo: DataFrame, geo_ips: DataFrame | None = None, *, id_col: str = "event_id"
+    events: DataFrame, geo: DataFrame, geo_ips: DataFrame | None = None, *, geo6: DataFrame | None = None, id_col: str = "event_id"
 ) -> DataFrame:
     """Left lookup of the geo columns of public source addresses.
 
     ``geo`` holds IPv4 ranges (``ip_lo``, ``ip_hi`` and the geo columns),
-    nested ones allowed: the narrowest wins. ``geo_ips`` holds single
-    addresses of any family (``ip`` and the geo columns) and goes first.
+    nested ones allowed: the narrowest wins. ``geo6`` holds IPv6 ranges, whose
+    bounds are text. ``geo_ips`` holds single addresses of any family (``ip``
+    and the geo columns) and goes first.
 
     Range pieces within the broadcast bound are looked up per event. Larger
     ones are looked up once per distinct address, and the addresses are then
@@ -155,11 +228,15 @@ def enrich_geo(
             new: F.coalesce(F.when(exact, F.col(f"__x_{old}")), picked[new])
             for old, new in GEO_COLUMNS.items()
         }
-    found = F.col("__geo").isNotNull() if geo_ips is None else F.lit(True)
+    if geo6 is not None:
+        table = cut_lineage(geo_of_ipv6(events, geo6), "geo6-addresses")
+        rows = lookup_join(rows, table, {"source_ip": "source_ip"}, salt_by=[id_col], prefix="__6_")
+        picked = {new: F.coalesce(picked[new], F.col("__6_geo")[old]) for old, new in GEO_COLUMNS.items()}
+    found = F.col("__geo").isNotNull() if geo_ips is None and geo6 is None else F.lit(True)
     out = rows.withColumns(
         {new: F.when(found & c.isNotNull(), c).otherwise(F.col(new)) for new, c in picked.items()}
     )
-    return out.drop("__geo", *[f"__x_{c}" for c in GEO_COLUMNS])
+    return out.drop("__geo", "__6_geo", *[f"__x_{c}" for c in GEO_COLUMNS])
 
 
 # --- reverse DNS --------------------------------------------------------------
@@ -247,6 +324,8 @@ def enrich(
     events: DataFrame,
     *,
     geo: DataFrame | None = None,
+    geo_ips: DataFrame | None = None,
+    geo6: DataFrame | None = None,
     rdns: DataFrame | None = None,
     threat: bool = False,
     reputation: DataFrame | None = None,
@@ -254,8 +333,11 @@ def enrich(
 ) -> DataFrame:
     """Geography, then reverse DNS, then threat data, each where it is asked for."""
     out = events
+    if geo is None and (geo_ips is not None or geo6 is not None):
+        none = ", ".join(f"{c} {'double' if c in ('lat', 'lon') else 'string'}" for c in GEO_COLUMNS)
+        geo = events.sparkSession.createDataFrame([], f"ip_lo bigint, ip_hi bigint, {none}")
     if geo is not None:
-        out = enrich_geo(out, geo, id_col=id_col)
+        out = enrich_geo(out, geo, geo_ips, geo6=geo6, id_col=id_col)
     if rdns is not None:
         out = enrich_rdns(out, rdns, id_col=id_col)
     if threat:

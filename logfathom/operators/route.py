@@ -151,16 +151,25 @@ def normalize_files(
 
 
 def _json_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """NDJSON files stay splittable; a file whose first line is no JSON value
-    by itself may be one document and is tried as a whole."""
+    """NDJSON files stay splittable; a file that begins like a document which
+    its first line does not end is tried as a whole.
+
+    A cut first line, as rotation leaves it, is no such beginning: it does not
+    start with a bracket, or the line after it is a value of its own, as no line
+    of an object that goes over several lines is.
+    """
     lines = read_json_lines(spark, paths)
-    first = lines.groupBy("source").agg(
-        F.min_by("value", F.struct("block", "seq", "sub")).alias("first")
-    )
-    whole = [
-        plain_path(r["source"])
-        for r in first.filter(strict_json(F.col("first")).isNull()).select("source").toLocalIterator()
-    ]
+    filled = lines.filter(strip(F.col("value")) != "")
+    spot = F.struct("block", "seq", "sub")
+    heads = filled.groupBy("source").agg(F.min_by("value", spot).alias("first"), F.min(spot).alias("__at"))
+    heads = cut_lineage(heads.withColumnRenamed("source", "__source"), "json-heads")
+    later = lookup_join(filled, heads, {"source": "__source"}, salt_by=["seq"], prefix="__h_").filter(spot > F.col("__h___at"))
+    seconds = later.groupBy("source").agg(F.min_by("value", spot).alias("second"))
+    text = F.substr(strip(F.col("first")), F.lit(1), F.lit(1))
+    opened = text.isin("{", "[") & strict_json(F.col("first")).isNull()
+    alone = (text == "{") & F.coalesce(F.substr(strip(F.col("second")), F.lit(1), F.lit(1)) == "{", F.lit(False)) & strict_json(F.col("second")).isNotNull()
+    heads = heads.join(seconds, F.col("__source") == F.col("source"), "left")
+    whole = [plain_path(r["__source"]) for r in heads.filter(opened & ~alone).select("__source").toLocalIterator()]
     split = [p for p in paths if p not in set(whole)]
     frames = []
     if split:

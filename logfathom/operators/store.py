@@ -118,7 +118,7 @@ class EventStore:
         number = self.version() if version is None else version
         if number == 0:
             return {"parts": [], "sessions": {}}
-        lines = self.spark.read.option("wholetext", True).text(f"{self.path}/versions/{number:012d}.json")
+        lines = self.spark.read.text(f"{self.path}/versions/{number:012d}.json", wholetext=True)
         return json.loads(lines.first()["value"])
 
     def _commit(self, base: int, manifest: dict) -> None:

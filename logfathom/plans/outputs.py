@@ -217,16 +217,16 @@ def stix_observed(spark, sf_dir):
     return rows.select(*[F.get_json_object("json", p).alias(n) for n, p in cells.items()], refs.alias("refs"))
 
 
-@register(
-    "stix_object_counts",
-    f"""WITH {EVENTS_SQL}, a AS (SELECT source_ip AS ip FROM ev UNION SELECT dest_ip FROM ev)
+STIX_COUNTS_SQL = f"""WITH {EVENTS_SQL}, a AS (SELECT source_ip AS ip FROM ev UNION SELECT dest_ip FROM ev)
         SELECT 'identity' AS type, 1 AS n UNION ALL SELECT {_kind_sql('ip')}, count(*) FROM a WHERE ip IS NOT NULL GROUP BY 1
         UNION ALL SELECT 'network-traffic', count(*) FROM ev WHERE {_HAS_IP}
         UNION ALL SELECT 'user-account', count(DISTINCT username) FROM ev
         UNION ALL SELECT 'process', count(process_name) FROM ev
         UNION ALL SELECT 'x-siem-log', count(*) FROM ev WHERE {_BARE} HAVING count(*) > 0
-        UNION ALL SELECT 'observed-data', count(*) FROM ev""",
-)
+        UNION ALL SELECT 'observed-data', count(*) FROM ev"""
+
+
+@register("stix_object_counts", STIX_COUNTS_SQL)
 def stix_object_counts(spark, sf_dir):
     rows = stix.stix_objects(event_rows(spark, sf_dir), identity_id=IDENTITY, now=NOW, order=["id"])
     return rows.groupBy("type").agg(F.count(F.lit(1)).alias("n"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logfathom.functions.times import epoch_seconds
 from logfathom.model import EVENT_FIELDS
+from logfathom.sinks.document import write_document
 from logfathom.sinks.stix import stix_objects
 
 # CSV columns, default index name and default source name.
@@ -119,6 +120,12 @@ def write_ndjson(events: DataFrame, path: str, **_) -> None:
     _text(ndjson_rows(events), path)
 
 
+def write_array(events: DataFrame, path: str, order: list[str] | None = None, **_) -> None:
+    """One JSON array as one file, written in parallel."""
+    keys = list(order or [])
+    write_document(events.select(F.to_json(event_struct(), _ALL_FIELDS).alias("value"), *keys), path, order=keys)
+
+
 def write_bulk(events: DataFrame, path: str, index: str = DEFAULT_INDEX, **_) -> None:
     _text(bulk_rows(events, index), path)
 
@@ -136,8 +143,7 @@ def write_stix(events: DataFrame, path: str, **options) -> None:
 Writer = Callable[..., None]
 WRITERS: dict[str, Writer] = {
     "csv": write_csv,
-    # a whole array in one document cannot be written in parallel; its rows can
-    "json": write_ndjson,
+    "json": write_array,
     "ndjson": write_ndjson,
     "elasticsearch": write_bulk,
     "es": write_bulk,

@@ -12,6 +12,7 @@ from logfathom.functions.ids import stix_id
 from logfathom.functions.net import address_type
 from logfathom.functions.severity import confidence
 from logfathom.functions.text import filled
+from logfathom.sinks.document import write_document
 
 VERSION = "2.1"
 RAW_LIMIT = 500
@@ -35,16 +36,17 @@ def user_ref(name: Column) -> Column:
     return F.when(filled(name).isNotNull(), stix_id(F.lit("user-account"), name))
 
 
-def _rows(
-    df: DataFrame, kind: str | Column, ident: Column, parts: list[Column], nulls: bool = False
-) -> DataFrame:
+def _object(kind: str | Column, ident: Column, parts: list[Column], nulls: bool = False) -> Column:
+    """(id, type, json) of one object."""
     body = F.struct(
         _of(kind).alias("type"), F.lit(VERSION).alias("spec_version"), ident.alias("id"), *parts
     )
     options = {"ignoreNullFields": "false"} if nulls else {}
-    return df.select(
-        ident.alias("id"), _of(kind).alias("type"), F.to_json(body, options).alias("json")
-    )
+    return F.struct(ident.alias("id"), _of(kind).alias("type"), F.to_json(body, options).alias("json"))
+
+
+def _rows(df: DataFrame, made: Column) -> DataFrame:
+    return df.select(made.alias("__made")).select("__made.*")
 
 
 def addresses(events: DataFrame) -> DataFrame:
@@ -52,20 +54,18 @@ def addresses(events: DataFrame) -> DataFrame:
     both = events.select(F.explode(F.array("source_ip", "dest_ip")).alias("ip"))
     ips = both.filter(filled(F.col("ip")).isNotNull()).distinct()
     ip = F.col("ip")
-    return _rows(ips, address_type(ip), address_id(ip), [ip.alias("value")])
+    return _rows(ips, _object(address_type(ip), address_id(ip), [ip.alias("value")]))
 
 
 def has_address() -> Column:
     return filled(F.col("source_ip")).isNotNull() | filled(F.col("dest_ip")).isNotNull()
 
 
-def traffic(events: DataFrame, now: Column) -> DataFrame:
-    """One network-traffic object per event with an address."""
+def _traffic(now: Column) -> Column:
     protocol = F.lower(filled(F.col("protocol")))
     src, dst = address_id(F.col("source_ip")), address_id(F.col("dest_ip"))
     zero = F.lit(0)
-    return _rows(
-        events.filter(has_address()),
+    return _object(
         "network-traffic",
         _own_id("network-traffic"),
         [
@@ -79,6 +79,11 @@ def traffic(events: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def traffic(events: DataFrame, now: Column) -> DataFrame:
+    """One network-traffic object per event with an address."""
+    return _rows(events.filter(has_address()), _traffic(now))
+
+
 def users(events: DataFrame, order: list[str]) -> DataFrame:
     """One object per user name; its id is that of the first event by ``order``."""
     named = events.filter(filled(F.col("username")).isNotNull())
@@ -88,18 +93,12 @@ def users(events: DataFrame, order: list[str]) -> DataFrame:
         ).alias("account")
     )
     name = F.col("username")
-    return _rows(
-        first,
-        "user-account",
-        user_ref(name),
-        [F.col("account").alias("user_id"), name.alias("account_login")],
-    )
+    cells = [F.col("account").alias("user_id"), name.alias("account_login")]
+    return _rows(first, _object("user-account", user_ref(name), cells))
 
 
-def processes(events: DataFrame) -> DataFrame:
-    """One object per event with a process name."""
-    return _rows(
-        events.filter(filled(F.col("process_name")).isNotNull()),
+def _process() -> Column:
+    return _object(
         "process",
         _own_id("process"),
         [
@@ -109,6 +108,15 @@ def processes(events: DataFrame) -> DataFrame:
     )
 
 
+def has_process() -> Column:
+    return filled(F.col("process_name")).isNotNull()
+
+
+def processes(events: DataFrame) -> DataFrame:
+    """One object per event with a process name."""
+    return _rows(events.filter(has_process()), _process())
+
+
 def is_bare() -> Column:
     """No address, user or process to refer to."""
     return (
@@ -118,10 +126,8 @@ def is_bare() -> Column:
     )
 
 
-def bare_logs(events: DataFrame) -> DataFrame:
-    """A custom object for events that have nothing else to refer to."""
-    return _rows(
-        events.filter(is_bare()),
+def _bare_log() -> Column:
+    return _object(
         "x-siem-log",
         _own_id("x-siem-log"),
         [
@@ -132,6 +138,11 @@ def bare_logs(events: DataFrame) -> DataFrame:
     )
 
 
+def bare_logs(events: DataFrame) -> DataFrame:
+    """A custom object for events that have nothing else to refer to."""
+    return _rows(events.filter(is_bare()), _bare_log())
+
+
 def object_refs() -> Column:
     """Distinct references of an event in order: source, destination, traffic,
     user, process, or the custom object alone."""
@@ -146,11 +157,9 @@ def object_refs() -> Column:
     return F.array_distinct(F.array_compact(refs))
 
 
-def observations(events: DataFrame, identity_id: str, now: Column) -> DataFrame:
-    """One observed-data object per event."""
+def _observation(identity_id: str, now: Column) -> Column:
     when = F.coalesce(filled(F.col("timestamp")), now)
-    return _rows(
-        events,
+    return _object(
         "observed-data",
         _own_id("observed-data"),
         [
@@ -172,24 +181,51 @@ def observations(events: DataFrame, identity_id: str, now: Column) -> DataFrame:
     )
 
 
+def observations(events: DataFrame, identity_id: str, now: Column) -> DataFrame:
+    """One observed-data object per event."""
+    return _rows(events, _observation(identity_id, now))
+
+
 def new_identity_id() -> str:
     """A fresh identity id for one export."""
     return f"identity--{uuid.uuid4()}"
 
 
 def identity(events: DataFrame, identity_id: str, now: Column, name: str) -> DataFrame:
-    one = events.sparkSession.range(1)
-    return _rows(
-        one,
-        "identity",
-        F.lit(identity_id),
-        [
-            now.alias("created"),
-            now.alias("modified"),
-            F.lit(name).alias("name"),
-            F.lit("system").alias("identity_class"),
-        ],
+    cells = [
+        now.alias("created"),
+        now.alias("modified"),
+        F.lit(name).alias("name"),
+        F.lit("system").alias("identity_class"),
+    ]
+    return _rows(events.sparkSession.range(1), _object("identity", F.lit(identity_id), cells))
+
+
+def event_objects(events: DataFrame, identity_id: str, now: Column) -> DataFrame:
+    """The objects that each event has of its own, in one pass."""
+    made = F.array(
+        F.when(has_address(), _traffic(now)), F.when(has_process(), _process()),
+        F.when(is_bare(), _bare_log()), _observation(identity_id, now),
     )
+    return events.select(F.inline(F.array_compact(made)))
+
+
+def shared_objects(events: DataFrame, order: list[str]) -> DataFrame:
+    """Addresses and users, one object per value: one pass over four columns,
+    one aggregate by value."""
+    account = F.coalesce(filled(F.col("user_id")), F.col("username"))
+    spot = F.struct(*order)
+    none = F.lit(None)
+    cells = [
+        F.struct(F.lit(kind).alias("kind"), F.col(c).alias("value"), (account if kind == "user" else none.cast("string")).alias("account"), spot.alias("spot"))
+        for kind, c in (("ip", "source_ip"), ("ip", "dest_ip"), ("user", "username"))
+    ]
+    rows = events.select(F.inline(F.array(*cells))).filter(filled(F.col("value")).isNotNull())
+    found = rows.groupBy("kind", "value").agg(F.min_by("account", "spot").alias("account"))
+    value = F.col("value")
+    ip = _object(address_type(value), address_id(value), [value.alias("value")])
+    user = _object("user-account", user_ref(value), [F.col("account").alias("user_id"), value.alias("account_login")])
+    return _rows(found, F.when(F.col("kind") == "ip", ip).otherwise(user))
 
 
 def stix_objects(
@@ -212,23 +248,14 @@ def stix_objects(
         else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.'000Z'")
     )
     spots = order or [c for c in ("source", "seq", "sub") if c in events.columns]
-    parts = [
-        identity(events, ident, at, identity_name),
-        addresses(events),
-        traffic(events, at),
-        users(events, spots or ["event_id"]),
-        processes(events),
-        bare_logs(events),
-        observations(events, ident, at),
-    ]
+    if not spots:
+        raise ValueError("name the columns that put events in input order: order=[…]")
+    parts = [identity(events, ident, at, identity_name), shared_objects(events, spots), event_objects(events, ident, at)]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def bundle(objects: DataFrame, bundle_id: str | None = None) -> str:
-    """The one-document envelope. It gathers all objects on the driver, so it
-    is for small exports; larger ones stay rows."""
+def write_bundle(objects: DataFrame, path: str, bundle_id: str | None = None) -> None:
+    """The one-document envelope as one file, whose parts are written in parallel."""
     ident = bundle_id or f"bundle--{uuid.uuid4()}"
-    inner = ",".join(r.json for r in objects.select("json").toLocalIterator())
-    return (
-        f'{{"type":"bundle","id":"{ident}","spec_version":"{VERSION}","objects":[{inner}]}}'
-    )
+    head = f'{{"type":"bundle","id":"{ident}","spec_version":"{VERSION}","objects":['
+    write_document(objects.select(F.col("json").alias("value")), path, head, "]}")
