@@ -112,14 +112,20 @@ def example_texts(rows: DataFrame) -> DataFrame:
 
 
 def read_back(rows: DataFrame) -> DataFrame:
-    """Parse formatted rows and digest each conversation.
+    """Parse formatted rows, read every example, and digest each conversation.
+
+    An example is read as its prefix: the running digest of the text, taken at
+    the end of its target turn, is that of all its turns. It has to end there,
+    and its mask has to be exactly the reply of an assistant turn; anything else
+    is an error. ``examples_sha256`` digests the examples of a conversation in
+    order, each as the digest of its text and the span of its mask.
 
     A digest needs its conversation in order; rows stream past it one by one,
     so a task holds a batch of rows whatever the length of a conversation.
     """
     fields = {
         "conv_id": pa.int64(), "n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(),
-        "loss_sha256": pa.string(), "formatted_chars": pa.int64(), "n_examples": pa.int64(), "example_chars": pa.int64(),
+        "loss_sha256": pa.string(), "formatted_chars": pa.int64(), "n_examples": pa.int64(), "example_chars": pa.int64(), "examples_sha256": pa.string(),
     }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,13 +133,13 @@ def read_back(rows: DataFrame) -> DataFrame:
 
         def close() -> None:
             if state is not None:
-                done.append([conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), *state[4:]])
+                done.append([conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), *state[4:7], state[8].hexdigest()])
 
         for batch in batches:
             for one, start, segment, prefix, low, high in zip(*(c.to_pylist() for c in batch.columns)):
                 if state is None or one != conv:
                     close()
-                    conv, state = one, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
+                    conv, state = one, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0, hashlib.sha256(), hashlib.sha256()]
                 if state[4] != start:
                     raise ValueError(f"conversation {one}: a segment is missing before {start}")
                 parts = SEGMENT.fullmatch(segment)
@@ -141,12 +147,19 @@ def read_back(rows: DataFrame) -> DataFrame:
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
                 state[4] += len(segment)
+                state[7].update(segment.encode())
+                if (low is not None) != (role == TRAINED):
+                    raise ValueError(f"conversation {one}: the turn at {start} has a mask that is not its own")
                 if low is not None:
-                    reply = unescape(segment[low - start : high - start])
+                    masked = segment[low - start : high - start]
+                    if prefix != state[4] or masked != parts[2] or low - start != parts.start(2):
+                        raise ValueError(f"conversation {one}: the example at {start} does not end in its masked reply")
+                    reply = unescape(masked)
                     state[2] += len(reply)
                     state[3].update(reply.encode())
                     state[5] += 1
                     state[6] += prefix
+                    state[8].update(f"{state[7].hexdigest()}:{low}:{high}\n".encode())
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), fields.values())], names=list(fields))
                 done.clear()
@@ -177,19 +190,24 @@ ORACLES = {
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
             UNION ALL SELECT -1, n, r, '{PROBE}' FROM (VALUES (0, 'user'), (1, 'assistant')) v(n, r)
-        ), sized AS (
-            SELECT *, length(t) + length(t) - length(replace(t, '\', ''))
-                   + len(regexp_extract_all(t, '<\||</?s>|\[/?INST\]|<</?SYS>>')) + length(r) + 5 + {len(END)} AS n
+        ), bodies AS (
+            SELECT *, '<|' || r || '|>' || chr(10) AS head, regexp_replace(regexp_replace(replace(t, '\', '\\'),
+                   '<(\||/?s>|</?SYS>>)', '<\\\1', 'g'), '\[(/?INST\])', '[\\\1', 'g') AS body
             FROM turns
+        ), sized AS (
+            SELECT *, head || body || '<|end|>' || chr(10) AS segment, length(head) + length(body) + {len(END)} AS n FROM bodies
         ), placed AS (
-            SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn, r, t) AS upto FROM sized
+            SELECT *, sum(n) OVER w AS upto, sum(n) OVER w - n + length(head) AS low, sha256(string_agg(segment, '') OVER w) AS prefix
+            FROM sized WINDOW w AS (PARTITION BY conv_id ORDER BY turn, r, t ROWS UNBOUNDED PRECEDING)
         )
         SELECT conv_id, count(*) AS n_turns,
                sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
                CAST(coalesce(sum(length(t)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
                sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (r = 'assistant'), '')) AS loss_sha256,
                CAST(sum(n) AS BIGINT) AS formatted_chars, count(*) FILTER (r = 'assistant') AS n_examples,
-               CAST(coalesce(sum(upto) FILTER (r = 'assistant'), 0) AS BIGINT) AS example_chars
+               CAST(coalesce(sum(upto) FILTER (r = 'assistant'), 0) AS BIGINT) AS example_chars,
+               sha256(coalesce(string_agg(prefix || ':' || CAST(low AS BIGINT) || ':' || CAST(low + length(body) AS BIGINT) || chr(10), ''
+                               ORDER BY turn, r, t) FILTER (r = 'assistant'), '')) AS examples_sha256
         FROM placed GROUP BY conv_id
     """
 }

@@ -5,8 +5,11 @@ A package is a ZIP file with two stored (not compressed) members:
 one line per record with its place in the archive member. The reader parses the
 end record, the ZIP64 records and the central directory, finds the place of the
 stored members and their index, and reads byte ranges of them; nothing is
-extracted and no package is read whole. Archive members without an index are
-scanned stream by stream.
+extracted and no package is read whole. Packages of other writers are read as
+well: archive members are those below ``archive/``, records in gzip streams or
+plain; indexes are lines of three columns, CDX with a header line, or CDXJ, and
+name the member they are about. Members that no index names are scanned record
+by record.
 
 Of records with equal payloads of at least ``min_bytes`` bytes the one with the
 smallest id is a response and the others are revisits that carry its id and
@@ -21,13 +24,15 @@ control characters and blanks in a URL are percent-encoded; a row with a null id
 is a record without id, read back as null; rows with equal id and payload are
 all responses if the id is the smallest. An empty table gives no package.
 Compressed archive members cannot be range-read: they are listed, and reading
-them is an error.
+them is an error. A record id that is not one of ours gives a null ``record_id``;
+``record_uri`` has every id as it is.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -53,6 +58,7 @@ END64 = Layout("<4sQHHIIQQQQ")
 LOCATOR64 = Layout("<4sIQI")
 DESCRIPTOR64 = Layout("<4sIQQ")
 DOS_DATE = 0x21  # 1980-01-01
+GZIP = b"\x1f\x8b"
 
 
 class PackageWriter:
@@ -183,13 +189,22 @@ def parse_record(data: bytes) -> dict:
         name, _, value = line.partition(":")
         fields[name.strip().lower()] = value.strip()
     block = rest[: int(fields.get("content-length", 0))]
+    if not fields.get("content-type", "").startswith("application/http"):
+        return {"fields": fields, "payload": block, "payload_bytes": len(block)}
     http, _, payload = block.partition(b"\r\n\r\n")
     length = next((int(x[15:]) for x in http.split(b"\r\n") if x[:15].lower() == b"content-length:"), len(payload))
     return {"fields": fields, "payload": payload, "payload_bytes": length}
 
 
+def read_uri(value: str | None) -> str | None:
+    return value.strip("<>") if value else None
+
+
 def read_id(value: str | None) -> int | None:
-    return int(value.strip("<>").removeprefix(ID_PREFIX)) if value else None
+    """The number of a record of ours; null for ids of other writers."""
+    uri = read_uri(value) or ""
+    number = uri.removeprefix(ID_PREFIX)
+    return int(number) if uri.startswith(ID_PREFIX) and number.lstrip("-").isdigit() else None
 
 
 def revisit_targets(pages: DataFrame, min_bytes: int) -> DataFrame:
@@ -290,8 +305,9 @@ def list_members(packages: DataFrame) -> DataFrame:
 def locate_records(packages: DataFrame) -> DataFrame:
     """(path, at, length): the byte range of every record in its package.
 
-    From the index member where there is one. Otherwise the archive member is
-    scanned: each record is one gzip stream, so its end is found by inflating.
+    From the index members where they name the archive member. Otherwise it is
+    scanned: the end of a gzip stream is found by inflating, that of a plain
+    record by its length.
     """
     schema = pa.schema([("path", pa.string()), ("at", pa.int64()), ("length", pa.int64())])
 
@@ -301,22 +317,14 @@ def locate_records(packages: DataFrame) -> DataFrame:
                 read_at, file = _reader(path)
                 with file:
                     members = {m["name"]: m for m in central_directory(read_at, size)}
-                    for name, member in members.items():
-                        if not name.startswith("archive/") or not name.endswith((".warc.gz", ".warc")):
-                            continue
-                        if not member["stored"]:
-                            raise ValueError(f"{path}: {name} is compressed and cannot be range-read")
-                        base = data_start(read_at, member["header_at"])
-                        index = members.get(INDEX) if name == ARCHIVE else None
-                        spans = indexed(read_at, index) if index and index["stored"] else scanned(read_at, base, member["size"])
-                        held: list[tuple] = []
-                        for at, length in spans:
-                            held.append((path, base + at, length))
-                            if len(held) == 10_000:
-                                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held)], schema=schema)
-                                held = []
-                        if held:
+                    held: list[tuple] = []
+                    for at, length in record_spans(path, read_at, members):
+                        held.append((path, at, length))
+                        if len(held) == 10_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held)], schema=schema)
+                            held = []
+                    if held:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held)], schema=schema)
 
     return packages.select("path", "size").mapInArrow(run, "path string, at bigint, length bigint")
 
@@ -326,13 +334,86 @@ def pieces(read_at, start: int, size: int) -> Iterator[bytes]:
         yield read_at(start + at, min(READ_BYTES, size - at))
 
 
-def indexed(read_at, member: dict) -> Iterator[tuple[int, int]]:
-    rest = b""
-    for part in pieces(read_at, data_start(read_at, member["header_at"]), member["size"]):
+def record_spans(path: str, read_at, members: dict[str, dict]) -> Iterator[tuple[int, int]]:
+    """(place in the package, length) of all records of the archive members."""
+    archives = {n: m for n, m in members.items() if n.startswith("archive/") and n.endswith((".warc.gz", ".warc"))}
+    bases = {}
+    for name, member in archives.items():
+        if not member["stored"]:
+            raise ValueError(f"{path}: {name} is compressed and cannot be range-read")
+        bases[name] = data_start(read_at, member["header_at"])
+    known = set()
+    for name, member in members.items():
+        if name.startswith("indexes/") and member["stored"] and name.endswith((".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz")):
+            for about, at, length in indexed(read_at, member):
+                target = about or ARCHIVE
+                if target in bases:
+                    known.add(target)
+                    yield bases[target] + at, length
+    for name, base in bases.items():
+        if name not in known:
+            scan = scanned if read_at(base, 2) == GZIP else scanned_plain
+            for at, length in scan(read_at, base, archives[name]["size"]):
+                yield base + at, length
+
+
+def indexed(read_at, member: dict) -> Iterator[tuple[str | None, int, int]]:
+    """(archive member or None, place, length) of the lines of an index: CDXJ,
+    CDX whose header names its columns, or our three columns."""
+    start = data_start(read_at, member["header_at"])
+    parts = pieces(read_at, start, member["size"])
+    if member["name"].endswith(".gz"):
+        parts = inflated(parts)
+    columns, rest = None, b""
+    for part in parts:
         *lines, rest = (rest + part).split(b"\n")
         for line in lines:
-            _, at, length = line.split(b" ")
-            yield int(at), int(length)
+            if line.strip().startswith(b"CDX "):
+                columns = line.split()[1:]
+            elif line.strip():
+                yield index_entry(line, columns)
+    if rest.strip():
+        yield index_entry(rest, columns)
+
+
+def index_entry(line: bytes, columns: list[bytes] | None) -> tuple[str | None, int, int]:
+    if b"{" in line:
+        entry = json.loads(line[line.index(b"{") :])
+        return "archive/" + entry["filename"].rsplit("/", 1)[-1], int(entry["offset"]), int(entry["length"])
+    cells = line.split()
+    if columns is None:
+        return None, int(cells[1]), int(cells[2])
+    # S is the length of a record, V its place, g its file
+    size, at, file = (cells[columns.index(c)] for c in (b"S", b"V", b"g"))
+    return "archive/" + file.decode().rsplit("/", 1)[-1], int(at), int(size)
+
+
+def inflated(parts: Iterator[bytes]) -> Iterator[bytes]:
+    packer = zlib.decompressobj(31)
+    for part in parts:
+        while part:
+            yield packer.decompress(part)
+            part = packer.unused_data
+            if packer.eof:
+                packer = zlib.decompressobj(31)
+
+
+def scanned_plain(read_at, base: int, size: int) -> Iterator[tuple[int, int]]:
+    """Records that are not compressed: a header, and as many bytes as it says."""
+    at = 0
+    while at < size:
+        head, step = b"", 4096
+        while (end := head.find(b"\r\n\r\n")) < 0:
+            more = read_at(base + at + len(head), min(step, size - at - len(head)))
+            if not more:
+                return
+            head += more
+        lines = head[:end].lower().split(b"\r\n")
+        length = next((int(x.partition(b":")[2]) for x in lines if x.startswith(b"content-length:")), 0)
+        yield at, end + 4 + length
+        at += end + 4 + length
+        while at < size and read_at(base + at, 2) == b"\r\n":
+            at += 2
 
 
 def scanned(read_at, base: int, size: int) -> Iterator[tuple[int, int]]:
@@ -352,7 +433,7 @@ def read_records(places: DataFrame) -> DataFrame:
     """Range-read and parse records; one row per record."""
     schema = pa.schema(
         [("record_id", pa.int64()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.int64()),
-         ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())]
+         ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("record_uri", pa.string())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,7 +455,8 @@ def read_records(places: DataFrame) -> DataFrame:
                     j += 1
                 data = memoryview(read_at(start, end - start))
                 for _, at, length in spans[i:j]:
-                    rows.append(row_of(parse_record(zlib.decompress(data[at - start : at - start + length], 31))))
+                    packed = bytes(data[at - start : at - start + length])
+                    rows.append(row_of(parse_record(zlib.decompress(packed, 31) if packed[:2] == GZIP else packed)))
                 i = j
                 if sum(len(r["payload"]) for r in rows) > READ_BYTES:
                     yield pa.RecordBatch.from_pylist(rows, schema)
@@ -385,7 +467,7 @@ def read_records(places: DataFrame) -> DataFrame:
 
     ddl = (
         "record_id bigint, record_type string, target_uri string, refers_to bigint, payload_digest string, "
-        "payload_bytes bigint, payload binary"
+        "payload_bytes bigint, payload binary, record_uri string"
     )
     return places.select("path", "at", "length").mapInArrow(run, ddl)
 
@@ -394,12 +476,15 @@ def row_of(record: dict) -> dict:
     fields = record["fields"]
     digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
     revisit = fields.get("warc-type") == "revisit"
-    if not revisit and base32_sha1(record["payload"]) != digest:
+    # other writers digest other things, by other functions
+    ours = (read_uri(fields.get("warc-record-id")) or ID_PREFIX).startswith(ID_PREFIX)
+    if ours and not revisit and base32_sha1(record["payload"]) != digest:
         raise ValueError(f"digest of {fields.get('warc-record-id')} does not match its payload")
     return {
         "record_id": read_id(fields.get("warc-record-id")), "record_type": fields.get("warc-type"),
         "target_uri": fields.get("warc-target-uri"), "refers_to": read_id(fields.get("warc-refers-to")),
         "payload_digest": digest, "payload_bytes": record["payload_bytes"], "payload": record["payload"],
+        "record_uri": read_uri(fields.get("warc-record-id")),
     }
 
 

@@ -107,6 +107,68 @@ def test_scan_without_index():
     assert [b for _, b in spans] == [len(p) for p in packed]
 
 
+def foreign_record(n, kind="response", gap=b"\r\n\r\n"):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\nbody %d" % n
+    block, about = (http, b"application/http; msgtype=response") if kind == "response" else (b"software: x\r\n", b"application/warc-fields")
+    head = (
+        b"WARC/1.0\r\nWARC-Type: %s\r\nWARC-Record-ID: <urn:uuid:0000-%d>\r\nWARC-Payload-Digest: sha256:xyz\r\nContent-Type: %s\r\nContent-Length: %d"
+        % (kind.encode(), n, about, len(block))
+    )
+    return head + b"\r\n\r\n" + block + gap
+
+
+def test_packages_of_other_writers(spark, tmp_path):
+    """Plain and packed archives, indexes in CDX, CDXJ and packed, ids as URNs."""
+    plain = [foreign_record(0, "warcinfo"), foreign_record(1), foreign_record(2)]
+    packed = {k: [zlib.compress(foreign_record(k * 10 + i), wbits=31) for i in range(3)] for k in (1, 2, 3, 4)}
+
+    def places(k):
+        at = 0
+        for record in packed[k]:
+            yield at, len(record)
+            at += len(record)
+
+    cdxj = "".join(f'com,x)/ 2020 {{"url": "u", "offset": "{at}", "length": {n}, "filename": "b.warc.gz"}}\n' for at, n in places(1))
+    cdx = " CDX N b a m s k r M S V g\n" + "".join(f"com,x)/ 2020 u text/html 200 K - - {n} {at} d/c.warc.gz\n" for at, n in places(2))
+    packed_index = "".join(f'com,x)/ 2020 {{"offset": {at}, "length": {n}, "filename": "d.warc.gz"}}' + ("\n" if at == 0 else "\r\n") for at, n in places(3))
+    path = tmp_path / "other.wacz"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("datapackage.json", "{}")
+        z.writestr("archive/a.warc", b"".join(plain))
+        for k, name in ((1, "b"), (2, "c"), (3, "d"), (4, "e")):
+            z.writestr(f"archive/{name}.warc.gz", b"".join(packed[k]))
+        z.writestr("indexes/index.cdxj", cdxj)
+        z.writestr("indexes/more.cdx", cdx.rstrip("\n"))
+        z.writestr("indexes/index.cdx.gz", zlib.compress(packed_index.encode(), wbits=31))
+    found = spark.createDataFrame([(path.as_uri(), path.stat().st_size, 0)], "path string, size bigint, records bigint")
+    rows = warc_package.read_records(warc_package.locate_records(found)).collect()
+    got = {r.record_uri: (r.record_id, r.record_type, bytes(r.payload)) for r in rows}
+    want = {f"urn:uuid:0000-{n}": (None, "response", b"body %d" % n) for n in (1, 2, *range(10, 13), *range(20, 23), *range(30, 33), *range(40, 43))}
+    assert len(rows) == len(got) and got == want | {"urn:uuid:0000-0": (None, "warcinfo", b"software: x\r\n")}
+
+
+def test_packages_of_empty_tables_and_long_pages(spark, tmp_path):
+    assert warc_package.locate_records(write_zip([], spark, tmp_path)).count() == 0
+    long = "é" * 3_000_000
+    found = tables.stored(write_zip([(1, "u", long), (1, "u", long), (2, "u", long), (None, None, None)], spark, tmp_path / "x"), "t")
+    rows = warc_package.read_records(warc_package.locate_records(found)).collect()
+    assert sorted((str(r.record_id), r.record_type, r.payload_bytes) for r in rows) == [
+        ("1", "response", 6_000_000), ("1", "response", 6_000_000), ("2", "revisit", 6_000_000), ("None", "response", 0)
+    ]
+
+
+def test_examples_that_do_not_end_in_their_reply(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (None, 0, "assistant", "<|end|>")], "conv_id bigint, turn bigint, role string, text string")
+    good = chat_examples.formatted(rows)
+    out = {r.conv_id: r for r in chat_examples.read_back(good).collect()}
+    text = "<|user|>\na<|end|>\n<|assistant|>\nb<|end|>\n"
+    one = hashlib.sha256(text.encode()).hexdigest()
+    assert out[1].examples_sha256 == hashlib.sha256(f"{one}:{text.index('b<')}:{text.index('b<') + 1}\n".encode()).hexdigest()
+    for change in ({"mask_to": F.col("mask_to") - 1}, {"prefix_chars": F.col("prefix_chars") + 1}, {"mask_from": F.coalesce("mask_from", "start")}):
+        with pytest.raises(Exception, match="example|mask"):
+            chat_examples.read_back(good.withColumns(change)).collect()
+
+
 def test_zip64_records_are_used():
     out = io.BytesIO()
     writer = warc_package.PackageWriter(out)
