@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logfathom.functions import severity as sev
 from logfathom.functions.text import filled, strip
 from logfathom.model import emit, stage, text_map
-from logfathom.sources.documents import explode_records, trail_list
+from logfathom.sources.documents import element_list, explode_records, trail_list
 
 
 def _text(record: Column, path: str) -> Column:
@@ -34,14 +34,15 @@ _MEMBERS = {
 
 
 def normalize_cloudtrail(
-    df: DataFrame, doc_col: str = "value", *, key: list[str] | None = None, keep: list[str] = ()
+    df: DataFrame, doc_col: str = "value", *, elements: bool = False, key: list[str] | None = None, keep: list[str] = ()
 ) -> DataFrame:
-    """One document per row to one event per record.
+    """One document per row to one event per record; with ``elements`` a row is a
+    record that was cut out of its document.
 
     Text that is no JSON gives no event. Missing texts are empty, not NULL.
     """
     trimmed = df.withColumn(doc_col, strip(F.col(doc_col)))
-    flat = explode_records(trimmed, doc_col, trail_list).filter(F.col("record").isNotNull())
+    flat = explode_records(trimmed, doc_col, element_list if elements else trail_list).filter(F.col("record").isNotNull())
     record = F.col("record")
     staged = stage(
         flat,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logfathom.functions import severity as sev
 from logfathom.model import emit, guarded, stage
-from logfathom.sources.documents import explode_records, is_object, record_list
+from logfathom.sources.documents import element_list, explode_records, is_object, record_list
 from logfathom.sources.lines import clean_lines
 
 # Key aliases per event column; of those present the LAST one wins.
@@ -93,13 +93,14 @@ def fields(record: Column, text: Column) -> dict[str, Column]:
 
 
 def normalize_json(
-    df: DataFrame, line_col: str = "value", *, key: list[str] | None = None, keep: list[str] = ()
+    df: DataFrame, line_col: str = "value", *, elements: bool = False, key: list[str] | None = None, keep: list[str] = ()
 ) -> DataFrame:
-    """One JSON value per row: an object, a list of objects or a wrapper object.
+    """One JSON value per row: an object, a list of objects or a wrapper object;
+    with ``elements`` a record that was cut out of its document.
 
     A row that is no JSON becomes a fallback event, a scalar gives nothing.
     """
-    flat = explode_records(clean_lines(df, line_col), line_col, record_list)
+    flat = explode_records(clean_lines(df, line_col), line_col, element_list if elements else record_list)
     record, text = F.col("record"), F.col("text")
     staged = stage(flat, [{"__json_sev": pick(record, "severity")}])
     if key is not None:

@@ -16,11 +16,12 @@ from logfathom.operators.lookup import lookup_join
 from logfathom.operators.registry import PARSERS, format_of
 from logfathom.session import cut_lineage
 from logfathom.sources.documents import (
-    document_lines,
+    RECORD_KEYS,
+    TRAIL_KEYS,
     read_json_lines,
-    read_whole,
     strict_json,
 )
+from logfathom.sources.json_splits import json_documents
 from logfathom.sources.lines import present, read_lines
 from logfathom.sources.windows_xml import read_windows_xml
 
@@ -142,19 +143,21 @@ def normalize_files(
     if "evtx" in by_format:
         parts.append(PARSERS["evtx"].normalize(read_windows_xml(spark, by_format["evtx"])))
     if "aws_cloudtrail" in by_format:
-        parts.append(
-            PARSERS["aws_cloudtrail"].normalize(read_whole(spark, by_format["aws_cloudtrail"]))
-        )
+        # a file that is no JSON document gives no event
+        records, _ = json_documents(spark, by_format["aws_cloudtrail"], TRAIL_KEYS, first_key_only=True)
+        parts.append(PARSERS["aws_cloudtrail"].normalize(records, elements=True))
     if "json" in by_format:
-        parts.append(PARSERS["json"].normalize(_json_rows(spark, by_format["json"])))
+        lines, records = _json_rows(spark, by_format["json"])
+        parts += [PARSERS["json"].normalize(x) for x in lines] + [PARSERS["json"].normalize(x, elements=True) for x in records]
     return union_events(parts)
 
 
-def _json_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """NDJSON files stay splittable; a file that begins like a document which
-    its first line does not end is tried as a whole.
+def _json_rows(spark: SparkSession, paths: list[str]) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(lines, records): the lines of NDJSON files, and the records of files that
+    are one document each. Both are read in splits.
 
-    A cut first line, as rotation leaves it, is no such beginning: it does not
+    A file that begins like a document which its first line does not end is
+    taken for one; if it is none after all, its lines are read. A cut first line, as rotation leaves it, is no such beginning: it does not
     start with a bracket, or the line after it is a value of its own, as no line
     of an object that goes over several lines is.
     """
@@ -170,14 +173,17 @@ def _json_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
     alone = (text == "{") & F.coalesce(F.substr(strip(F.col("second")), F.lit(1), F.lit(1)) == "{", F.lit(False)) & strict_json(F.col("second")).isNotNull()
     heads = heads.join(seconds, F.col("__source") == F.col("source"), "left")
     whole = [plain_path(r["__source"]) for r in heads.filter(opened & ~alone).select("__source").toLocalIterator()]
-    split = [p for p in paths if p not in set(whole)]
-    frames = []
-    if split:
-        frames.append(read_json_lines(spark, split).select("source", "block", "seq", "value"))
+    records = []
     if whole:
-        frames.append(
-            document_lines(read_whole(spark, whole), "value").select(
-                "source", "block", F.col("seq").cast("bigint"), "value"
-            )
-        )
-    return reduce(lambda a, b: a.unionByName(b), frames)
+        found, others = json_documents(spark, whole, RECORD_KEYS)
+        records.append(found)
+        broken = {plain_path(r["path"]) for r in others.toLocalIterator()}
+        whole = [p for p in whole if _same_file(p) not in {_same_file(b) for b in broken}]
+    split = [p for p in paths if p not in set(whole)]
+    lines = [read_json_lines(spark, split).select("source", "block", "seq", "value")] if split else []
+    return lines, records
+
+
+def _same_file(path: str) -> str:
+    """A path to compare: the same with one or three slashes after its scheme."""
+    return re.sub(r"^file:/+", "file:/", path)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from logfathom.model import emit
 from logfathom.operators import enrich, registry, zeek
+from logfathom.operators.cloudtrail import normalize_cloudtrail
+from logfathom.operators.json_events import normalize_json
 from logfathom.operators.route import route_lines
 from logfathom.operators.store import EventStore
 from logfathom.plans.analytics import EVENTS_SQL, _clean, event_rows
@@ -13,6 +15,9 @@ from logfathom.plans.facts import FACTS_SQL, facts, register, table
 from logfathom.plans.outputs import IDENTITY, NOW, STIX_COUNTS_SQL
 from logfathom.session import scratch_dir
 from logfathom.sinks import exports, stix
+from logfathom.sinks.document import write_document
+from logfathom.sources.documents import TRAIL_KEYS
+from logfathom.sources.json_splits import json_documents
 from logfathom.sources.lines import read_lines
 
 
@@ -59,6 +64,36 @@ def stix_bundle(spark, sf_dir):
     return found.groupBy("o.type").agg(F.count_distinct("o.id").alias("n"))
 
 
+@register(
+    "json_splits",
+    f"""WITH {FACTS_SQL} SELECT kind, CAST(id AS VARCHAR) AS sig, usr AS username, et AS event_action, ip AS source_ip
+        FROM f, (SELECT unnest(['list', 'wrapped', 'trail']) AS kind) WHERE kind <> 'trail'
+        UNION ALL SELECT 'trail', CAST(id AS VARCHAR), usr, et, ip FROM f""",
+)
+def json_splits(spark, sf_dir):
+    """Documents of one file each, cut into records over splits of 16 KB: a list,
+    an object with a list among other members, and a CloudTrail document."""
+    base = facts(spark, sf_dir)
+    plain = F.to_json(F.struct(F.col("id").cast("string").alias("sig"), F.lit('q"]},\\ {[').alias("note"), F.col("usr").alias("user"), F.col("et").alias("action"), F.col("ip").alias("src_ip")))
+    trail = F.to_json(
+        F.struct(F.col("et").alias("eventName"), F.lit("s3.amazonaws.com").alias("eventSource"), F.col("ip").alias("sourceIPAddress"),
+                 F.col("id").cast("string").alias("requestID"), F.struct(F.col("usr").alias("userName")).alias("userIdentity"))
+    )
+    paths = {kind: scratch_dir(spark, kind) for kind in ("list", "wrapped", "trail")}
+    write_document(base.select(plain.alias("value")), paths["list"])
+    write_document(base.select(plain.alias("value")), paths["wrapped"], '{"meta": {"events": ["}", 1]}, "note": "\\"items\\": [", "items" :\n[', '], "data": [{"no": 1}]}')
+    write_document(base.select(trail.alias("value")), paths["trail"], '{"Records": [', "]}")
+    out = []
+    for kind, path in paths.items():
+        keys = TRAIL_KEYS if kind == "trail" else ("events", "items", "data")
+        records, others = json_documents(spark, [path], keys, first_key_only=kind == "trail", split_bytes=16_000)
+        parser = normalize_cloudtrail if kind == "trail" else normalize_json
+        sig = "extensions['request_id']" if kind == "trail" else "extensions['sig']"
+        events = parser(records, elements=True).unionByName(parser(others.select(F.lit("lost").alias("value"), F.col("path").alias("source")), elements=True))
+        out.append(events.selectExpr(f"'{kind}' AS kind", f"{sig} AS sig", "username", "event_action", "source_ip"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @register("unknown_format", f"WITH {FACTS_SQL} SELECT id, 'syslog' AS source_format, et AS message FROM f")
 def unknown_format(spark, sf_dir):
     """A format nobody knows is read as syslog, by name and by column."""

@@ -10,6 +10,7 @@ from logfathom.sources.lines import present, read_lines
 
 # Keys that may hold the list of records, first list wins.
 RECORD_KEYS = ("Records", "events", "logs", "items", "hits", "data", "results")
+TRAIL_KEYS = ("Records", "events")
 
 
 def strict_json(text: Column) -> Column:
@@ -73,6 +74,12 @@ def trail_list(v: Column) -> tuple[Column, Column]:
     return objects(items), is_object(v) & ~first & ~second
 
 
+def element_list(v: Column) -> tuple[Column, Column]:
+    """A value that was cut out of its document: an object is a record, whatever
+    it holds; anything else is none."""
+    return F.when(is_object(v), F.array(v)).otherwise(_none()), is_object(v)
+
+
 def explode_records(df: DataFrame, text_col: str, records) -> DataFrame:
     """One row per record: ``record`` (variant), ``sub`` its order, ``text`` of it.
 
@@ -106,15 +113,6 @@ def document_lines(df: DataFrame, col: str) -> DataFrame:
     return cut.filter(present(F.col(col))).withColumn(col, strip(F.col(col)))
 
 
-def read_whole(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per file, for formats whose unit is the file."""
-    return spark.read.text(path, wholetext=True).select(
-        F.make_valid_utf8("value").alias("value"),
-        F.col("_metadata.file_path").alias("source"),
-        F.lit(0).cast("bigint").alias("block"),
-    )
-
-
 def read_json_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """NDJSON files: splittable, one row per line."""
     lines = read_lines(spark, path)
