@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logfathom.llm.tables import Layout, documents, join_hot, stored, text_bytes, within_bound
+from logfathom.llm.tables import Layout, documents, join_hot, spare_name, stored, text_bytes, within_bound
 
 # Rows per range of quotients; bounds the memory of a merge.
 RANGE_ROWS = 1_000_000
@@ -168,11 +168,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = stored(digests(docs, id_col, text_col), "digests")
     total = rows.count()
     repeated = stored(repeated_fingerprints(rows, total), "fingerprints")
-    routed = join_hot(rows.select("id", "fingerprint"), repeated, ["fingerprint"], "n", total, "inner").select("id")
+    routed = join_hot(rows.select("id", "fingerprint"), repeated, ["fingerprint"], "n", total, "inner").select(F.col("id").alias("__routed"))
     # byte comparison: grouping by the text itself; copies meet in each task
     # before the shuffle, so a large group is a few rows per task
     ids = within_bound(routed.distinct())
-    candidates = docs.join(ids, F.col(id_col).cast("bigint").eqNullSafe(ids["id"]), "left_semi")
+    candidates = docs.join(ids, F.col(id_col).cast("bigint").eqNullSafe(F.col("__routed")), "left_semi")
     groups = (
         digests(candidates, id_col, text_col, with_text=True)
         .groupBy("body").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"), F.first("text_sha256").alias("text_sha256"))
@@ -207,10 +207,11 @@ def with_key(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFram
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose own verdict is kept, with all their columns; of rows equal
     in id and normalised text, one."""
+    name = spare_name(docs, "__key")
     key = F.concat_ws(":", "text_sha256", F.col(id_col).cast("string"))
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(key.alias("__key")).distinct()
-    rows = with_key(docs, id_col, text_col, "__key")
-    return rows.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    kept = exact_groups(docs.select(id_col, text_col), id_col, text_col).filter("kept").select(key.alias(name)).distinct()
+    rows = with_key(docs, id_col, text_col, name)
+    return rows.join(kept, name, "left_semi").dropDuplicates([name]).select(*docs.columns)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -309,7 +309,9 @@ class Decoder:
 
 
 def encoded(docs: DataFrame, model: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """All columns and ``out_col``, the ids of the text."""
+    """All columns and ``out_col``, the ids of the text; a column of that name is
+    replaced."""
+    docs = docs.drop(out_col)
     schema = docs.select("*", F.lit(None).cast("array<int>").alias(out_col)).schema
     place = docs.columns.index(text_col)
 
@@ -327,7 +329,9 @@ def encoded(docs: DataFrame, model: str, text_col: str = "text", out_col: str =
 
 
 def decoded(rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """All columns and ``out_col``, the text of the ids."""
+    """All columns and ``out_col``, the text of the ids; a column of that name is
+    replaced."""
+    rows = rows.drop(out_col)
     schema = rows.select("*", F.lit(None).cast("string").alias(out_col)).schema
     place = rows.columns.index(ids_col)
 

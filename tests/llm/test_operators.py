@@ -480,6 +480,35 @@ def test_numbers_that_look_like_letters(spark):
     assert [r.lang_pred for r in rows] == ["und", "en"]
 
 
+# columns with the operators' own names
+
+CLASHING = "__key ids decoded lang_pred score __drop id words bucket row start size chunk taken __text kept n text_sha256 __row tie component".split()
+
+
+@pytest.mark.parametrize("stage", ["quality", "exact", "near", "mix", "encode", "language"])
+def test_clashing_columns_keep_their_values(spark, stage):
+    texts = [prose(i, 150) + "." for i in range(12)] + [prose(0, 150) + ".", None, "", "word"]
+    rows = [(i, t, "en", "s", len(t or ""), *([f"v{i}"] * len(CLASHING))) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in CLASHING))
+    run = {
+        "quality": quality.keep_good, "exact": exact_dedup.drop_copies, "near": near_dedup.keep_one, "mix": mixing.remix,
+        "encode": lambda d: pieces.encoded(d, pieces.default_model()), "language": lambda d: language.predicted(d, {"en": prose(1, 300)}),
+    }[stage]
+    out = run(table)
+    made = {"encode": {"ids"}, "language": {"lang_pred", "score"}}.get(stage, set())
+    assert set(out.columns) == set(table.columns)
+    for r in out.collect():
+        assert all(r[c] == f"v{r.doc_id}" for c in CLASHING if c not in made)
+    assert run(table.limit(0)).count() == 0
+
+
+def test_exact_groups_by_a_column_named_id(spark):
+    rows = spark.createDataFrame([(1, "A"), (2, "a"), (3, "b"), (None, "B")], "id bigint, text string")
+    assert {(r.id, r.keep_id, r.kept) for r in exact_dedup.exact_groups(rows, "id").collect()} == {
+        (1, 2, False), (2, 2, True), (3, 3, True), (None, 3, False)
+    }
+
+
 # 3, 6, 9 once more
 
 
