@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logfathom.llm.tables import documents, stored, within_bound
+from logfathom.llm.tables import documents, spare_name, stored, within_bound
 
 BLANK = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
@@ -106,7 +106,9 @@ def letter_words(text: Column) -> Column:
 
 
 def word_references(docs: DataFrame, rules: Rules, lang_col: str, text_col: str) -> DataFrame:
-    """(lang, words, shares): the common words of each language and of all.
+    """(lang, words, shares, rest, none): the common words of each language and of
+    all; ``rest`` is the shares with that of all other words, ``none`` the distance
+    of a text without a common word.
 
     Words are counted per language in each task first; the sum over all
     languages is made of these counts, so its key is not hot.
@@ -133,7 +135,10 @@ def word_references(docs: DataFrame, rules: Rules, lang_col: str, text_col: str)
         top.groupBy("lang").agg(row.alias("rows"))
         .select("lang", F.col("rows.word").alias("words"), F.col("rows.share").alias("shares"))
     )
-    return with_slots(refs)
+    rest = F.lit(1.0) - F.aggregate("shares", F.lit(0.0), lambda a, b: a + b)
+    refs = refs.withColumn("rest", F.concat("shares", F.array(rest)))
+    none = F.concat(F.transform("shares", lambda x: F.lit(0.0)), F.array(F.lit(1.0)))
+    return with_slots(refs.withColumn("none", js_distance(none, F.col("rest"))))
 
 
 def slot(word: Column, seed: Column) -> Column:
@@ -218,12 +223,10 @@ def judged(docs: DataFrame, rules: Rules = Rules(), lang_col: str = "lang", text
     )
     common = F.aggregate("__counts", F.lit(0), lambda a, b: a + b)
     p = shares(F.concat("__counts", F.array(F.col("__n_tokens") - common)), F.col("__n_tokens"))
-    q = F.concat("shares", F.array(F.lit(1.0) - F.aggregate("shares", F.lit(0.0), lambda a, b: a + b)))
-    df = df.withColumn("word_js", F.when(F.col("__n_tokens") >= rules.word_guard, js_distance(p, q)))
+    df = df.withColumn("word_js", F.when(F.col("__n_tokens") >= rules.word_guard, js_distance(p, F.col("rest"))))
     far = F.lit(False)
     if rules.word_part is not None:
-        none = F.concat(F.transform("shares", lambda x: F.lit(0.0)), F.array(F.lit(1.0)))
-        far = F.coalesce(F.col("word_js") > rules.word_part * js_distance(none, q), F.lit(False))
+        far = F.coalesce(F.col("word_js") > rules.word_part * F.col("none"), F.lit(False))
     df = df.withColumn("__far", far)
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     # texts end here: the rest is a small row per document
@@ -276,9 +279,10 @@ def keep_good(docs: DataFrame, rules: Rules = Rules(), lang_col: str = "lang", t
     follows from text and language, so these name it, whatever the ids are."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.concat_ws(":", F.sha2(text.cast("binary"), 256), F.col(lang_col).cast("string"))
-    rows = docs.withColumn("__key", key)
-    bad = judged(rows, rules, lang_col, text_col, keep=("__key",)).filter(~F.col("kept")).select("__key").distinct()
-    return rows.join(within_bound(bad), "__key", "left_anti").select(*docs.columns)
+    name = spare_name(docs, "__key")
+    rows = docs.withColumn(name, key)
+    bad = judged(rows, rules, lang_col, text_col, keep=(name,)).filter(~F.col("kept")).select(name).distinct()
+    return rows.join(within_bound(bad), name, "left_anti").select(*docs.columns)
 
 
 def op3_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
