@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logfathom.llm.tables import documents, text_runs, worker_memory
+from logfathom.llm.tables import documents, worker_memory
 
 REMEMBERED = 500_000
 # Characters up to which a word is remembered.
@@ -89,37 +89,46 @@ class Vocabulary:
         if n < 2:
             return symbols
         width = 1 << (n - 1).bit_length()
-        tree = [NO_RANK] * (2 * width)
-        tree[width : width + n - 1] = [ranks.get(pair, NO_RANK) for pair in zip(symbols, symbols[1:])]
+        leaves = [ranks.get(pair, NO_RANK) for pair in zip(symbols, symbols[1:])]
+        tree = [NO_RANK] * width + leaves + [NO_RANK] * (width - n + 1)
         for i in range(width - 1, 0, -1):
-            tree[i] = min(tree[2 * i], tree[2 * i + 1])
+            left, right = tree[2 * i], tree[2 * i + 1]
+            tree[i] = left if left < right else right
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-        def put(place: int, rank: int) -> None:
-            place += width
-            tree[place] = rank
-            while place > 1:
-                place >>= 1
-                low = min(tree[2 * place], tree[2 * place + 1])
-                if tree[place] == low:
-                    break
-                tree[place] = low
-
-        while tree[1] != NO_RANK:
-            rank, place = tree[1], 1
+        while (rank := tree[1]) != NO_RANK:
+            place = 1
             while place < width:
-                place = 2 * place if tree[2 * place] == rank else 2 * place + 1
+                place *= 2
+                if tree[place] != rank:
+                    place += 1
             a = place - width
             b = after[a]
             c, z = after[b], before[a]
-            symbols[a], symbols[b] = made[rank], -1
+            symbols[a] = one = made[rank]
+            symbols[b] = -1
             after[a] = c
-            put(b, NO_RANK)
-            put(a, ranks.get((symbols[a], symbols[c]), NO_RANK) if c < n else NO_RANK)
+            # the pair of b is gone, those that end and begin at a are new
+            changed = [(b, NO_RANK)]
             if c < n:
                 before[c] = a
+                changed.append((a, ranks.get((one, symbols[c]), NO_RANK)))
+            else:
+                changed.append((a, NO_RANK))
             if z >= 0:
-                put(z, ranks.get((symbols[z], symbols[a]), NO_RANK))
+                changed.append((z, ranks.get((symbols[z], one), NO_RANK)))
+            for place, value in changed:
+                place += width
+                if tree[place] == value:
+                    continue
+                tree[place] = value
+                while place > 1:
+                    beside = tree[place ^ 1]
+                    if beside < value:
+                        value = beside
+                    place >>= 1
+                    if tree[place] == value:
+                        break
+                    tree[place] = value
         return [s for s in symbols if s >= 0]
 
 
@@ -152,44 +161,56 @@ def stand_ins(path: str) -> dict[int, str]:
     return out
 
 
+class OddWord(Exception):
+    """A word with a character that the library classes in another way."""
+
+
+class Words(dict):
+    """The ids of words as bytes, made when a word is first met."""
+
+    def __init__(self, vocabulary: Vocabulary, odd: set[str]) -> None:
+        self.vocabulary, self.odd = vocabulary, odd
+
+    def __missing__(self, word: str) -> bytes:
+        if not self.odd.isdisjoint(word):
+            raise OddWord
+        ids = self.made(word)
+        if len(word) <= REMEMBERED_LENGTH:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def made(self, word: str) -> bytes:
+        return np.array(self.vocabulary.merged(word.encode()), np.int32).tobytes()
+
+
 class Encoder:
     """Encodes texts with a bounded memory of words."""
 
     def __init__(self, path: str, odd: dict[int, str]) -> None:
-        self.vocabulary, self.known = Vocabulary(path), {}
+        self.vocabulary = Vocabulary(path)
+        self.odd, self.known = odd, Words(self.vocabulary, set(map(chr, odd)))
         self.split = regex.compile(WORDS).findall
-        self.odd, self.odd_signs = odd, set(map(chr, odd))
-        names = sorted(self.vocabulary.added, key=len, reverse=True)
-        self.cut = re.compile("(" + "|".join(map(re.escape, names)) + ")").split if names else lambda text: [text]
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        return [ids for run in text_runs(texts) for ids in self.encode_run(run)]
-
-    def encode_run(self, texts: list[str]) -> list[np.ndarray]:
-        known, vocabulary = self.known, self.vocabulary
-        if len(known) > REMEMBERED:
-            known.clear()
-        groups = [self.words(t, self.split) for t in texts]
-        fresh = {w for ws in groups for w in ws if w not in known}
-        odd = {w for w in fresh if not self.odd_signs.isdisjoint(w)}
-        if odd:  # never remembered before this, so found in every text that has one
-            groups = [ws if odd.isdisjoint(ws) else self.words(t, self.split_odd) for t, ws in zip(texts, groups)]
-            fresh = {w for ws in groups for w in ws if w not in known}
-        for w in fresh:
-            ids = [vocabulary.added[w[1]]] if isinstance(w, tuple) else vocabulary.merged(w.encode())
-            known[w] = np.array(ids, np.int32).tobytes()
-        out = [np.frombuffer(b"".join(map(known.__getitem__, ws)), np.int32) for ws in groups]
-        for w in fresh:
-            if len(w) > REMEMBERED_LENGTH or not self.odd_signs.isdisjoint(w):
-                del known[w]
-        return out
+        self.added = {name: np.array([i], np.int32).tobytes() for name, i in self.vocabulary.added.items()}
+        names = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, names)) + ")").split
+
+    def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+        return [np.frombuffer(self.encode_text(text or ""), np.int32) for text in texts]
 
-    def words(self, text: str, split: Callable) -> list:
-        """The words of a text; an added token is a tuple, which no word is."""
+    def encode_text(self, text: str) -> bytes:
+        if not any(name in text for name in self.added):
+            return self.encode_part(text)
         parts = self.cut(text)
-        if len(parts) == 1:
-            return split(text)
-        return [w for i, part in enumerate(parts) for w in ([("added", part)] if i % 2 else split(part))]
+        return b"".join(self.added[part] if i % 2 else self.encode_part(part) for i, part in enumerate(parts))
+
+    def encode_part(self, text: str) -> bytes:
+        known = self.known
+        try:
+            return b"".join(map(known.__getitem__, self.split(text)))
+        except OddWord:
+            return b"".join(map(known.made, self.split_odd(text)))
 
     def split_odd(self, text: str) -> list[str]:
         at, out = 0, []
