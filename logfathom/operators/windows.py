@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logfathom.functions import severity as sev
 from logfathom.functions.text import filled, lines_of, strip, to_int
-from logfathom.model import emit, stage, text_map
+from logfathom.model import emit, keep_filters_above, stage, text_map
 from logfathom.sources.windows_xml import cut_records
 
 # Event id -> (type, action).
@@ -92,7 +92,8 @@ def normalize_windows_xml(
         F.filter(F.transform(lines_of(text), strip), lambda x: x != "")
     )
     others = [c for c in staged.columns if c != "value"]
-    staged = staged.select(*others, F.posexplode(pieces).alias("part", "value"))
+    staged = keep_filters_above(staged.select(*others, pieces.alias("__pieces")))
+    staged = staged.select(*others, F.posexplode("__pieces").alias("part", "value"))
     data = F.map_from_entries(
         F.transform(
             F.filter(F.col("__xml.EventData.Data"), lambda d: filled(d["_Name"]).isNotNull()),

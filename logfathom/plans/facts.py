@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from logfathom.model import keep_filters_above
 from logfathom.session import prepare, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,10 +81,11 @@ SHARED = {
 }
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spread(table(spark, sf_dir, "events")).selectExpr(
-        *[f"{sql} AS {name}" for name, sql in _SPARK_BASE.items()]
-    )
+def facts(spark: SparkSession, sf_dir: str, grow: bool = True) -> DataFrame:
+    """Facts of all events. Filters stay above the spread: below it, a condition on
+    a rendered text would be worked out in the few tasks of the scan."""
+    rows = keep_filters_above(spread(table(spark, sf_dir, "events"), grow))
+    base = rows.selectExpr(*[f"{sql} AS {name}" for name, sql in _SPARK_BASE.items()])
     return base.selectExpr("*", *[f"{sql} AS {name}" for name, sql in SHARED.items()])
 
 
@@ -109,9 +111,8 @@ _DUCK_ORDERS = _SPARK_ORDERS | {"day": "strftime(o_orderdate, '%Y-%m-%d')"}
 
 
 def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "orders")).selectExpr(
-        *[f"{sql} AS {name}" for name, sql in _SPARK_ORDERS.items()]
-    )
+    rows = keep_filters_above(spread(table(spark, sf_dir, "orders")))
+    return rows.selectExpr(*[f"{sql} AS {name}" for name, sql in _SPARK_ORDERS.items()])
 
 
 ORDERS_SQL = f"o AS (SELECT {_list(_DUCK_ORDERS)} FROM orders)"

@@ -22,6 +22,9 @@ RUNTIME_CONF = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+# Rows that one task parses, where rows are to be spread.
+ROWS_PER_TASK = 100_000
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
@@ -86,11 +89,15 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, grow: bool = True) -> DataFrame:
     """Use all cores on an input too small to be split into as many tasks.
 
-    Parsing is bound by the processor. A large scan already has more tasks
-    than cores and stays as it is, without a shuffle.
+    Parsing is bound by the processor, and a scan is split by its stored bytes,
+    of which a row of numbers has few. So there are as many tasks as bounded
+    numbers of rows (with ``grow``) and at least as many as cores. A scan with
+    as many tasks stays as it is, without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    if grow:
+        tasks = max(tasks, -(-df.count() // ROWS_PER_TASK))
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df

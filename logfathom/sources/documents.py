@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logfathom.functions.text import lines_of, strip
+from logfathom.model import keep_filters_above
 from logfathom.sources.lines import present, read_lines
 
 # Keys that may hold the list of records, first list wins.
@@ -84,7 +85,8 @@ def explode_records(df: DataFrame, text_col: str, records) -> DataFrame:
     """One row per record: ``record`` (variant), ``sub`` its order, ``text`` of it.
 
     A text that is one object is its own record and keeps its own spelling.
-    Texts that are no JSON come out with a NULL record.
+    Texts that are no JSON come out with a NULL record. The condition that an
+    explode sets on its list stays above the parse, which would run twice.
     """
     value = F.col("__value")
     rest = [c for c in df.columns if c not in (text_col, "sub")]
@@ -97,7 +99,7 @@ def explode_records(df: DataFrame, text_col: str, records) -> DataFrame:
             "__own": F.coalesce(own, F.lit(True)),
         }
     )
-    flat = lists.select(
+    flat = keep_filters_above(lists).select(
         *rest, text_col, "__own", F.posexplode("__records").alias("sub", "record")
     )
     text = F.when(F.col("__own"), F.col(text_col)).otherwise(F.to_json(F.col("record")))
@@ -109,7 +111,8 @@ def document_lines(df: DataFrame, col: str) -> DataFrame:
     whole = strict_json(strip(F.col(col))).isNotNull()
     rest = [c for c in df.columns if c != col]
     parts = F.when(whole, F.array(strip(F.col(col)))).otherwise(lines_of(F.col(col)))
-    cut = df.select(*rest, F.posexplode(parts).alias("seq", col))
+    made = keep_filters_above(df.select(*rest, parts.alias("__parts")))
+    cut = made.select(*rest, F.posexplode("__parts").alias("seq", col))
     return cut.filter(present(F.col(col))).withColumn(col, strip(F.col(col)))
 
 

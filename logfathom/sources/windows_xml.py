@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logfathom.functions.text import lines_of, strip
+from logfathom.model import keep_filters_above
 from logfathom.sources.lines import number_lines
 
 END = "</Event>"
@@ -37,7 +38,8 @@ def cut_records(df: DataFrame, col: str = "value") -> DataFrame:
         pieces, lambda p, i: F.when(i < last - 1, F.concat(p, F.lit(END))).otherwise(p)
     )
     records = F.flatten(F.transform(marked, _piece))
-    return df.select(*rest, F.posexplode(records).alias("sub", "value"))
+    made = keep_filters_above(df.select(*rest, records.alias("__records")))
+    return made.select(*rest, F.posexplode("__records").alias("sub", "value"))
 
 
 def _piece(piece: Column) -> Column:
