@@ -17,7 +17,7 @@ from logfathom.session import scratch_dir
 from logfathom.sinks import exports, stix
 from logfathom.sinks.document import write_document
 from logfathom.sources.documents import TRAIL_KEYS
-from logfathom.sources.json_splits import json_documents
+from logfathom.sources.json_splits import document_plan, envelopes, json_documents, numbered, records_of
 from logfathom.sources.lines import read_lines
 
 
@@ -44,23 +44,25 @@ def geo_ipv6(spark, sf_dir):
     f"WITH {EVENTS_SQL} SELECT row_number() OVER (ORDER BY id) - 1 AS pos, event_id, username, CAST(source_port AS BIGINT) AS source_port FROM ev",
 )
 def json_document(spark, sf_dir):
-    """The events as one JSON array in one file, in order, read back as a whole."""
+    """The events as one JSON array in one file, in order, read back over splits
+    with the place of every element."""
     path = scratch_dir(spark, "events.json")
     exports.export(event_rows(spark, sf_dir), "JSON", path, order=["id"])
-    text = spark.read.text(path, wholetext=True)
-    cells = F.from_json("value", "array<struct<event_id string, username string, source_port bigint>>")
-    return text.select(F.posexplode(cells).alias("pos", "e")).select(F.col("pos").cast("bigint").alias("pos"), "e.*")
+    records, _ = json_documents(spark, [path], ())
+    cells = F.from_json("value", "event_id string, username string, source_port bigint")
+    return numbered(records.select("source", "seq", cells.alias("e"))).select("pos", "e.*")
 
 
 @register("stix_bundle", STIX_COUNTS_SQL)
 def stix_bundle(spark, sf_dir):
-    """The envelope with all objects as one file, read back as one value."""
+    """The envelope with all objects as one file, read back over splits: the objects
+    of the list, and the envelope around it."""
     path = scratch_dir(spark, "bundle.json")
     rows = stix.stix_objects(event_rows(spark, sf_dir), identity_id=IDENTITY, now=NOW, order=["id"])
     stix.write_bundle(rows, path, "bundle--1")
-    text = spark.read.text(path, wholetext=True)
-    objects = F.from_json("value", "struct<type string, id string, objects array<struct<type string, id string>>>")
-    found = text.select(objects.alias("b")).filter("b.id = 'bundle--1'").select(F.explode("b.objects").alias("o"))
+    plan = document_plan(spark, [path], ("objects",))
+    bundles = envelopes(plan).filter(F.get_json_object("value", "$.id") == "bundle--1").select("source")
+    found = records_of(plan).join(bundles, "source", "left_semi").select(F.from_json("value", "type string, id string").alias("o"))
     return found.groupBy("o.type").agg(F.count_distinct("o.id").alias("n"))
 
 

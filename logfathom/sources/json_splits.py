@@ -22,14 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logfathom.session import cut_lineage
 
 SPLIT_BYTES = 64 << 20
-BLOCK = 1 << 20
+BLOCK = 1 << 16  # the arrays over it stay in a core's cache
+BATCH = 4 << 20  # bytes of rows handed on at once
 NEAR = 4096  # bytes looked at around a key
+RUN = 256  # splits of a file that are composed at once, and again as one
 OUTSIDE, INSIDE, ESCAPED = range(3)
 SPACE = b" \t\r\n"
 
@@ -46,7 +48,7 @@ class Scanner:
     def feed(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(outside of strings, depth after it) for every byte."""
         n = len(data)
-        place = np.arange(n)
+        place = np.arange(n, dtype=np.int32)
         slash = data == 0x5C
         last = np.maximum.accumulate(np.where(slash, -1, place))
         if self.state == ESCAPED:  # as if one more backslash stood before
@@ -55,11 +57,11 @@ class Scanner:
         else:
             run = place - last
             before = np.concatenate(([0], run[:-1]))
-        quote = (data == 0x22) & (before % 2 == 0)
-        inside = (np.cumsum(quote) + (self.state != OUTSIDE)) % 2 == 1
+        quote = (data == 0x22) & (before & 1 == 0)
+        inside = ((np.cumsum(quote, dtype=np.int32) + (self.state != OUTSIDE)) & 1).astype(bool)
         outside = ~inside & ~quote
-        step = np.where(outside, ((data == 0x5B) | (data == 0x7B)).astype(np.int64) - ((data == 0x5D) | (data == 0x7D)), 0)
-        depth = self.depth + np.cumsum(step)
+        step = (((data == 0x5B) | (data == 0x7B)) & outside).view(np.int8) - (((data == 0x5D) | (data == 0x7D)) & outside).view(np.int8)
+        depth = self.depth + np.cumsum(step, dtype=np.int64)
         self.depth = int(depth[-1])
         self.state = OUTSIDE if not inside[-1] else ESCAPED if slash[-1] and run[-1] % 2 else INSIDE
         return outside, depth
@@ -184,18 +186,25 @@ def over_splits(splits: DataFrame, run, fields: dict[str, str]) -> DataFrame:
             columns = list(zip(*rows)) or [()] * len(names)
             return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[t]) for c, t in zip(columns, fields.values())], names=names)
 
-        for batch in batches:
-            for split in batch.to_pylist():
-                store, path = fs.FileSystem.from_uri(split["path"])
-                rows, size = [], 0
-                with store.open_input_file(path) as file:
+        rows, size, opened, file = [], 0, None, None
+        try:
+            for batch in batches:
+                for split in batch.to_pylist():
+                    if split["path"] != opened:
+                        if file is not None:
+                            file.close()
+                        store, path = fs.FileSystem.from_uri(split["path"])
+                        opened, file = split["path"], store.open_input_file(path)
                     for row in run(file, split):
                         rows.append(row)
                         size += 64 + sum(len(v) for v in row if isinstance(v, bytes))
-                        if size > 4 * BLOCK:
+                        if size > BATCH:
                             yield batch_of(rows)
                             rows, size = [], 0
-                yield batch_of(rows)
+            yield batch_of(rows)
+        finally:
+            if file is not None:
+                file.close()
 
     return splits.mapInArrow(task, schema)
 
@@ -208,51 +217,80 @@ SHAPE = {
 
 
 def splits_of(spark: SparkSession, paths: list[str], split_bytes: int) -> DataFrame:
-    """(path, size, begin, stop) of the splits of files; contents are not read."""
+    """(path, size, run, begin, stop) of the splits of files; contents are not
+    read. ``run`` numbers stretches of ``RUN`` splits."""
     files = spark.read.format("binaryFile").load(paths).select(
         F.regexp_replace("path", "^file:/(?!/)", "file:///").alias("path"), F.col("length").alias("size")
     )
     last = F.floor((F.greatest("size", F.lit(1)) - 1) / split_bytes)
     begin = F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("n")
     cuts = files.select("path", "size", begin).select(
-        "path", "size", (F.col("n") * split_bytes).alias("begin"), F.least("size", (F.col("n") + 1) * split_bytes).alias("stop")
+        "path", "size", F.floor(F.col("n") / RUN).alias("run"), (F.col("n") * split_bytes).alias("begin"), F.least("size", (F.col("n") + 1) * split_bytes).alias("stop")
     )
     return cut_lineage(cuts, "json-splits")
 
 
 def _spread(splits: DataFrame) -> DataFrame:
-    """A task per split, about: a row is small, what it stands for is not, so
-    the number is given and not left to be merged."""
-    return splits.repartition(max(1, splits.count()), "path", "begin")
+    """Tasks by the bytes that splits stand for: a row is small, so the number is
+    given and not left to be merged. Small splits share a task, of all cores."""
+    size = splits.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stop") - F.col("begin")).alias("bytes")).first()
+    tasks = max(splits.sparkSession.sparkContext.defaultParallelism, -(-(size["bytes"] or 0) // SPLIT_BYTES))
+    return splits.repartition(max(1, min(size["n"], tasks)), "path", "begin")
 
 
 def beginnings(splits: DataFrame) -> DataFrame:
     """Splits with ``state`` and ``depth`` where they begin, and ``closed``:
-    whether their file ends outside of all strings and brackets."""
+    whether their file ends outside of all strings and brackets.
+
+    The functions of a run of splits are composed to one, those of the runs of
+    a file then tell how each run begins, and so each of its splits: the work
+    grows with the number of splits, and no row holds all of a file.
+    """
 
     def run(file, split):
         ends, deeper = ways(file, split["begin"], split["stop"])
-        yield split["path"], split["begin"], ends, deeper
-
-    found = over_splits(_spread(splits), run, {"path": "string", "begin": "bigint", "ends": "array<bigint>", "deeper": "array<bigint>"})
-    steps = F.array_sort(F.collect_list(F.struct("begin", "ends", "deeper")))
-    files = found.groupBy("path").agg(steps.alias("steps"))
-    start = F.struct(
-        F.lit(OUTSIDE).cast("bigint").alias("state"), F.lit(0).cast("bigint").alias("depth"),
-        F.array().cast("array<struct<begin:bigint,state:bigint,depth:bigint>>").alias("out"),
+        yield split["path"], split["run"], split["begin"], ends, deeper
+
+    fields = {"path": "string", "run": "bigint", "begin": "bigint", "ends": "array<bigint>", "deeper": "array<bigint>"}
+    found = over_splits(_spread(splits), run, fields)
+    steps = F.array_sort(F.collect_list(F.struct("begin", "ends", "deeper"))).alias("steps")
+    runs = cut_lineage(found.groupBy("path", "run").agg(steps), "json-runs")
+
+    # a run as one function: how it ends for the three ways it may begin
+    same = F.struct(F.array(*[F.lit(i).cast("bigint") for i in range(3)]).alias("ends"), F.array(*[F.lit(0).cast("bigint")] * 3).alias("deeper"))
+
+    def then(acc: Column, x: Column) -> Column:
+        at = [acc["ends"][i].cast("int") for i in range(3)]
+        return F.struct(
+            F.array(*[F.get(x["ends"], i) for i in at]).alias("ends"),
+            F.array(*[acc["deeper"][k] + F.get(x["deeper"], i) for k, i in enumerate(at)]).alias("deeper"),
+        )
+
+    whole = runs.select("path", F.col("run").alias("begin"), F.aggregate("steps", same, then).alias("f")).select("path", "begin", "f.*")
+    files = whole.groupBy("path").agg(steps).withColumns({"state": F.lit(OUTSIDE).cast("bigint"), "depth": F.lit(0).cast("bigint")})
+    files = files.select("path", _walked("steps").alias("r")).select(
+        "path", ((F.col("r.state") == OUTSIDE) & (F.col("r.depth") == 0)).alias("closed"), F.explode("r.out").alias("s")
     )
+    begun = files.select("path", "closed", F.col("s.begin").alias("run"), "s.state", "s.depth")
+    known = runs.join(begun, ["path", "run"]).select("path", "closed", _walked("steps").alias("r"))
+    known = known.select("path", "closed", F.explode("r.out").alias("s"))
+    return splits.join(known.select("path", "closed", "s.*"), ["path", "begin"])
+
+
+def _walked(steps: str) -> Column:
+    """From ``state`` and ``depth`` on, over a run's steps: ``out``, how each of
+    them begins, and how the last one ends."""
+    start = F.struct(F.col("state"), F.col("depth"), F.array().cast("array<struct<begin:bigint,state:bigint,depth:bigint>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         at = acc["state"].cast("int")
+        here = F.struct(x["begin"].alias("begin"), acc["state"].alias("state"), acc["depth"].alias("depth"))
         return F.struct(
             F.get(x["ends"], at).alias("state"), (acc["depth"] + F.get(x["deeper"], at)).alias("depth"),
-            F.concat(acc["out"], F.array(F.struct(x["begin"].alias("begin"), acc["state"].alias("state"), acc["depth"].alias("depth")))).alias("out"),
+            F.concat(acc["out"], F.array(here)).alias("out"),
         )
 
-    files = files.select("path", F.aggregate("steps", start, step).alias("r")).select(
-        "path", ((F.col("r.state") == OUTSIDE) & (F.col("r.depth") == 0)).alias("closed"), F.explode("r.out").alias("s")
-    )
-    return splits.join(files.select("path", "closed", "s.*"), ["path", "begin"])
+    return F.aggregate(steps, start, step)
 
 
 def planned(splits: DataFrame, keys: list[str], first_key_only: bool) -> DataFrame:
@@ -262,15 +300,13 @@ def planned(splits: DataFrame, keys: list[str], first_key_only: bool) -> DataFra
 
     def run(file, split):
         found = shape(file, split["begin"], split["stop"], split["size"], split["state"], split["depth"], keys)
-        yield (split["path"], split["begin"], *(found[name] for name in SHAPE))
+        yield (split["path"], split["run"], split["begin"], *(found[name] for name in SHAPE))
 
-    parts = over_splits(_spread(splits), run, {"path": "string", "begin": "bigint"} | SHAPE)
+    parts = cut_lineage(over_splits(_spread(splits), run, {"path": "string", "run": "bigint", "begin": "bigint"} | SHAPE), "json-shapes")
     closed = splits.groupBy("path").agg(F.first("closed").alias("closed"))
     one = parts.groupBy("path").agg(
         F.sum("roots").alias("roots"), F.sum("junk").alias("junk"), F.min("low").alias("low"), F.min("root_at").alias("root_at"),
         F.min_by("root", "root_at").alias("root"), F.max("root_end").alias("root_end"), F.flatten(F.collect_list("keys")).alias("keys"),
-        F.array_sort(F.collect_list(F.struct("begin", "comma1", "comma2"))).alias("commas"),
-        F.collect_list("close1").alias("closes"),
     ).join(closed, "path")
     chosen = None
 
@@ -283,27 +319,37 @@ def planned(splits: DataFrame, keys: list[str], first_key_only: bool) -> DataFra
         last = last_of(name)
         fits = last.isNotNull() if first_key_only else last.isNotNull() & last["list"]
         chosen = F.when(fits, last) if chosen is None else chosen.when(fits, last)
-    one = one.withColumn("key", F.when(F.col("root") == "{", chosen))
+    none = F.lit(None).cast("struct<at:bigint,list:boolean,end:bigint>")
+    one = one.withColumn("key", none if chosen is None else F.when(F.col("root") == "{", chosen))
     single = (F.col("roots") == 1) & (F.col("junk") == 0) & (F.col("low") >= 0) & F.col("closed")
     level = F.when(F.col("root") == "[", 1).when(F.col("key").isNull(), 0).when(F.col("key.list"), 2).otherwise(-1)
-    later = F.array_min(F.filter("closes", lambda c: c > F.col("key.at")))
+    ends = parts.join(one.select("path", F.col("key.at").alias("__at")), "path").filter(F.col("close1") > F.col("__at"))
+    one = one.join(ends.groupBy("path").agg(F.min("close1").alias("later")), "path", "left")
     one = one.withColumn("level", F.when(single, level).cast("bigint")).withColumns(
         {
             "first": F.when(F.col("level") == 1, F.col("root_at") + 1).when(F.col("level") == 2, F.col("key.at") + 1).otherwise(F.col("root_at")),
-            "last": F.when(F.col("level") == 1, F.col("root_end")).when(F.col("level") == 2, F.coalesce("key.end", later)).otherwise(F.col("root_end") + 1),
+            "last": F.when(F.col("level") == 1, F.col("root_end")).when(F.col("level") == 2, F.coalesce("key.end", "later")).otherwise(F.col("root_end") + 1),
         }
     )
-    begun = F.struct(F.col("first").alias("start"), F.array().cast("array<struct<begin:bigint,start:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        comma = F.when(F.col("level") == 1, x["comma1"]).when(F.col("level") == 2, x["comma2"])
-        return F.struct(
-            F.greatest(acc["start"], comma + 1).alias("start"),
-            F.concat(acc["out"], F.array(F.struct(x["begin"].alias("begin"), acc["start"].alias("start")))).alias("out"),
-        )
-
-    starts = one.select("path", "level", "first", "last", F.explode(F.aggregate("commas", begun, step, lambda a: a["out"])).alias("s"))
-    return splits.drop("closed").join(starts.select("path", "level", "first", "last", "s.*"), ["path", "begin"])
+    one = cut_lineage(one.select("path", "level", "first", "last"), "json-files")
+    # the last comma before a split, of its run and of the runs before
+    comma = F.when(F.col("level") == 1, F.col("comma1")).when(F.col("level") == 2, F.col("comma2"))
+    commas = parts.select("path", "run", "begin", "comma1", "comma2").join(one, "path").withColumn("after", comma + 1)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    runs = commas.groupBy("path", "run").agg(F.max("after").alias("after"))
+    runs = runs.select("path", "run", F.max("after").over(before(Window.partitionBy("path").orderBy("run"))).alias("__runs"))
+    here = F.max("after").over(before(Window.partitionBy("path", "run").orderBy("begin")))
+    starts = commas.withColumn("__here", here).join(runs, ["path", "run"])
+    starts = starts.select("path", "level", "first", "last", "begin", F.greatest("first", "__here", "__runs").alias("start"))
+    return splits.drop("closed").join(starts, ["path", "begin"])
+
+
+def document_plan(
+    spark: SparkSession, paths: list[str], keys: tuple[str, ...], *, first_key_only: bool = False, split_bytes: int = SPLIT_BYTES
+) -> DataFrame:
+    """The splits of files with what ``planned`` tells about them."""
+    splits = cut_lineage(beginnings(splits_of(spark, paths, split_bytes)), "json-states")
+    return cut_lineage(planned(splits, list(keys), first_key_only), "json-plan")
 
 
 def json_documents(
@@ -317,8 +363,12 @@ def json_documents(
     none if it holds no list); without one the object is the record. ``seq`` is
     the byte at which a record begins.
     """
-    splits = cut_lineage(beginnings(splits_of(spark, paths, split_bytes)), "json-states")
-    plan = cut_lineage(planned(splits, list(keys), first_key_only), "json-plan")
+    plan = document_plan(spark, paths, keys, first_key_only=first_key_only, split_bytes=split_bytes)
+    return records_of(plan), plan.filter("level IS NULL").select("path").distinct()
+
+
+def records_of(plan: DataFrame) -> DataFrame:
+    """The records of planned splits as (source, block, seq, value)."""
 
     def run(file, split):
         for start, at, data, whole in pieces(
@@ -334,4 +384,33 @@ def json_documents(
     every = rows.filter("whole").select("source", "start", "piece").unionByName(cut)
     text = F.regexp_replace(F.make_valid_utf8(F.col("piece").cast("string")), r"^[ \t\r\n]+|[ \t\r\n]+$", "")
     records = every.select("source", F.lit(0).cast("bigint").alias("block"), F.col("start").alias("seq"), text.alias("value"))
-    return records.filter("value <> ''"), plan.filter("level IS NULL").select("path").distinct()
+    return records.filter("value <> ''")
+
+
+def envelopes(plan: DataFrame) -> DataFrame:
+    """(source, value): the object around the list of each file that has one,
+    without what is in the list."""
+
+    def run(file, split):
+        for low, high in ((split["begin"], min(split["stop"], split["first"])), (max(split["begin"], split["last"]), split["stop"])):
+            if low < high:
+                yield split["path"], low, file.read_at(high - low, low)
+
+    around = plan.filter((F.col("level") == 2) & ((F.col("begin") < F.col("first")) | (F.col("stop") > F.col("last"))))
+    rows = over_splits(_spread(around), run, {"source": "string", "at": "bigint", "piece": "binary"})
+    joined = F.aggregate(F.array_sort(F.collect_list(F.struct("at", "piece"))), F.lit(b""), lambda a, x: F.concat(a, x["piece"]))
+    return rows.groupBy("source").agg(F.make_valid_utf8(joined.cast("string")).alias("value"))
+
+
+def numbered(records: DataFrame) -> DataFrame:
+    """Add ``pos``, the number of a record in its source by ``seq``, from 0. Records
+    are dealt in ranges, which are counted; a source is in no single task."""
+    dealt = records.repartitionByRange("source", "seq").withColumn("__part", F.spark_partition_id())
+    dealt = cut_lineage(dealt, "numbered")
+    counts = dealt.groupBy("source", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("source").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("source", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("source", "__part").orderBy("seq")) - 1
+    return dealt.withColumn("__own", own).join(counts, ["source", "__part"]).withColumn(
+        "pos", F.col("__before") + F.col("__own")
+    ).drop("__part", "__own", "__before")

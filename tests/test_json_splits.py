@@ -95,3 +95,31 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     ok, text = compare(queries()["json_splits"](spark, sf), duck(sf), oracle_sql()["json_splits"])
     assert ok, text
+
+
+def test_many_splits_of_a_file(spark, tmp_path, monkeypatch):
+    """Runs of splits are composed one after the other; small splits share a task."""
+    monkeypatch.setattr(json_splits, "RUN", 5)
+    rows = [{"n": i, "text": 'x"]},\\ {[' * (i % 5)} for i in range(300)]
+    (tmp_path / "one.json").write_text(json.dumps({"id": "b", "items": rows, "tail": [1, {"items": 2}]}))
+    plan = json_splits.document_plan(spark, [str(tmp_path)], KEYS, split_bytes=40)
+    assert plan.count() > 200 and plan.select("run").distinct().count() > 40
+    assert json_splits._spread(plan).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    records = json_splits.records_of(plan)
+    found = json_splits.numbered(records).collect()
+    assert [json.loads(r.value) for r in sorted(found, key=lambda r: r.pos)] == rows
+    assert sorted(r.pos for r in found) == list(range(300))
+    (around,) = json_splits.envelopes(plan).collect()
+    assert json.loads(around.value) == {"id": "b", "items": [], "tail": [1, {"items": 2}]}
+
+
+@pytest.mark.parametrize("name", ["json_document", "stix_bundle"])
+def test_one_file_is_never_one_row(spark, monkeypatch, name):
+    """The document is read back over splits, not as one text."""
+    from pyspark.sql.readwriter import DataFrameReader
+
+    read = DataFrameReader.text
+    monkeypatch.setattr(DataFrameReader, "text", lambda self, paths, wholetext=False, **kw: read(self, paths, wholetext=wholetext and 1 / 0, **kw))
+    sf = "/root/testdata/sf0.001"
+    ok, text = compare(queries()[name](spark, sf), duck(sf), oracle_sql()[name])
+    assert ok, text
