@@ -20,6 +20,7 @@ from logfathom.operators.query import EventFilter
 
 SEARCHED = ("message", "source_ip", "event_type", "event_action", "username")
 CURVE_BITS = 16  # per dimension
+FILE_BYTES = 256 << 20  # of texts in a file's rows, which one task sorts
 SIGN_BITS = 32_768  # of a bitmap of the built-in aggregate
 RUN = 3
 FILES_DDL = (
@@ -43,10 +44,11 @@ def interleaved(values: list[Column]) -> Column:
 
 
 def clustered(rows: DataFrame, sized_by: DataFrame, rows_per_file: int) -> DataFrame:
-    """Rows in files of about ``rows_per_file``, cut along the curve.
+    """Rows in files of about ``rows_per_file``, or fewer if their texts are long,
+    cut along the curve.
 
     ``sized_by`` is a stored frame with the same values, of which one row of
-    bounds and the number of rows is taken.
+    bounds, the number of rows and the bytes of their texts is taken.
     """
     dims = {
         "time": F.unix_seconds("event_ts").cast("double"),
@@ -54,13 +56,18 @@ def clustered(rows: DataFrame, sized_by: DataFrame, rows_per_file: int) -> DataF
         "address": ipv4_number(F.col("source_ip")).cast("double"),
     }
     bounds = [f(c).alias(f"{n}_{name}") for name, c in dims.items() for n, f in (("low", F.min), ("high", F.max))]
-    found = sized_by.agg(F.count(F.lit(1)).alias("n"), *bounds).first()
+    texts = [F.coalesce(F.octet_length(F.col(c)), F.lit(0)).cast("bigint") for c, t in sized_by.dtypes if t == "string"]
+    if "extensions" in sized_by.columns:
+        pairs = F.concat(F.map_keys("extensions"), F.map_values("extensions"))
+        texts.append(F.coalesce(F.octet_length(F.array_join(pairs, "")), F.lit(0)).cast("bigint"))
+    size = F.sum(reduce(lambda a, b: a + b, texts)).alias("bytes")
+    found = sized_by.agg(F.count(F.lit(1)).alias("n"), size, *bounds).first()
     places = []
     for name, c in dims.items():
         low, high = found[f"low_{name}"] or 0.0, found[f"high_{name}"] or 0.0
         share = (c - low) / (high - low) if high > low else F.lit(0.0)
         places.append(F.coalesce(F.floor(share * ((1 << CURVE_BITS) - 1)), F.lit(0)).cast("bigint"))
-    files = max(1, -(-found["n"] // rows_per_file))
+    files = max(1, -(-found["n"] // rows_per_file), -(-(found["bytes"] or 0) // FILE_BYTES))
     out = rows.withColumn("__curve", interleaved(places))
     return out.repartitionByRange(files, "__curve", "event_id").sortWithinPartitions("__curve").drop("__curve")
 

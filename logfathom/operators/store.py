@@ -31,7 +31,7 @@ from logfathom.model import EVENT_DDL, align
 from logfathom.operators import prune, stats
 from logfathom.operators.lookup import fits_broadcast
 from logfathom.operators.query import EventFilter
-from logfathom.session import folder_names, remove_path, scratch_dir
+from logfathom.session import ROWS_PER_TASK, cut_lineage, folder_names, gathered, remove_path, scratch_dir
 
 STORE_DDL = f"{EVENT_DDL}, created_at timestamp, session_id string"
 LEDGER_DDL = "source string, low bigint, high bigint, blind boolean"
@@ -55,27 +55,46 @@ def default_session_id(now: dt.datetime | None = None) -> str:
 def first_per_id(events: DataFrame, order: list[str] | None = None) -> DataFrame:
     """One row per ``event_id``: the first by ``order``, or any of the equal
     copies. Copies are combined per task before the shuffle, so an event that
-    makes up a third of the batch does not load one task."""
+    makes up a third of the batch does not load one task.
+
+    Ids are counted first. Whole rows are sorted to be combined, so only those
+    whose id is repeated are, in tasks of a bounded number of rows; the others
+    pass as they are.
+    """
+    ids = events.groupBy(F.col("event_id").alias("__id")).agg(F.count(F.lit(1)).alias("n"))
+    repeated = cut_lineage(ids.filter("n > 1"), "repeated-ids")
+    copies = repeated.agg(F.sum("n")).first()[0]
+    if not copies:
+        return events
+    repeated, same = repeated.select("__id"), F.col("event_id").eqNullSafe(F.col("__id"))
+    many, once = events, None
+    if fits_broadcast(repeated):
+        many, once = (events.join(F.broadcast(repeated), same, how) for how in ("left_semi", "left_anti"))
+    many = many.repartition(max(1, -(-copies // ROWS_PER_TASK)))
     if not order:
-        return events.dropDuplicates(["event_id"])
-    rest = [c for c in events.columns if c != "event_id"]
-    packed = events.groupBy("event_id").agg(
-        F.min_by(F.struct(*rest), F.struct(*order)).alias("__row")
-    )
-    return packed.select(*[F.col("event_id") if c == "event_id" else F.col(f"__row.{c}").alias(c) for c in events.columns])
+        first = many.dropDuplicates(["event_id"])
+    else:
+        rest = [c for c in events.columns if c != "event_id"]
+        packed = many.groupBy("event_id").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__row"))
+        first = packed.select(*[F.col("event_id") if c == "event_id" else F.col(f"__row.{c}").alias(c) for c in events.columns])
+    return first if once is None else first.unionByName(once)
 
 
 def insert_new(batch: DataFrame, stored: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Rows of the batch whose id is neither stored nor repeated in the batch.
 
-    Ids are hashes, so the shuffle is even. A batch with few ids is sent to
-    the store's scan, which then shuffles only ids that meet it.
+    The stored ids that the batch meets are found first, by ids alone, which are
+    hashes and so shuffled evenly; a batch with few ids is sent to the store's
+    scan. Where few are met, they are sent to the batch, whose rows then stay
+    where they are.
     """
     fresh = first_per_id(batch, order)
     ids = batch.select(F.col("event_id").alias("__id")).distinct()
     known = stored.select(F.col("event_id").alias("__id"))
-    if fits_broadcast(ids):
-        known = known.join(F.broadcast(ids), "__id", "left_semi")
+    known = known.join(F.broadcast(ids) if fits_broadcast(ids) else ids, "__id", "left_semi").distinct()
+    known = cut_lineage(known, "known-ids")
+    if fits_broadcast(known):
+        known = F.broadcast(known)
     return fresh.join(known, F.col("event_id") == F.col("__id"), "left_anti")
 
 
@@ -228,7 +247,7 @@ class EventStore:
         aligned = align(events, keep=spots)
         aligned.write.parquet(scratch)
         try:
-            batch = self.spark.read.schema(aligned.schema).parquet(scratch)
+            batch = gathered(self.spark.read.schema(aligned.schema).parquet(scratch))
             handed = batch.count()
             for _ in range(TRIES):
                 base = self.version()
@@ -262,7 +281,7 @@ class EventStore:
         """Write the events of a part, and the tables made of them."""
         folder = self._folder("events", part)
         prune.clustered(fresh, sized_by, ROWS_PER_FILE).write.parquet(folder)
-        written = self.spark.read.option("basePath", f"{self.path}/events").schema(f"{STORE_DDL}, part string").parquet(folder)
+        written = gathered(self.spark.read.option("basePath", f"{self.path}/events").schema(f"{STORE_DDL}, part string").parquet(folder))
         files = prune.file_table(written, f"{self.path}/events")
         files.coalesce(1).write.parquet(self._folder("files", part))
         stats.summary(written).write.parquet(self._folder("summary", part))
@@ -285,7 +304,7 @@ class EventStore:
         folders = [self._folder("events", p) for p in parts if p["rows"]]
         if not folders:
             return self.spark.createDataFrame([], "event_id string")
-        return self.spark.read.schema("event_id string").parquet(*folders)
+        return gathered(self.spark.read.schema("event_id string").parquet(*folders))
 
     def delete(self, session_id: str | None = None) -> int:
         """Drop one session, or everything; returns the number of events that

@@ -24,6 +24,8 @@ RUNTIME_CONF = {
 
 # Rows that one task parses, where rows are to be spread.
 ROWS_PER_TASK = 100_000
+# Bytes of files that a task reads at least, however small the splits are.
+TASK_BYTES = 16 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -101,3 +103,14 @@ def spread(df: DataFrame, grow: bool = True) -> DataFrame:
     if grow:
         tasks = max(tasks, -(-df.count() // ROWS_PER_TASK))
     return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """A scan of files in fewer tasks, where the session's splits are small: a task
+    then reads several of them. The splits and their order stay as they are."""
+    conf = df.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils
+    split = conf.byteStringAsBytes(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes"))
+    if split >= TASK_BYTES:
+        return df
+    splits, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(min(splits, cores), -(-splits * split // TASK_BYTES)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logfathom.functions.text import lines_of, rare_lines_of, strip
 from logfathom.operators.lookup import fits_broadcast
-from logfathom.session import cut_lineage
+from logfathom.session import cut_lineage, gathered
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -24,7 +24,7 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.col("_metadata.file_path").alias("source"),
         F.col("_metadata.file_block_start").alias("block"),
     )
-    return break_lines(number_lines(scan))
+    return break_lines(number_lines(gathered(scan)))
 
 
 def number_lines(scan: DataFrame) -> DataFrame:

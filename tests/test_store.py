@@ -8,7 +8,7 @@ from __spark_entry__ import oracle_sql, queries
 from logfathom.model import align
 from logfathom.operators import prune, query, stats
 from logfathom.operators.query import EventFilter
-from logfathom.operators.store import EventStore, VersionTaken, ingest
+from logfathom.operators.store import EventStore, VersionTaken, ingest, insert_new
 from logfathom.operators.cef import normalize_cef
 from logfathom.session import remove_path
 from logfathom.sources.lines import read_lines
@@ -162,3 +162,34 @@ NAMES = ["store_report", "store_search", "delete_all", "page_after", "store_writ
 def test_query(spark, name):
     ok, text = compare(queries()[name](spark, SF), duck(SF), oracle_sql()[name])
     assert ok, text
+
+
+def test_whole_rows_are_not_sorted_in_one_task(spark, tmp_path, monkeypatch):
+    """Long texts make more files; only repeated ids are combined; null ids are one."""
+    monkeypatch.setattr(prune, "FILE_BYTES", 2_000)
+    store = EventStore(spark, str(tmp_path / "store"))
+    batch = rows(spark, 400).unionByName(rows(spark, 30, 390)).withColumn("at", F.monotonically_increasing_id())
+    assert store.insert(batch, "a", order=["at"]) == 430
+    assert store.events().count() == 420 == store.events().select("event_id").distinct().count()
+    assert len(store.events().inputFiles()) > 5
+    once = insert_new(rows(spark, 50), rows(spark, 10).select("event_id"), ["message"])
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" not in plan and once.count() == 40
+    nulls = rows(spark, 9).withColumn("event_id", F.when(F.col("severity_code") < 5, F.col("event_id")))
+    for order in (["message"], None):
+        kept = insert_new(nulls, rows(spark, 2).select("event_id"), order)
+        assert sorted(r.event_id or "" for r in kept.collect()) == ["", "e2", "e3", "e4"]
+
+
+def test_small_splits_share_tasks(spark, tmp_path):
+    (tmp_path / "x.log").write_text("".join(f"line {i}\n" for i in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    want = {(r.seq, r.value) for r in read_lines(spark, str(tmp_path)).collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        lines = read_lines(spark, str(tmp_path))
+        assert lines.select("block").distinct().count() > 50
+        assert lines.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert {(r.seq, r.value) for r in lines.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
