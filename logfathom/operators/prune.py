@@ -20,7 +20,7 @@ from logfathom.operators.query import EventFilter
 
 SEARCHED = ("message", "source_ip", "event_type", "event_action", "username")
 CURVE_BITS = 16  # per dimension
-FILE_BYTES = 256 << 20  # of texts in a file's rows, which one task sorts
+FILE_BYTES = 256 << 20  # of a file's rows, which one task sorts
 SIGN_BITS = 32_768  # of a bitmap of the built-in aggregate
 RUN = 3
 FILES_DDL = (
@@ -62,12 +62,13 @@ def clustered(rows: DataFrame, sized_by: DataFrame, rows_per_file: int) -> DataF
         texts.append(F.coalesce(F.octet_length(F.array_join(pairs, "")), F.lit(0)).cast("bigint"))
     size = F.sum(reduce(lambda a, b: a + b, texts)).alias("bytes")
     found = sized_by.agg(F.count(F.lit(1)).alias("n"), size, *bounds).first()
+    size = (found["bytes"] or 0) + 8 * len(sized_by.columns) * found["n"]
     places = []
     for name, c in dims.items():
         low, high = found[f"low_{name}"] or 0.0, found[f"high_{name}"] or 0.0
         share = (c - low) / (high - low) if high > low else F.lit(0.0)
         places.append(F.coalesce(F.floor(share * ((1 << CURVE_BITS) - 1)), F.lit(0)).cast("bigint"))
-    files = max(1, -(-found["n"] // rows_per_file), -(-(found["bytes"] or 0) // FILE_BYTES))
+    files = max(1, -(-found["n"] // rows_per_file), -(-size // FILE_BYTES))
     out = rows.withColumn("__curve", interleaved(places))
     return out.repartitionByRange(files, "__curve", "event_id").sortWithinPartitions("__curve").drop("__curve")
 

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from logfathom.model import keep_filters_above
+
 # Settings the results depend on; all are changeable at run time.
 RUNTIME_CONF = {
     # naive timestamps are UTC
@@ -107,10 +109,11 @@ def spread(df: DataFrame, grow: bool = True) -> DataFrame:
 
 def gathered(df: DataFrame) -> DataFrame:
     """A scan of files in fewer tasks, where the session's splits are small: a task
-    then reads several of them. The splits and their order stay as they are."""
+    then reads several of them. The splits and their order stay as they are.
+    Filters and joins stay above, else each split would set up a join anew."""
     conf = df.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils
     split = conf.byteStringAsBytes(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes"))
     if split >= TASK_BYTES:
         return df
     splits, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
-    return df.coalesce(max(min(splits, cores), -(-splits * split // TASK_BYTES)))
+    return keep_filters_above(df.coalesce(max(min(splits, cores), -(-splits * split // TASK_BYTES))))

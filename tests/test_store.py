@@ -10,7 +10,7 @@ from logfathom.operators import prune, query, stats
 from logfathom.operators.query import EventFilter
 from logfathom.operators.store import EventStore, VersionTaken, ingest, insert_new
 from logfathom.operators.cef import normalize_cef
-from logfathom.session import remove_path
+from logfathom.session import gathered, remove_path
 from logfathom.sources.lines import read_lines
 
 SF = "/root/testdata/sf0.001"
@@ -191,5 +191,10 @@ def test_small_splits_share_tasks(spark, tmp_path):
         assert lines.select("block").distinct().count() > 50
         assert lines.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
         assert {(r.seq, r.value) for r in lines.collect()} == want
+        # a join is set up once per task, not once per split
+        spark.range(3).write.parquet(str(tmp_path / "ids"))
+        few = gathered(spark.read.parquet(str(tmp_path / "ids"))).join(F.broadcast(spark.range(2)), "id", "left_semi")
+        plan = few._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("LeftSemi") < plan.index("Repartition") and few.count() == 2
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
