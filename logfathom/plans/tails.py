@@ -18,23 +18,31 @@ from logfathom.streaming import watch
 def feed(spark: SparkSession, folder: str, rows: DataFrame, append: bool) -> None:
     """Write or append ``text`` of (file, pos, text) to files, one task a file.
 
-    It plays the log writer; nothing in the library writes files like this.
+    It plays the log writer; nothing in the library writes files like this. The
+    texts of a file that follow each other in a batch are written at once.
     """
     uri = shared_uri(spark, folder)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyarrow import fs
 
         store, path = fs.FileSystem.from_uri(uri)
         store.create_dir(path, recursive=True)
         files: dict = {}
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            runs, at = pc.run_end_encode(batch.column(0)), 0
+            for name, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
                 if name not in files:
                     target = f"{path}/{name}.log"
                     files[name] = store.open_append_stream(target) if append else store.open_output_stream(target)
-                files[name].write(text.encode())
+                texts = batch.column(1).slice(at, end - at).cast(pa.large_string())
+                if texts.null_count:
+                    raise ValueError("a text is null")
+                both = pa.LargeListArray.from_arrays(pa.array([0, end - at], pa.int64()), texts)
+                files[name].write(pc.binary_join(both, pa.scalar("", pa.large_string()))[0].as_buffer())
+                at = end
         for file in files.values():
             file.close()
         yield pa.RecordBatch.from_arrays([pa.array(list(files), pa.string())], names=["file"])

@@ -13,8 +13,9 @@ and check sums of its head:
   told by comparing two offsets, so a batch that runs again after a restart
   reads the same ranges.
 
-A range is cut into splits; lines belong to the split they start in, so a task
-reads about a split, whatever a file gains at once.
+A range is cut into splits; lines belong to the split they start in. Where
+splits are small, a task reads several that follow each other, so what a file
+gains at once is read by tasks of a bounded size, of which there are few.
 
 Not noticed: a file that is rewritten with the same head and at least its old
 length between two micro-batches. A range that is rewritten after a batch was
@@ -28,15 +29,15 @@ from __future__ import annotations
 
 import sys
 import zlib
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from logfathom.session import shared_uri
+from logfathom.session import TASK_BYTES, shared_uri
 
 NAME = "logfathom_tail"
 SCHEMA = "source string, turn bigint, split bigint, at bigint, line binary"
@@ -52,7 +53,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 @dataclass
 class Range(InputPartition):
-    """The lines of ``path`` that start in ``begin:stop`` of ``first:last``."""
+    """The lines of ``path`` that start in ``begin:stop`` of ``first:last``; these
+    bytes are one split, or splits of ``size`` bytes."""
 
     path: str
     turn: int
@@ -60,6 +62,11 @@ class Range(InputPartition):
     stop: int
     first: int
     last: int
+    size: int = 0
+
+    def split_of(self, at: int) -> int:
+        """The byte at which the split begins that holds byte ``at``."""
+        return at - (at - self.begin) % self.size if self.size else self.begin
 
 
 def file_entry(file, size: int) -> dict:
@@ -89,6 +96,13 @@ def cut(path: str, turn: int, first: int, last: int, size: int) -> list[Range]:
     return [Range(path, turn, at, min(at + size, last), first, last) for at in range(first, last, size)]
 
 
+def splits_together(ranges: Iterable[tuple[int, int]], split: int, tasks: int, most: int = TASK_BYTES) -> int:
+    """How many splits a task reads: as many as leave ``tasks`` tasks, with no
+    more than ``most`` bytes in one."""
+    splits = sum(-(-(last - first) // split) for first, last in ranges)
+    return max(1, min(splits // max(1, tasks), most // split))
+
+
 def lines_of_range(file, part: Range) -> Iterator[tuple[int, bytes]]:
     """(byte, line) of a range; line ends are cut off."""
     at, skip = part.begin, part.begin > part.first
@@ -115,8 +129,8 @@ def lines_of_range(file, part: Range) -> Iterator[tuple[int, bytes]]:
 
 
 class TailReader(DataSourceStreamReader):
-    def __init__(self, uri: str, split_bytes: int) -> None:
-        self.uri, self.split_bytes = uri, split_bytes
+    def __init__(self, uri: str, split_bytes: int, tasks: int = 1) -> None:
+        self.uri, self.split_bytes, self.tasks = uri, split_bytes, tasks
         self.known: dict[str, tuple] = {}  # entries of files that did not change
 
     def initialOffset(self) -> dict:
@@ -147,10 +161,13 @@ class TailReader(DataSourceStreamReader):
         return {"files": dict(sorted(files.items()))}
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
+        firsts = {path: read_from(start["files"].get(path), entry) for path, entry in end["files"].items()}
+        size = self.split_bytes
+        together = splits_together([(first, end["files"][path]["end"]) for path, first in firsts.items()], size, self.tasks)
         out: list[Range] = []
-        for path, entry in end["files"].items():
-            first = read_from(start["files"].get(path), entry)
-            out += cut(path, entry["turn"], first, entry["end"], self.split_bytes)
+        for path, first in firsts.items():
+            entry = end["files"][path]
+            out += [replace(p, size=size) for p in cut(path, entry["turn"], first, entry["end"], together * size)]
         return out
 
     def read(self, partition: Range) -> Iterator:
@@ -163,7 +180,8 @@ class TailReader(DataSourceStreamReader):
 
         def rows(at: list[int], lines: list[bytes]) -> pa.RecordBatch:
             n = len(at)
-            fixed = [pa.array([partition.turn] * n, pa.int64()), pa.array([partition.begin] * n, pa.int64())]
+            splits = [partition.split_of(x) for x in at]
+            fixed = [pa.array([partition.turn] * n, pa.int64()), pa.array(splits, pa.int64())]
             columns = [pa.array([source] * n), *fixed, pa.array(at, pa.int64()), pa.array(lines, pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["source", "turn", "split", "at", "line"])
 
@@ -189,7 +207,7 @@ class TailSource(DataSource):
         return SCHEMA
 
     def streamReader(self, schema) -> TailReader:
-        return TailReader(self.options["path"], int(self.options.get("splitbytes", SPLIT_BYTES)))
+        return TailReader(self.options["path"], int(self.options.get("splitbytes", SPLIT_BYTES)), int(self.options.get("tasks", 1)))
 
 
 def tail_lines(spark: SparkSession, path: str, *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -200,7 +218,9 @@ def tail_lines(spark: SparkSession, path: str, *, split_bytes: int = SPLIT_BYTES
     ``block`` that of its split. Bytes that are no UTF-8 become U+FFFD.
     """
     spark.dataSource.register(TailSource)
-    rows = spark.readStream.format(NAME).option("splitBytes", str(split_bytes)).load(shared_uri(spark, path))
+    rows = spark.readStream.format(NAME).option("splitBytes", str(split_bytes)).option(
+        "tasks", str(spark.sparkContext.defaultParallelism)
+    ).load(shared_uri(spark, path))
     return rows.select(
         F.make_valid_utf8(F.col("line").cast("string")).alias("value"), "source", F.col("turn").cast("string").alias("turn"),
         F.col("split").alias("block"), F.col("at").alias("seq"),

@@ -105,3 +105,20 @@ def test_headers_of_a_batch_that_runs_again(spark, tmp_path):
 def test_query(spark, name):
     ok, text = compare(queries()[name](spark, SF), duck(SF), oracle_sql()[name])
     assert ok, text
+
+
+def test_small_splits_share_tasks(tmp_path):
+    data = b"".join(b"line %d\n" % i for i in range(500))
+    (tmp_path / "a.log").write_bytes(data)
+
+    def read(tasks):
+        reader = tail.TailReader(tmp_path.as_uri(), 50, tasks)
+        parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+        return len(parts), [row for p in parts for batch in reader.read(p) for row in zip(*batch.to_pydict().values())]
+
+    alone, want = read(10_000)
+    few, got = read(4)
+    assert alone == -(-len(data) // 50) and few <= 5 and got == want
+    # source, turn, split, byte, line: the split is the one that a line starts in
+    assert all(at - at % 50 == split for _, _, split, at, _ in got) and len(got) == 500
+    assert tail.splits_together([(0, 10 << 30)], 100_000, 4) * 100_000 <= tail.TASK_BYTES
