@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from logfathom.functions.net import ipv4_number
 from logfathom.operators.query import EventFilter
+from logfathom.session import ROWS_PER_TASK
 
 SEARCHED = ("message", "source_ip", "event_type", "event_action", "username")
 CURVE_BITS = 16  # per dimension
@@ -44,8 +45,8 @@ def interleaved(values: list[Column]) -> Column:
 
 
 def clustered(rows: DataFrame, sized_by: DataFrame, rows_per_file: int) -> DataFrame:
-    """Rows in files of about ``rows_per_file``, or fewer if their texts are long,
-    cut along the curve.
+    """Rows in files of about ``rows_per_file``, or fewer if their texts are long or
+    cores would be idle, cut along the curve.
 
     ``sized_by`` is a stored frame with the same values, of which one row of
     bounds, the number of rows and the bytes of their texts is taken.
@@ -68,7 +69,9 @@ def clustered(rows: DataFrame, sized_by: DataFrame, rows_per_file: int) -> DataF
         low, high = found[f"low_{name}"] or 0.0, found[f"high_{name}"] or 0.0
         share = (c - low) / (high - low) if high > low else F.lit(0.0)
         places.append(F.coalesce(F.floor(share * ((1 << CURVE_BITS) - 1)), F.lit(0)).cast("bigint"))
-    files = max(1, -(-found["n"] // rows_per_file), -(-size // FILE_BYTES))
+    # a core sorts and writes a file, and later reads it for its table
+    busy = min(rows.sparkSession.sparkContext.defaultParallelism, found["n"] // ROWS_PER_TASK)
+    files = max(1, -(-found["n"] // rows_per_file), -(-size // FILE_BYTES), busy)
     out = rows.withColumn("__curve", interleaved(places))
     return out.repartitionByRange(files, "__curve", "event_id").sortWithinPartitions("__curve").drop("__curve")
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from logfathom.model import EVENT_DDL, align
 from logfathom.operators import prune, stats
-from logfathom.operators.lookup import fits_broadcast
+from logfathom.operators.lookup import BROADCAST_ROWS, fits_broadcast
 from logfathom.operators.query import EventFilter
 from logfathom.session import ROWS_PER_TASK, cut_lineage, folder_names, gathered, remove_path, scratch_dir
 
@@ -81,21 +81,38 @@ def first_per_id(events: DataFrame, order: list[str] | None = None) -> DataFrame
 
 
 def insert_new(batch: DataFrame, stored: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Rows of the batch whose id is neither stored nor repeated in the batch.
+    """Rows of the batch whose id is neither stored nor repeated in the batch."""
+    fresh = first_per_id(batch, order)
+    return new_rows(fresh, batch, stored) or fresh.limit(0)
+
+
+def new_rows(fresh: DataFrame, batch: DataFrame, stored: DataFrame) -> DataFrame | None:
+    """Rows of ``fresh`` whose id is not stored; None if all are. ``fresh`` has the
+    ids of ``batch``, each once.
 
     The stored ids that the batch meets are found first, by ids alone, which are
     hashes and so shuffled evenly; a batch with few ids is sent to the store's
-    scan. Where few are met, they are sent to the batch, whose rows then stay
-    where they are.
+    scan. Where few are met, or few are not, these are sent to the batch, whose
+    rows then stay where they are.
     """
-    fresh = first_per_id(batch, order)
-    ids = batch.select(F.col("event_id").alias("__id")).distinct()
+    ids = cut_lineage(batch.select(F.col("event_id").alias("__id")).distinct(), "batch-ids")
+    n = ids.count()
     known = stored.select(F.col("event_id").alias("__id"))
-    known = known.join(F.broadcast(ids) if fits_broadcast(ids) else ids, "__id", "left_semi").distinct()
+    known = known.join(sendable(ids, n), "__id", "left_semi").distinct()
     known = cut_lineage(known, "known-ids")
-    if fits_broadcast(known):
-        known = F.broadcast(known)
-    return fresh.join(known, F.col("event_id") == F.col("__id"), "left_anti")
+    met, same = known.count(), F.col("event_id").eqNullSafe(F.col("__id"))
+    if met == n:
+        return None
+    if met > BROADCAST_ROWS and n - met <= BROADCAST_ROWS:
+        left = cut_lineage(ids.join(known, "__id", "left_anti"), "new-ids")
+        if fits_broadcast(left):
+            return fresh.join(F.broadcast(left), same, "left_semi")
+    return fresh.join(sendable(known, met), F.col("event_id") == F.col("__id"), "left_anti")
+
+
+def sendable(ids: DataFrame, n: int) -> DataFrame:
+    """A stored table of ``n`` ids, marked for broadcast if it is within the bound."""
+    return F.broadcast(ids) if n <= BROADCAST_ROWS and fits_broadcast(ids) else ids
 
 
 def upsert_sessions(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -271,12 +288,31 @@ class EventStore:
             ranges = line_ranges(batch)
             ranges.write.parquet(self._folder("ledger", part))
             ranges = self.spark.read.schema(LEDGER_DDL).parquet(self._folder("ledger", part))
-        fresh = insert_new(batch, self._ids(self._overlapping(parts, ranges)), order).drop(*spots)
-        fresh = fresh.withColumn("is_malicious", F.coalesce("is_malicious", F.lit(False))).withColumn(
+        fresh = self._fresh(batch, parts, ranges, order)
+        if fresh is None:  # nothing to write: the part is its ledger
+            return part
+        fresh = fresh.drop(*spots).withColumn("is_malicious", F.coalesce("is_malicious", F.lit(False))).withColumn(
             "created_at", F.lit(dt.datetime.now(dt.timezone.utc)).cast("timestamp")
         )
         return self._write_events(fresh, part, batch)
 
+    def _fresh(self, batch: DataFrame, parts: list[dict], ranges: DataFrame | None, order) -> DataFrame | None:
+        """The rows of a batch to be stored, None if there are none. Rows of sources
+        that no stored part was made of are compared with nothing."""
+        met, sources = self._overlapping([p for p in parts if p["rows"]], ranges)
+        fresh = first_per_id(batch, order)
+        if not met:
+            return fresh
+        if sources is None:
+            return new_rows(fresh, batch, self._ids(met))
+        sources, same = F.broadcast(sources), F.col("source") == F.col("__source")
+        old = batch.join(sources, same, "left_semi")
+        kept = new_rows(fresh.join(sources, same, "left_semi"), old, self._ids(met))
+        rest = fresh.join(sources, same, "left_anti")
+        if kept is not None:
+            return kept.unionByName(rest)
+        return rest if ranges.count() > sources.count() else None
+
     def _write_events(self, fresh: DataFrame, part: dict, sized_by: DataFrame) -> dict:
         """Write the events of a part, and the tables made of them."""
         folder = self._folder("events", part)
@@ -288,22 +324,27 @@ class EventStore:
         rows = self.spark.read.parquet(self._folder("files", part)).agg(F.sum("rows")).first()[0]
         return part | {"rows": rows or 0}
 
-    def _overlapping(self, parts: list[dict], ranges: DataFrame | None) -> list[dict]:
-        """The parts that may hold events of the batch: all without a ledger,
-        and of the others those made of some of the same lines."""
-        if ranges is None or ranges.filter("blind").take(1):
-            return parts
+    def _overlapping(self, parts: list[dict], ranges: DataFrame | None) -> tuple[list[dict], DataFrame | None]:
+        """The parts that may hold events of the batch: all without a ledger, and of
+        the others those made of some of the same lines. If only some sources of
+        the batch are met, these come second, as ``__source``."""
+        if not parts or ranges is None or ranges.filter("blind").take(1):
+            return parts, None
         known = self._read("ledger", [p for p in parts if p["ledger"]], f"{LEDGER_DDL}, part string")
         mine = ranges.select("source", F.col("low").alias("__low"), F.col("high").alias("__high"))
         met = (F.col("low") <= F.col("__high")) & (F.col("__low") <= F.col("high"))
-        met = known.join(mine, "source").filter(met).select("part").union(known.filter("blind").select("part"))
-        names = {r["part"] for r in met.distinct().toLocalIterator()}
-        return [p for p in parts if not p["ledger"] or p["part"] in names]
+        met = cut_lineage(known.join(mine, "source").filter(met).select("part", F.col("source").alias("__source")), "met-lines")
+        blind = known.filter("blind").select("part")
+        names = {r["part"] for r in met.select("part").union(blind).distinct().toLocalIterator()}
+        found = [p for p in parts if not p["ledger"] or p["part"] in names]
+        if not found:
+            return [], None
+        sources = met.select("__source").distinct()
+        open_parts = any(not p["ledger"] for p in parts) or blind.take(1)
+        return found, None if open_parts or not fits_broadcast(sources) else cut_lineage(sources, "met-sources")
 
     def _ids(self, parts: list[dict]) -> DataFrame:
-        folders = [self._folder("events", p) for p in parts if p["rows"]]
-        if not folders:
-            return self.spark.createDataFrame([], "event_id string")
+        folders = [self._folder("events", p) for p in parts]
         return gathered(self.spark.read.schema("event_id string").parquet(*folders))
 
     def delete(self, session_id: str | None = None) -> int:
@@ -330,8 +371,10 @@ class EventStore:
             ranges = ranges.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("blind").alias("blind"))
             ranges.write.parquet(self._folder("ledger", part))
         reader = self.spark.read.option("basePath", f"{self.path}/events").schema(f"{STORE_DDL}, part string")
-        rows = reader.parquet(*[self._folder("events", p) for p in parts]).drop("part", "session_id")
-        part = self._write_events(rows, part, rows)
+        folders = [self._folder("events", p) for p in parts if p["rows"]]
+        if folders:
+            rows = reader.parquet(*folders).drop("part", "session_id")
+            part = self._write_events(rows, part, rows)
         names = {p["part"] for p in parts}
 
         def change(manifest: dict) -> dict:

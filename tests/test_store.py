@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import oracle_sql, queries
 from logfathom.model import align
 from logfathom.operators import prune, query, stats
+from logfathom.operators import store as store_module
 from logfathom.operators.query import EventFilter
 from logfathom.operators.store import EventStore, VersionTaken, ingest, insert_new
 from logfathom.operators.cef import normalize_cef
@@ -198,3 +199,37 @@ def test_small_splits_share_tasks(spark, tmp_path):
         assert plan.index("LeftSemi") < plan.index("Repartition") and few.count() == 2
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_known_lines_write_nothing_and_new_files_are_not_compared(spark, tmp_path, monkeypatch):
+    for name in ("one", "two"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.log").write_text("".join(f"CEF:0|a|b|1|{i}|n|3|src=1.1.1.1 msg={name}\n" for i in range(50)))
+    one, two, store = str(tmp_path / "one"), str(tmp_path / "two"), EventStore(spark, str(tmp_path / "store"))
+    compared = []
+    real = store_module.new_rows
+    monkeypatch.setattr(store_module, "new_rows", lambda fresh, batch, stored: compared.append(batch.count()) or real(fresh, batch, stored))
+    for name, paths in (("a", [one]), ("b", [one, two]), ("c", [two, one]), ("c", [one])):
+        ingest(read_lines(spark, paths), normalize_cef, store, session_id=name)
+    assert compared == [50, 100, 50]
+    parts = store.manifest()["parts"]
+    assert [p["rows"] for p in parts] == [50, 50, 0, 0]
+    assert not (tmp_path / "store/events/session_id=c").exists()
+    store.compact("c")
+    assert len(store.manifest()["parts"]) == 3 and store.events().count() == 100
+    assert store.events().select("event_id").distinct().count() == 100
+
+
+@pytest.mark.parametrize("bound", [0, 5, 1000])
+def test_few_new_ids_are_sent_instead_of_many_known(spark, monkeypatch, bound):
+    """Whichever of the ids is sent to the batch, the same rows are new."""
+    monkeypatch.setattr(store_module, "BROADCAST_ROWS", bound)
+    batch = rows(spark, 12).unionByName(rows(spark, 2, 10)).withColumn("event_id", F.when(F.col("severity_code") != 4, F.col("event_id")))
+    kept = insert_new(batch, rows(spark, 9).select("event_id"), ["message"])
+    assert sorted(r.event_id or "" for r in kept.collect()) == ["", "e10", "e11", "e9"]
+    assert insert_new(rows(spark, 5), rows(spark, 9).select("event_id")).count() == 0
+
+
+def test_all_cores_write(spark, monkeypatch):
+    monkeypatch.setattr(prune, "ROWS_PER_TASK", 50)
+    assert prune.clustered(rows(spark, 200), rows(spark, 200), 1_000_000).rdd.getNumPartitions() == 4
