@@ -6,7 +6,7 @@ import struct
 import sys
 import types
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -104,7 +104,7 @@ def worker_memory(key: str, make: Callable):
     return getattr(home, key)
 
 
-def text_runs(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[str]]:
+def text_runs(texts: Iterable[str | None], chars: int = 1 << 20) -> Iterator[list[str]]:
     """Texts in runs of about so many characters: what is made of the words of
     a run is bounded, however many texts a batch has. Null is empty."""
     held, size = [], 0

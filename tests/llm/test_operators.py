@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from check_oracles import compare, duck
 from pyspark.sql import functions as F
 
@@ -765,3 +766,16 @@ def test_pipeline(spark):
             assert after.count() == groups
         before = after
     assert before.filter("size(ids) = 0").count() == 0 and before.count() > 100
+
+
+def test_texts_parsed_together_have_the_phrases_of_each(monkeypatch):
+    rng = random.Random(5)
+    training = {"a": "abab ba", "b": "xyz é"}
+    for together, cells in ((1, 10**6), (3, 10**6), (24, 10**6), (1, 0)):
+        monkeypatch.setattr(language, "TOGETHER", together)
+        monkeypatch.setattr(language, "TABLE_CELLS", cells)
+        models = language.Models(training)
+        for _ in range(60):
+            texts = ["".join(rng.choices("abxé z\U0001f600", k=rng.randint(0, 9))) for _ in range(rng.randint(0, 12))]
+            want = [[language.phrases(t, language.automaton(x)) for x in training.values()] for t in texts]
+            assert models.parsed(texts).tolist() == want
