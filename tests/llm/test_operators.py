@@ -779,3 +779,11 @@ def test_texts_parsed_together_have_the_phrases_of_each(monkeypatch):
             texts = ["".join(rng.choices("abxé z\U0001f600", k=rng.randint(0, 9))) for _ in range(rng.randint(0, 12))]
             want = [[language.phrases(t, language.automaton(x)) for x in training.values()] for t in texts]
             assert models.parsed(texts).tolist() == want
+
+
+def test_classes_are_taken_out_one_after_the_other(spark):
+    texts = ["Aé1 \t.,#*=|<>~☃ ½Ⅷ x\x0b\n" * 3, "", "aa  BB22##", None, "😀 a|b"]
+    rows = quality.text_columns(docs(spark, texts)).orderBy("doc_id").select("__text", "__classes", "n_symbols").collect()
+    for text, counts, symbols in rows:
+        assert counts == [len(regex.findall(c, text)) for c in quality.CLASSES]
+        assert symbols == len(regex.findall(quality.SYMBOLS, text))
