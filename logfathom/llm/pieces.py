@@ -97,10 +97,9 @@ class Model:
         self.scores = [sp.get_score(i) for i in range(n)]
         self.unknown = sp.unk_id()
         self.bytes = {int(self.texts[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
-        self.longest: dict[str, int] = {}  # the longest piece by its last character
-        for text in self.ids:
-            self.longest[text[-1]] = max(self.longest.get(text[-1], 0), len(text))
-        self.pairs: dict[tuple[int, int], bool] = {}
+        # the ends of all pieces: the id, or -1 where no piece is the end itself
+        self.tails = {text[k:]: -1 for text in self.ids for k in range(1, len(text))} | self.ids
+        self.pairs: dict[int, bool] = {}
         if any(MARK in t.lstrip(MARK) for t in self.ids):
             raise ValueError("pieces that span words are not supported")
         self.apart = all(set(t) == {MARK} for t in self.ids if t.startswith(MARK * 2))
@@ -160,6 +159,9 @@ class Model:
             self.halves[piece] = known
         return known
 
+    def made(self, piece: str) -> bool:
+        return len(piece) == 1 or self.half(piece) != ("", "")
+
     def apart_here(self, a: str, b: str) -> bool:
         """Whether merges over ``a + b`` leave these two pieces.
 
@@ -187,8 +189,8 @@ class Model:
 
     def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         """(word, ids) of sorted distinct marked words."""
-        ids, scores, longest, bpe = self.ids, self.scores, self.longest, self.rule == "bpe"
-        pairs = self.pairs
+        ids, scores, tails, bpe = self.ids, self.scores, self.tails, self.rule == "bpe"
+        pairs, many = self.pairs, len(self.texts)
         if len(pairs) > REMEMBERED:
             pairs.clear()
         ends: list[tuple[int, int]] = [(0, -1)]  # by prefix: length and id of its last piece
@@ -203,21 +205,24 @@ class Model:
             del ends[same + 1 :], sums[same + 1 :]
             for i in range(same + 1, len(word) + 1):
                 best, found = None, None
-                for size in range(1, min(longest.get(word[i - 1], 0), i) + 1):
+                for size in range(1, i + 1):
                     text = word[i - size : i]
-                    one = ids.get(text)
-                    if one is None:
+                    one = tails.get(text)
+                    if one is None:  # no longer piece ends so
+                        break
+                    if one < 0:
                         continue
                     if bpe:
-                        if size > 1 and self.half(text) == ("", ""):
-                            continue
                         length, before = ends[i - size]
                         if before >= 0:
-                            fits = pairs.get((before, one))
+                            pair = before * many + one
+                            fits = pairs.get(pair)
                             if fits is None:
-                                fits = pairs[before, one] = self.apart_here(word[i - size - length : i - size], text)
+                                fits = pairs[pair] = self.made(text) and self.apart_here(word[i - size - length : i - size], text)
                             if not fits:
                                 continue
+                        elif not self.made(text):
+                            continue
                         found = (size, one)
                         break
                     else:

@@ -787,3 +787,17 @@ def test_classes_are_taken_out_one_after_the_other(spark):
     for text, counts, symbols in rows:
         assert counts == [len(regex.findall(c, text)) for c in quality.CLASSES]
         assert symbols == len(regex.findall(quality.SYMBOLS, text))
+
+
+def test_only_ends_of_pieces_are_looked_up():
+    model = pieces.Encoder(pieces.default_model()).model
+    looked = []
+
+    class Tails(dict):
+        def get(self, text):
+            looked.append(text)
+            return super().get(text)
+
+    model.tails = Tails(model.tails)
+    assert len(dict(model.encode_words(["▁qxqxqxqxqxqxqxqx"]))) == 1
+    assert len(looked) < 70
