@@ -4,7 +4,9 @@ The leaves of the tree are the ranks of the adjacent pairs of a word; an inner
 node holds the least rank below it. The root tells whether any pair merges, and
 the way down that prefers the left child ends at the leftmost pair of the
 lowest rank. A merge changes three leaves, each in as many steps as the tree is
-high, so a word of n bytes takes O(n log n) steps however long it is.
+high, so a word of n bytes takes O(n log n) steps however long it is. Words that
+a run of texts brings anew are merged together, one merge of each at a time: the
+trees of short words of one height are the rows of an array.
 
 The vocabulary is a ``tokenizers`` file of a byte-level BPE model. Texts are
 split at its added tokens, then into words by the fixed pattern of such models;
@@ -23,26 +25,38 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logfathom.llm.tables import documents, worker_memory
+from logfathom.llm.tables import documents, text_runs, worker_memory
 
 REMEMBERED = 500_000
 # Characters up to which a word is remembered.
 REMEMBERED_LENGTH = 64
-# Fixed value: the word pattern of byte-level BPE models, blanks by property.
+# Fixed value: the word pattern of byte-level BPE models, blanks by property. The
+# frequent cases come first; the endings only have to be before other signs.
 WORDS = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
+    r" ?\p{L}+| ?\p{N}+|'(?:s|t|re|ve|m|ll|d)| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-NO_RANK = 1 << 40
+NO_RANK = (1 << 31) - 1
+# Words of one tree height are merged together in blocks of so many. Fewer than
+# the least, or words of more bytes, are merged each by itself.
+BLOCK_WORDS = 4096
+LEAST_TOGETHER = 32
+WIDEST_TOGETHER = 64
+# Characters of the texts, or ids, that are taken up at once.
+RUN_SIZE = 1 << 18
 
 
 def byte_signs() -> list[str]:
@@ -76,6 +90,14 @@ class Vocabulary:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks.setdefault((ids[a], ids[b]), len(self.made))
             self.made.append(ids[a + b])
+        # for merges of many words: ranks by pairs of bytes and, sorted, by pairs of ids
+        self.end = max(ids.values()) + 1  # no symbol, in no pair
+        self.byte_ids = np.array(self.bytes, np.int64)
+        self.made_ids = np.array(self.made, np.int64)
+        self.byte_ranks = np.array([[self.ranks.get((a, b), NO_RANK) for b in self.bytes] for a in self.bytes], np.int32)
+        pairs = sorted((a * (self.end + 1) + b, rank) for (a, b), rank in self.ranks.items())
+        self.pairs = np.array([*(pair for pair, _ in pairs), np.iinfo(np.int64).max], np.int64)
+        self.pair_ranks = np.array([*(rank for _, rank in pairs), NO_RANK], np.int32)
         self.added = {t["content"]: t["id"] for t in added}
         value = {s: b for b, s in enumerate(signs)}
         self.texts = {i: bytes(map(value.__getitem__, t)) for t, i in ids.items() if set(t) <= value.keys()}
@@ -131,6 +153,75 @@ class Vocabulary:
                     tree[place] = value
         return [s for s in symbols if s >= 0]
 
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pairs = left * (self.end + 1) + right
+        found = np.searchsorted(self.pairs, pairs)
+        return np.where(self.pairs[found] == pairs, self.pair_ranks[found], NO_RANK)
+
+    def merged_all(self, words: Sequence[bytes]) -> list[bytes]:
+        """The ids that the merges leave of each word, as bytes."""
+        out, widths = [b""] * len(words), defaultdict(list)
+        for i, word in enumerate(words):
+            widths[1 << max(len(word) - 1, 0).bit_length()].append(i)
+        for width, places in widths.items():
+            if width > WIDEST_TOGETHER or len(places) < LEAST_TOGETHER:
+                for i in places:
+                    out[i] = np.array(self.merged(words[i]), np.int32).tobytes()
+                continue
+            for first in range(0, len(places), BLOCK_WORDS):
+                block = places[first : first + BLOCK_WORDS]
+                for i, ids in zip(block, self.merged_together([words[i] for i in block], width)):
+                    out[i] = ids
+        return out
+
+    def merged_together(self, words: Sequence[bytes], width: int) -> list[bytes]:
+        """As ``merged``, for words of at most ``width`` bytes: a round makes one
+        merge in every word that has any left. Row by row, an array holds the
+        trees of the words, others their symbols and the places around each."""
+        n, height = len(words), width.bit_length() - 1
+        data = np.frombuffer(b"".join(word.ljust(width, b"\0") for word in words), np.uint8).reshape(n, width)
+        sizes = np.fromiter(map(len, words), np.int64, n)[:, None]
+        places = np.arange(width + 1)
+        symbols = np.full((n, width + 1), self.end)
+        symbols[:, :-1] = np.where(places[:-1] < sizes, self.byte_ids[data], self.end)
+        tree = np.full((n, 2 * width), NO_RANK, np.int32)
+        tree[:, width:-1] = np.where(places[1:-1] < sizes, self.byte_ranks[data[:, :-1], data[:, 1:]], NO_RANK)
+        for level in range(height - 1, -1, -1):
+            i = 1 << level
+            tree[:, i : 2 * i] = np.minimum(tree[:, 2 * i : 4 * i : 2], tree[:, 2 * i + 1 : 4 * i : 2])
+        # the first symbol has itself before it
+        after, before = np.tile(places + 1, n), np.tile(np.maximum(places - 1, 0), n)
+        table, symbols, tree = symbols, symbols.reshape(-1), tree.reshape(-1)
+        rows = np.arange(n)
+        while len(rows):
+            ranks = tree[rows * (2 * width) + 1]
+            left = ranks != NO_RANK
+            rows, ranks = rows[left], ranks[left]
+            top, start = rows * (2 * width), rows * (width + 1)
+            place = np.ones(len(rows), np.int64)
+            for _ in range(height):
+                place *= 2
+                place += tree[top + place] != ranks
+            a = place - width
+            b, z = after[start + a], before[start + a]
+            c = after[start + b]
+            symbols[start + a] = one = self.made_ids[ranks]
+            symbols[start + b] = self.end
+            after[start + a], before[start + c] = c, a
+            # the leaf of a is set after that of z, which may be the same
+            tree[top + width + b] = NO_RANK
+            tree[top + width + z] = self.ranks_of(symbols[start + z], one)
+            tree[top + width + a] = self.ranks_of(one, symbols[start + c])
+            place, top = np.concatenate([a, b, z]) + width, np.tile(top, 3)
+            for _ in range(height):
+                place >>= 1
+                below = top + 2 * place
+                tree[top + place] = np.minimum(tree[below], tree[below + 1])
+        kept = table != self.end
+        ids = table[kept].astype(np.int32).tobytes()
+        ends = (4 * np.cumsum(kept.sum(axis=1))).tolist()
+        return [ids[i:j] for i, j in zip([0, *ends], ends)]
+
 
 @lru_cache
 def stand_ins(path: str) -> dict[int, str]:
@@ -161,56 +252,55 @@ def stand_ins(path: str) -> dict[int, str]:
     return out
 
 
-class OddWord(Exception):
-    """A word with a character that the library classes in another way."""
-
-
-class Words(dict):
-    """The ids of words as bytes, made when a word is first met."""
-
-    def __init__(self, vocabulary: Vocabulary, odd: set[str]) -> None:
-        self.vocabulary, self.odd = vocabulary, odd
-
-    def __missing__(self, word: str) -> bytes:
-        if not self.odd.isdisjoint(word):
-            raise OddWord
-        ids = self.made(word)
-        if len(word) <= REMEMBERED_LENGTH:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def made(self, word: str) -> bytes:
-        return np.array(self.vocabulary.merged(word.encode()), np.int32).tobytes()
-
-
 class Encoder:
     """Encodes texts with a bounded memory of words."""
 
     def __init__(self, path: str, odd: dict[int, str]) -> None:
         self.vocabulary = Vocabulary(path)
-        self.odd, self.known = odd, Words(self.vocabulary, set(map(chr, odd)))
+        self.odd, self.odd_signs = odd, set(map(chr, odd))
+        self.known: dict[str, bytes] = {}
         self.split = regex.compile(WORDS).findall
         self.added = {name: np.array([i], np.int32).tobytes() for name, i in self.vocabulary.added.items()}
         names = sorted(self.added, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, names)) + ")").split
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
-        return [np.frombuffer(self.encode_text(text or ""), np.int32) for text in texts]
-
-    def encode_text(self, text: str) -> bytes:
-        if not any(name in text for name in self.added):
-            return self.encode_part(text)
-        parts = self.cut(text)
-        return b"".join(self.added[part] if i % 2 else self.encode_part(part) for i, part in enumerate(parts))
-
-    def encode_part(self, text: str) -> bytes:
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, self.split(text)))
-        except OddWord:
-            return b"".join(map(known.made, self.split_odd(text)))
+        return [np.frombuffer(ids, np.int32) for run in text_runs(texts, RUN_SIZE) for ids in self.encode_run(run)]
+
+    def encode_run(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts, as bytes. Words that are not known are merged together."""
+        known, odd = self.known, self.odd_signs
+        texts = [self.cut(text) if any(name in text for name in self.added) else [text] for text in texts]
+        parts = [part for text in texts for part in text[::2]]  # between them, added tokens
+        done, open_parts = [b""] * len(parts), {}
+        for i, part in enumerate(parts):
+            words = self.split(part)
+            ids = list(map(known.get, words))
+            if all(ids):
+                done[i] = b"".join(ids)
+            else:
+                open_parts[i] = words, ids
+        fresh = {w for words, ids in open_parts.values() for w in compress(words, map(not_, ids))}
+        passing = {w for w in fresh if not odd.isdisjoint(w)}
+        if passing:
+            # odd words are never known, so every part that has one is open
+            for i, (words, _) in open_parts.items():
+                if not passing.isdisjoint(words):
+                    words = self.split_odd(parts[i])
+                    open_parts[i] = words, list(map(known.get, words))
+            fresh = {w for words, ids in open_parts.values() for w in compress(words, map(not_, ids))}
+            passing = {w for w in fresh if not odd.isdisjoint(w)}
+        passing.update(w for w in fresh if len(w) > REMEMBERED_LENGTH)
+        new = list(fresh)
+        known.update(zip(new, self.vocabulary.merged_all([w.encode() for w in new])))
+        for i, (words, ids) in open_parts.items():
+            done[i] = b"".join([x or known[w] for x, w in zip(ids, words)])
+        for word in passing:
+            del known[word]
+        if len(known) > REMEMBERED:
+            known.clear()
+        plain = iter(done)
+        return [b"".join([self.added[part] if i % 2 else next(plain) for i, part in enumerate(text)]) for text in texts]
 
     def split_odd(self, text: str) -> list[str]:
         at, out = 0, []
@@ -229,6 +319,15 @@ class Decoder:
         return b"".join(map(self.parts.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def short_batches(batch: pa.RecordBatch, sizes: pa.Array) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``RUN_SIZE`` by the sizes of its rows: what is
+    made of a part is bounded, however much text a batch has."""
+    runs = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64) // RUN_SIZE
+    cuts = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), batch.num_rows]
+    for first, end in zip(cuts, cuts[1:]):
+        yield batch.slice(first, end - first)
+
+
 def encoded(docs: DataFrame, vocabulary: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """All columns and ``out_col``, the ids of the text."""
     rest = [c for c in docs.columns if c != out_col]
@@ -240,11 +339,12 @@ def encoded(docs: DataFrame, vocabulary: str, text_col: str = "text", out_col: s
         encoder = None
         for batch in batches:
             encoder = encoder or worker_memory(f"byte pairs {vocabulary}", lambda: Encoder(vocabulary, odd))
-            found = encoder.encode(batch.column(batch.num_columns - 1).to_pylist())
-            sizes = np.cumsum([0, *map(len, found)], dtype=np.int32)
-            flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=batch.schema.names)
+            for part in short_batches(batch, pc.binary_length(batch.column(batch.num_columns - 1))):
+                found = encoder.encode(part.column(part.num_columns - 1).to_pylist())
+                sizes = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                flat = np.concatenate(found) if found else np.zeros(0, np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=part.schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -259,8 +359,9 @@ def decoded(rows: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str
         decoder = None
         for batch in batches:
             decoder = decoder or worker_memory(f"byte texts {vocabulary}", lambda: Decoder(vocabulary))
-            texts = [decoder.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else None for x in batch.column(place)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out_col])
+            for part in short_batches(batch, pc.list_value_length(batch.column(place))):
+                texts = [decoder.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else None for x in part.column(place)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out_col])
 
     return rows.select(*rest).mapInArrow(run, schema)
 

@@ -243,6 +243,62 @@ def test_merges_leftmost_of_lowest_rank():
         assert vocabulary.merged(word) == symbols
 
 
+def test_new_words_merge_together(monkeypatch):
+    """Words that are met for the first time are not merged one by one (950 CPU seconds a GB)."""
+    path, rng = byte_pairs.default_vocabulary(), random.Random(5)
+    texts = [" ".join("".join(rng.choice("abcdeinorst") for _ in range(rng.randint(5, 12))) for _ in range(100)) for _ in range(200)]
+    encoder, alone = byte_pairs.Encoder(path, byte_pairs.stand_ins(path)), []
+    merged = byte_pairs.Vocabulary.merged
+    monkeypatch.setattr(byte_pairs.Vocabulary, "merged", lambda self, word: alone.append(word) or merged(self, word))
+    got = encoder.encode(texts)
+    assert len(alone) < 200
+    assert [x.tolist() for x in got] == [e.ids for e in library().encode_batch(texts, add_special_tokens=False)]
+
+
+def test_merges_together_as_alone():
+    vocabulary = byte_pairs.Vocabulary(byte_pairs.default_vocabulary())
+    rng = random.Random(6)
+    words = [bytes(rng.choice(b"aaabn the\xc3\xa9\x00\xff") for _ in range(n)) for n in [*range(80)] * 70]
+    words += [b"a" * n for n in range(130)] + [b" " * n for n in range(70)] + [b"", b"the", b"the"]
+    want = [vocabulary.merged(word) for word in words]
+    got = vocabulary.merged_all(words)
+    assert [np.frombuffer(x, np.int32).tolist() for x in got] == want
+    assert vocabulary.merged_all([]) == []
+    assert [vocabulary.merged_all([word])[0] for word in words[:90]] == got[:90]
+
+
+def test_batches_are_taken_up_in_parts():
+    """A part is of a bounded size, or one row; the parts hold all rows in order."""
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    sizes = [rng.choice([None, 0, 1, 5_000, 100_000, 900_000]) for _ in range(300)]
+    batch = pa.record_batch({"i": list(range(300)), "size": pa.array(sizes, pa.int32())})
+    parts = list(byte_pairs.short_batches(batch, batch.column(1)))
+    assert [i for part in parts for i in part.column(0).to_pylist()] == list(range(300))
+    held = [[size or 0 for size in part.column(1).to_pylist()] for part in parts]
+    assert len(parts) > 50 and all(sum(part) - max(part) <= byte_pairs.RUN_SIZE for part in held)
+    assert [part.num_rows for part in byte_pairs.short_batches(batch.slice(0, 0), batch.column(1).slice(0, 0))] == [0]
+
+
+def test_words_remembered_are_bounded(monkeypatch):
+    """Odd and long words are not kept; what is kept is dropped beyond the bound."""
+    path = byte_pairs.default_vocabulary()
+    odd = byte_pairs.stand_ins(path)
+    sign = chr(next(iter(odd)))
+    texts = [None, "", f"one {sign}two<|endoftext|>{sign}{sign} 1{sign}", "one " + "x" * 100, "<|endoftext|><|endoftext|>", f" two {sign}", "two"]
+    monkeypatch.setattr(byte_pairs, "text_runs", lambda texts, chars: ([text or ""] for text in texts))
+    theirs = [e.ids for e in library().encode_batch([text or "" for text in texts], add_special_tokens=False)]
+    encoder = byte_pairs.Encoder(path, odd)
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.encode(texts)] == theirs
+        assert {"one", "two", " two"} <= encoder.known.keys()
+        assert all(len(word) <= byte_pairs.REMEMBERED_LENGTH and sign not in word for word in encoder.known)
+    monkeypatch.setattr(byte_pairs, "REMEMBERED", 2)
+    assert [x.tolist() for x in encoder.encode(texts)] == theirs
+    assert len(encoder.known) <= 2
+
+
 def test_pair_query(spark, tmp_path):
     got = byte_pairs.op13_byte_pairs(spark, saved(spark, tmp_path, ODD))
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
