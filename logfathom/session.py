@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -84,15 +86,28 @@ def folder_names(spark: SparkSession, path: str) -> list[str]:
     return [status.getPath().getName() for status in fs.listStatus(target)] if fs.exists(target) else []
 
 
-def cut_lineage(df: DataFrame, label: str) -> DataFrame:
+def cut_lineage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back: computed once, and
-    safe from the loss of an executor."""
+    safe from the loss of an executor. Who names the ``path`` may remove it."""
     spark = df.sparkSession
-    path = scratch_dir(spark, label)
+    path = path or scratch_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """The files of shuffles go when the write that needed them ends, and not when
+    the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 def spread(df: DataFrame, grow: bool = True) -> DataFrame:
     """Use all cores on an input too small to be split into as many tasks.
 

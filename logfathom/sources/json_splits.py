@@ -6,9 +6,10 @@ each split first gives a function: for the three ways it may begin, how it ends
 and how much deeper. These are small; composed over the splits of a file they
 tell how each begins. A second pass then finds what the file is (a list, an
 object with a list under a known key, or one object), a third cuts the list at
-the commas of its own depth. Records within a split are whole rows; the two
-ends of a split are pieces, which meet by the place where their record starts.
-No task holds more than a block of a split and one record.
+the commas of its own depth. A record is read by the split it begins in, past the
+split's end where it has to be, so records are rows of the file itself: their
+texts are neither stored again nor shuffled. No task holds more than a block of
+a split, a batch of rows and one record.
 
 Files that are no single document (lines of JSON, text after the end, brackets
 that do not match) are left to the line scan.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark import cloudpickle
@@ -39,47 +41,65 @@ SPACE = b" \t\r\n"
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+# marks are quotes, backslashes, brackets and commas; all other bytes are 0
+MARKS = bytes(b if b in b'"\\[]{},' else 0 for b in range(256))
+STEPS = np.zeros(256, np.int8)
+STEPS[[0x5B, 0x7B]], STEPS[[0x5D, 0x7D]] = 1, -1
+
+
+def marks_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(places, bytes) of the marks of a block."""
+    kinds = np.frombuffer(data.translate(MARKS), np.uint8)
+    places = np.flatnonzero(kinds != 0)
+    return places, kinds[places]
+
+
 class Scanner:
-    """Follows strings and brackets over the blocks of a text."""
+    """Follows strings and brackets over the blocks of a text, by its marks."""
 
     def __init__(self, state: int, depth: int) -> None:
         self.state, self.depth = state, depth
 
-    def feed(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(outside of strings, depth after it) for every byte."""
-        n = len(data)
-        place = np.arange(n, dtype=np.int32)
-        slash = data == 0x5C
-        last = np.maximum.accumulate(np.where(slash, -1, place))
-        if self.state == ESCAPED:  # as if one more backslash stood before
-            run = np.where(last < 0, place + 2, place - last)
-            before = np.concatenate(([1], run[:-1]))
-        else:
-            run = place - last
-            before = np.concatenate(([0], run[:-1]))
-        quote = (data == 0x22) & (before & 1 == 0)
-        inside = ((np.cumsum(quote, dtype=np.int32) + (self.state != OUTSIDE)) & 1).astype(bool)
-        outside = ~inside & ~quote
-        step = (((data == 0x5B) | (data == 0x7B)) & outside).view(np.int8) - (((data == 0x5D) | (data == 0x7D)) & outside).view(np.int8)
-        depth = self.depth + np.cumsum(step, dtype=np.int64)
-        self.depth = int(depth[-1])
-        self.state = OUTSIDE if not inside[-1] else ESCAPED if slash[-1] and run[-1] % 2 else INSIDE
-        return outside, depth
-
-
-def blocks(file, begin: int, stop: int) -> Iterator[tuple[int, np.ndarray]]:
+    def feed(self, places: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, bytes, depth after it) of the brackets and commas outside of
+        strings, in a block of ``size`` bytes."""
+        if self.state == ESCAPED:  # as if the backslash stood before
+            places, kinds = np.concatenate(([-1], places)), np.concatenate((np.array([0x5C], np.uint8), kinds))
+        quote, slash = kinds == 0x22, kinds == 0x5C
+        inside, trailing = quote, 0  # backslashes that the block ends with
+        if slash.any():
+            follows = np.concatenate(([False], slash[:-1] & (np.diff(places) == 1)))
+            begun = np.maximum.accumulate(np.where(slash & ~follows, places, -2))
+            run = places[1:] - begun[:-1]
+            inside = quote.copy()
+            inside[1:] &= ~follows[1:] | (run & 1 == 0)
+            if slash[-1] and places[-1] == size - 1:
+                trailing = size - int(begun[-1])
+        inside = ((np.cumsum(inside, dtype=np.int32) + (self.state != OUTSIDE)) & 1).astype(bool)
+        ends_inside = bool(inside[-1]) if len(inside) else self.state != OUTSIDE
+        self.state = OUTSIDE if not ends_inside else ESCAPED if trailing % 2 else INSIDE
+        own = ~(inside | quote | slash)
+        places, kinds = places[own], kinds[own]
+        deep = self.depth + np.cumsum(STEPS[kinds], dtype=np.int64)
+        if len(deep):
+            self.depth = int(deep[-1])
+        return places, kinds, deep
+
+
+def blocks(file, begin: int, stop: int) -> Iterator[tuple[int, bytes]]:
     for at in range(begin, stop, BLOCK):
         data = file.read_at(min(BLOCK, stop - at), at)
         if data:
-            yield at, np.frombuffer(data, np.uint8)
+            yield at, data
 
 
 def ways(file, begin: int, stop: int) -> tuple[list[int], list[int]]:
     """For the three ways a split may begin: how it ends, and how much deeper."""
     scanners = [Scanner(state, 0) for state in (OUTSIDE, INSIDE, ESCAPED)]
     for _, data in blocks(file, begin, stop):
+        places, kinds = marks_of(data)
         for scanner in scanners:
-            scanner.feed(data)
+            scanner.feed(places, kinds, len(data))
     return [s.state for s in scanners], [s.depth for s in scanners]
 
 
@@ -92,23 +112,22 @@ def shape(file, begin: int, stop: int, size: int, state: int, depth: int, keys:
     names = [(k, f'"{k}"'.encode()) for k in keys]
     for at, data in blocks(file, begin, stop):
         was = scanner.depth
-        outside, deep = scanner.feed(data)
-        before = np.concatenate(([was], deep[:-1]))
-        roots = np.flatnonzero((before == 0) & (deep == 1))
+        places, kinds, deep = scanner.feed(*marks_of(data), len(data))
+        step = STEPS[kinds]
+        roots = places[(step == 1) & (deep == 1)]
         if len(roots) and out["root_at"] is None:
             out |= {"root_at": at + int(roots[0]), "root": chr(data[roots[0]])}
         out["roots"] += len(roots)
-        ends = np.flatnonzero((before == 1) & (deep == 0))
+        ends = places[(step == -1) & (deep == 0)]
         if len(ends):
             out["root_end"] = at + int(ends[-1])
-        blank = np.isin(data, np.frombuffer(SPACE, np.uint8))
-        out["junk"] += int(((before == 0) & (deep == 0) & ~blank).sum())
-        out["low"] = min(out["low"], int(deep.min()))
+        out["junk"] += junk(data, was, places[step != 0], deep[step != 0])
+        out["low"] = min(out["low"], was, int(deep.min()) if len(deep) else was)
         for d in (1, 2):
-            commas = np.flatnonzero((data == 0x2C) & outside & (deep == d))
+            commas = places[(step == 0) & (deep == d)]
             if len(commas):
                 out[f"comma{d}"] = at + int(commas[-1])
-        closes = np.flatnonzero((before == 2) & (deep == 1))
+        closes = places[(step == -1) & (deep == 1)]
         for key in out["keys"]:
             later = closes[at + closes > key["value_at"]]
             if key["end"] is None and len(later):
@@ -116,12 +135,15 @@ def shape(file, begin: int, stop: int, size: int, state: int, depth: int, keys:
         if len(closes) and out["close1"] is None:
             out["close1"] = at + int(closes[0])
         # a key may begin before the block, so one is looked for where it ends
-        near = file.read_at(min(NEAR, at), at - min(NEAR, at))
-        text = near + data.tobytes()
+        near = file.read_at(min(NEAR, at), at - min(NEAR, at)) if names else b""
+        text = near + data
         for name, quoted in names:
             for found in re.finditer(re.escape(quoted), text):
                 end = found.end() - 1 - len(near)  # the closing quote, in this block
-                if end < 0 or deep[end] != 1:
+                if end < 0:
+                    continue
+                before = int(np.searchsorted(places, end))
+                if (int(deep[before - 1]) if before else was) != 1:
                     continue
                 rest = file.read_at(min(NEAR, size - at - end - 1), at + end + 1)
                 value = re.match(rb"[ \t\r\n]*:[ \t\r\n]*(.)", rest, re.S)
@@ -135,27 +157,43 @@ def shape(file, begin: int, stop: int, size: int, state: int, depth: int, keys:
     return out
 
 
-def pieces(file, begin: int, stop: int, state: int, depth: int, level: int, first: int, last: int, start: int) -> Iterator[tuple[int, int, bytes, bool]]:
-    """(start of the record, place of the piece, bytes, whole) of a split."""
-    scanner, held = Scanner(state, depth), []
-    here = max(begin, first)
-    if begin <= first:
-        start = first
-    entire = here == start
-    for at, data in blocks(file, begin, stop):
-        outside, deep = scanner.feed(data)
-        cuts = np.flatnonzero((data == 0x2C) & outside & (deep == level)) if level else np.zeros(0, np.int64)
-        low = max(here, at)
-        for cut in [at + int(c) for c in cuts if first <= at + c < last]:
-            held.append(data[low - at : cut - at].tobytes())
-            yield start, here, b"".join(held), entire
-            held, here, start, entire = [], cut + 1, cut + 1, True
-            low = here
-        high = min(at + len(data), last)
-        if high > low:
-            held.append(data[low - at : high - at].tobytes())
-    if held:
-        yield start, here, b"".join(held), entire and stop >= last
+def junk(data: bytes, was: int, places: np.ndarray, deep: np.ndarray) -> int:
+    """The bytes of a block outside of all brackets that are not blank."""
+    if was != 0 and not (deep == 0).any():
+        return 0
+    low = np.concatenate(([0], places + 1))[np.concatenate(([was], deep)) == 0]
+    high = np.concatenate((places, [len(data)]))[np.concatenate(([was], deep)) == 0]
+    # a bracket that closes none is no junk, but makes the depth negative
+    seen = np.concatenate(([0], np.cumsum(~np.isin(np.frombuffer(data, np.uint8), np.frombuffer(SPACE, np.uint8)))))
+    return int((seen[high] - seen[low]).sum())
+
+
+def cut(file, begin: int, stop: int, state: int, depth: int, level: int, first: int, last: int, start: int) -> Iterator[tuple[int, bytes]]:
+    """(place, bytes) of the records that begin in a split and are not blank; the
+    last one is read past its end."""
+    here = first if begin <= first else begin if start == begin else None
+    if level == 0:  # one record; its inside is not looked at
+        if here is not None:
+            yield here, file.read_at(last - here, here)
+        return
+    scanner = Scanner(state, depth)
+    for at, data in chain(blocks(file, begin, min(stop, last)), blocks(file, stop, last)):
+        places, kinds, deep = scanner.feed(*marks_of(data), len(data))
+        ends = at + places[(kinds == 0x2C) & (deep == level)]
+        for end in ends[ends >= first].tolist():
+            if here is not None:
+                text = (data[here - at : end - at] if here >= at else file.read_at(end - here, here)).strip(SPACE)
+                if text:
+                    yield here, text
+            here = end + 1
+            if here >= stop:
+                return
+        if here is None and at + len(data) >= stop:
+            return
+    if here is not None:
+        text = file.read_at(last - here, here).strip(SPACE)
+        if text:
+            yield here, text
 
 
 class Bytes:
@@ -371,20 +409,15 @@ def records_of(plan: DataFrame) -> DataFrame:
     """The records of planned splits as (source, block, seq, value)."""
 
     def run(file, split):
-        for start, at, data, whole in pieces(
+        for at, text in cut(
             file, split["begin"], split["stop"], split["state"], split["depth"], split["level"], split["first"], split["last"], split["start"]
         ):
-            yield split["path"], start, at, data, whole
+            yield split["path"], at, text
 
     wanted = plan.filter((F.col("level") >= 0) & (F.col("begin") < F.col("last")) & (F.col("stop") > F.col("first")))
-    rows = over_splits(_spread(wanted), run, {"source": "string", "start": "bigint", "at": "bigint", "piece": "binary", "whole": "boolean"})
-    rows = cut_lineage(rows, "json-pieces")
-    joined = F.aggregate(F.array_sort(F.collect_list(F.struct("at", "piece"))), F.lit(b""), lambda a, x: F.concat(a, x["piece"]))
-    cut = rows.filter(~F.col("whole")).groupBy("source", "start").agg(joined.alias("piece"))
-    every = rows.filter("whole").select("source", "start", "piece").unionByName(cut)
-    text = F.regexp_replace(F.make_valid_utf8(F.col("piece").cast("string")), r"^[ \t\r\n]+|[ \t\r\n]+$", "")
-    records = every.select("source", F.lit(0).cast("bigint").alias("block"), F.col("start").alias("seq"), text.alias("value"))
-    return records.filter("value <> ''")
+    rows = over_splits(_spread(wanted), run, {"source": "string", "seq": "bigint", "piece": "binary"})
+    text = F.make_valid_utf8(F.col("piece").cast("string"))
+    return rows.select("source", F.lit(0).cast("bigint").alias("block"), "seq", text.alias("value"))
 
 
 def envelopes(plan: DataFrame) -> DataFrame:

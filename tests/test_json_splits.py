@@ -123,3 +123,28 @@ def test_one_file_is_never_one_row(spark, monkeypatch, name):
     sf = "/root/testdata/sf0.001"
     ok, text = compare(queries()[name](spark, sf), duck(sf), oracle_sql()[name])
     assert ok, text
+
+
+@pytest.mark.parametrize("block", [1, 5, 1 << 16])
+def test_marks_tell_what_single_bytes_tell(monkeypatch, block):
+    """Strings, runs of backslashes and brackets over blocks of any size."""
+    monkeypatch.setattr(json_splits, "BLOCK", block)
+    rng = random.Random(block)
+    for _ in range(300):
+        text = b"".join(rng.choices([b'"', b"\\", b"[", b"]", b"{", b"}", b",", b" ", b"a"], k=rng.randint(1, 40)))
+        for i, begin in enumerate((json_splits.OUTSIDE, json_splits.INSIDE, json_splits.ESCAPED)):
+            inside, escaped, depth = begin != json_splits.OUTSIDE, begin == json_splits.ESCAPED, 0
+            valid = True
+            for c in text.decode():
+                valid &= inside or c != "\\"  # outside of strings it is no JSON
+                if escaped:
+                    escaped = False
+                elif c == "\\":
+                    escaped = True
+                elif c == '"':
+                    inside = not inside
+                elif not inside:
+                    depth += (c in "[{") - (c in "]}")
+            ends, deeper = json_splits.ways(json_splits.Bytes(text), 0, len(text))
+            if valid:
+                assert (ends[i], deeper[i]) == ((json_splits.ESCAPED if escaped else json_splits.INSIDE) if inside else json_splits.OUTSIDE, depth)
