@@ -33,6 +33,7 @@ SPLIT_BYTES = 64 << 20
 BLOCK = 1 << 16  # the arrays over it stay in a core's cache
 BATCH = 4 << 20  # bytes of rows handed on at once
 NEAR = 4096  # bytes looked at around a key
+STRETCH = 4 << 20  # bytes of a file whose records are numbered together
 RUN = 256  # splits of a file that are composed at once, and again as one
 OUTSIDE, INSIDE, ESCAPED = range(3)
 SPACE = b" \t\r\n"
@@ -437,13 +438,13 @@ def envelopes(plan: DataFrame) -> DataFrame:
 
 def numbered(records: DataFrame) -> DataFrame:
     """Add ``pos``, the number of a record in its source by ``seq``, from 0. Records
-    are dealt in ranges, which are counted; a source is in no single task."""
-    dealt = records.repartitionByRange("source", "seq").withColumn("__part", F.spark_partition_id())
-    dealt = cut_lineage(dealt, "numbered")
-    counts = dealt.groupBy("source", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    are counted by stretches of bytes, in which they are then numbered; a source
+    is in no single task."""
+    there = cut_lineage(records.withColumn("__part", F.floor(F.col("seq") / STRETCH)), "numbered")
+    counts = there.groupBy("source", "__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("source").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("source", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     own = F.row_number().over(Window.partitionBy("source", "__part").orderBy("seq")) - 1
-    return dealt.withColumn("__own", own).join(counts, ["source", "__part"]).withColumn(
+    return there.withColumn("__own", own).join(counts, ["source", "__part"]).withColumn(
         "pos", F.col("__before") + F.col("__own")
     ).drop("__part", "__own", "__before")

@@ -70,3 +70,17 @@ def test_commas_between_parts(spark, tmp_path, monkeypatch, concats):
     assert open(path).read() == "[\n]\n"
     document.write_document(rows.withColumn("value", F.when(F.col("id") % 2 == 0, F.col("value"))), path)
     assert [r["id"] for r in json.load(open(path))] == [*range(0, 40, 2)]
+
+
+def test_records_are_read_once_to_be_numbered(spark):
+    """Over several stretches of several files; the reading of records is not repeated."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def read(seq):
+        reads.add(1)
+        return seq
+
+    rows = spark.range(0, 3000, 1, 5).selectExpr("concat('f', id % 3) AS source", f"id * {json_splits.BLOCK} AS seq")
+    found = json_splits.numbered(rows.select("source", F.udf(read, "bigint")("seq").alias("seq"))).collect()
+    assert {(r.source, r.seq // json_splits.BLOCK, r.pos) for r in found} == {(f"f{i % 3}", i, i // 3) for i in range(3000)}
+    assert reads.value == 3000
