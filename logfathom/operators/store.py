@@ -95,18 +95,23 @@ def new_rows(fresh: DataFrame, batch: DataFrame, stored: DataFrame) -> DataFrame
     scan. Where few are met, or few are not, these are sent to the batch, whose
     rows then stay where they are.
     """
-    ids = cut_lineage(batch.select(F.col("event_id").alias("__id")).distinct(), "batch-ids")
-    n = ids.count()
-    known = stored.select(F.col("event_id").alias("__id"))
-    known = known.join(sendable(ids, n), "__id", "left_semi").distinct()
-    known = cut_lineage(known, "known-ids")
-    met, same = known.count(), F.col("event_id").eqNullSafe(F.col("__id"))
-    if met == n:
-        return None
-    if met > BROADCAST_ROWS and n - met <= BROADCAST_ROWS:
-        left = cut_lineage(ids.join(known, "__id", "left_anti"), "new-ids")
-        if fits_broadcast(left):
-            return fresh.join(F.broadcast(left), same, "left_semi")
+    spark = batch.sparkSession
+    own = scratch_dir(spark, "batch-ids")
+    try:
+        ids = cut_lineage(batch.select(F.col("event_id").alias("__id")).distinct(), "batch-ids", own)
+        n = ids.count()
+        known = stored.select(F.col("event_id").alias("__id"))
+        known = known.join(sendable(ids, n), "__id", "left_semi").distinct()
+        known = cut_lineage(known, "known-ids")
+        met, same = known.count(), F.col("event_id").eqNullSafe(F.col("__id"))
+        if met == n:
+            return None
+        if met > BROADCAST_ROWS and n - met <= BROADCAST_ROWS:
+            left = cut_lineage(ids.join(known, "__id", "left_anti"), "new-ids")
+            if fits_broadcast(left):
+                return fresh.join(F.broadcast(left), same, "left_semi")
+    finally:  # the ids met are a table of their own
+        remove_path(spark, own)
     return fresh.join(sendable(known, met), F.col("event_id") == F.col("__id"), "left_anti")
 
 
