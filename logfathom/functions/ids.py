@@ -15,8 +15,15 @@ EVENT_SPACE = "6f0d3c1e-58a7-4c55-9d0b-2a7c4e8f9b13"
 
 def uuid5(space: str, name: Column) -> Column:
     """Name-based UUID (version 5) as text."""
-    prefix = F.unhex(F.lit(space.replace("-", "")))
-    digest = F.sha1(F.concat(prefix, F.encode(name, "UTF-8")))
+    return uuid_text(name_digest(space, name))
+
+
+def name_digest(space: str, name: Column) -> Column:
+    return F.sha1(F.concat(F.unhex(F.lit(space.replace("-", ""))), F.encode(name, "UTF-8")))
+
+
+def uuid_text(digest: Column) -> Column:
+    """The UUID of a digest, which it names several times."""
     variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
     return F.concat(
         F.substring(digest, 1, 8), F.lit("-"),
@@ -35,4 +42,8 @@ def event_uuid(parts: Sequence[Column]) -> Column:
 
 def stix_id(kind: Column, value: Column) -> Column:
     """``kind--uuid`` that is the same for the same value in every export."""
-    return F.concat(kind, F.lit("--"), uuid5(STIX_SPACE, F.concat(kind, F.lit(":"), value)))
+    return F.concat(kind, F.lit("--"), uuid_text(stix_digest(kind, value)))
+
+
+def stix_digest(kind: Column, value: Column) -> Column:
+    return name_digest(STIX_SPACE, F.concat(kind, F.lit(":"), value))

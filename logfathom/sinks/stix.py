@@ -8,10 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logfathom.functions.ids import stix_id
+from logfathom.functions.ids import stix_digest, stix_id, uuid_text
 from logfathom.functions.net import address_type
 from logfathom.functions.severity import confidence
 from logfathom.functions.text import filled
+from logfathom.model import stage
 from logfathom.sinks.document import write_document
 
 VERSION = "2.1"
@@ -36,6 +37,18 @@ def user_ref(name: Column) -> Column:
     return F.when(filled(name).isNotNull(), stix_id(F.lit("user-account"), name))
 
 
+def with_refs(events: DataFrame) -> DataFrame:
+    """Add the ids of an event's addresses and user as ``__ref_…``, for its objects
+    to name. In a condition a digest would be worked out for each use, so kinds
+    and digests are columns before."""
+    kinds = {c: address_type(F.col(c)) for c in ("source_ip", "dest_ip")} | {"username": F.lit("user-account")}
+    return stage(events, [
+        {f"__kind_{c}": kind for c, kind in kinds.items()},
+        {f"__digest_{c}": stix_digest(F.col(f"__kind_{c}"), F.col(c)) for c in kinds},
+        {f"__ref_{c}": F.when(filled(F.col(c)).isNotNull(), F.concat(f"__kind_{c}", F.lit("--"), uuid_text(F.col(f"__digest_{c}")))) for c in kinds},
+    ])
+
+
 def _object(kind: str | Column, ident: Column, parts: list[Column], nulls: bool = False) -> Column:
     """(id, type, json) of one object."""
     body = F.struct(
@@ -63,7 +76,7 @@ def has_address() -> Column:
 
 def _traffic(now: Column) -> Column:
     protocol = F.lower(filled(F.col("protocol")))
-    src, dst = address_id(F.col("source_ip")), address_id(F.col("dest_ip"))
+    src, dst = F.col("__ref_source_ip"), F.col("__ref_dest_ip")
     zero = F.lit(0)
     return _object(
         "network-traffic",
@@ -81,7 +94,7 @@ def _traffic(now: Column) -> Column:
 
 def traffic(events: DataFrame, now: Column) -> DataFrame:
     """One network-traffic object per event with an address."""
-    return _rows(events.filter(has_address()), _traffic(now))
+    return _rows(with_refs(events.filter(has_address())), _traffic(now))
 
 
 def users(events: DataFrame, order: list[str]) -> DataFrame:
@@ -144,13 +157,13 @@ def bare_logs(events: DataFrame) -> DataFrame:
 
 
 def object_refs() -> Column:
-    """Distinct references of an event in order: source, destination, traffic,
-    user, process, or the custom object alone."""
+    """Distinct references of an event (``with_refs``) in order: source, destination,
+    traffic, user, process, or the custom object alone."""
     refs = F.array(
-        address_id(F.col("source_ip")),
-        address_id(F.col("dest_ip")),
+        F.col("__ref_source_ip"),
+        F.col("__ref_dest_ip"),
         F.when(has_address(), _own_id("network-traffic")),
-        user_ref(F.col("username")),
+        F.col("__ref_username"),
         F.when(filled(F.col("process_name")).isNotNull(), _own_id("process")),
         F.when(is_bare(), _own_id("x-siem-log")),
     )
@@ -183,7 +196,7 @@ def _observation(identity_id: str, now: Column) -> Column:
 
 def observations(events: DataFrame, identity_id: str, now: Column) -> DataFrame:
     """One observed-data object per event."""
-    return _rows(events, _observation(identity_id, now))
+    return _rows(with_refs(events), _observation(identity_id, now))
 
 
 def new_identity_id() -> str:
@@ -207,7 +220,7 @@ def event_objects(events: DataFrame, identity_id: str, now: Column) -> DataFrame
         F.when(has_address(), _traffic(now)), F.when(has_process(), _process()),
         F.when(is_bare(), _bare_log()), _observation(identity_id, now),
     )
-    return events.select(F.inline(F.array_compact(made)))
+    return with_refs(events).select(F.inline(F.array_compact(made)))
 
 
 def shared_objects(events: DataFrame, order: list[str]) -> DataFrame:

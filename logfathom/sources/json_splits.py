@@ -96,12 +96,16 @@ def blocks(file, begin: int, stop: int) -> Iterator[tuple[int, bytes]]:
 
 def ways(file, begin: int, stop: int) -> tuple[list[int], list[int]]:
     """For the three ways a split may begin: how it ends, and how much deeper."""
-    scanners = [Scanner(state, 0) for state in (OUTSIDE, INSIDE, ESCAPED)]
+    states, depths = [OUTSIDE, INSIDE, ESCAPED], [0, 0, 0]
     for _, data in blocks(file, begin, stop):
         places, kinds = marks_of(data)
-        for scanner in scanners:
+        fed = {}  # ways that have met go on as one
+        for state in set(states):
+            fed[state] = scanner = Scanner(state, 0)
             scanner.feed(places, kinds, len(data))
-    return [s.state for s in scanners], [s.depth for s in scanners]
+        depths = [d + fed[s].depth for d, s in zip(depths, states)]
+        states = [fed[s].state for s in states]
+    return states, depths
 
 
 def shape(file, begin: int, stop: int, size: int, state: int, depth: int, keys: list[str]) -> dict:

@@ -84,3 +84,17 @@ def test_records_are_read_once_to_be_numbered(spark):
     found = json_splits.numbered(rows.select("source", F.udf(read, "bigint")("seq").alias("seq"))).collect()
     assert {(r.source, r.seq // json_splits.BLOCK, r.pos) for r in found} == {(f"f{i % 3}", i, i // 3) for i in range(3000)}
     assert reads.value == 3000
+
+
+def test_references_are_worked_out_once(spark):
+    """The digest of an address or user is made once per event, not per use."""
+    from logfathom.model import align
+    from logfathom.sinks import stix
+
+    events = align(spark.range(3).selectExpr("concat('e', id) AS event_id", "concat('10.0.0.', id) AS source_ip", "concat('2001:db8::', id) AS dest_ip", "if(id = 1, '', 'u') AS username"))
+    made = stix.event_objects(events, "identity--1", F.lit("2024-01-01T00:00:00.000Z"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("sha1(") == 3
+    refs = {r.id: json.loads(r.json)["object_refs"] for r in made.filter("type = 'observed-data'").collect()}
+    row = events.select(stix.address_id(F.col("source_ip")), stix.address_id(F.col("dest_ip")), stix.user_ref(F.col("username")), "event_id").collect()
+    assert refs == {f"observed-data--{r[3]}": [x for x in (r[0], r[1], f"network-traffic--{r[3]}", r[2]) if x] for r in row}
+    assert sorted(len(x) for x in refs.values()) == [3, 4, 4]
