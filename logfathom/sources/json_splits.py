@@ -411,7 +411,8 @@ def json_documents(
 
 
 def records_of(plan: DataFrame) -> DataFrame:
-    """The records of planned splits as (source, block, seq, value)."""
+    """The records of planned splits as (source, block, seq, value), read from the
+    files whenever they are asked for."""
 
     def run(file, split):
         for at, text in cut(
